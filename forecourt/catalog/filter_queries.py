@@ -67,7 +67,7 @@ SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id,
   CASE WHEN doc_id % 5 = 1 THEN chr(160) || '  ' || chr(9) WHEN doc_id % 5 = 2 THEN NULL ELSE text END
   AS text FROM documents) WHERE text IS NOT NULL AND regexp_matches(text, '[^\s\x{a0}]')""")
 def f06(spark, d):
-    text = F.when(F.col("doc_id") % 5 == 1, "   \t").when(F.col("doc_id") % 5 != 2, F.col("text"))
+    text = F.when(F.col("doc_id") % 5 == 1, "\u00a0  \t").when(F.col("doc_id") % 5 != 2, F.col("text"))
     df = read(spark, d, "documents").select("doc_id", text.alias("text"))
     return filters.with_text(df).select("doc_id", F.md5("text").alias("text_md5"))
 

@@ -1 +1,132 @@
-"""Queries."""
+"""Time series (TS)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forecourt.catalog import query
+from forecourt.catalog.tables import REFERENCE, RF, read, review_fact
+from forecourt.operators import forecast as fc
+from forecourt.operators import series as ts
+
+_DATED = RF + ", dated AS (SELECT * FROM rf WHERE l_quantity <> 1)"
+
+
+def dated(spark, d, *fields):
+    df = review_fact(spark, d, "date_relative", *fields)
+    return ts.with_month(df, reference=REFERENCE).drop("date_relative")
+
+
+@query("ts01_month", _DATED + "SELECT key, month FROM dated")
+def ts01(spark, d):
+    return dated(spark, d, "key")
+
+
+@query("ts02_monthly_volume", _DATED + "SELECT month, count(*) AS n FROM dated GROUP BY month")
+def ts02a(spark, d):
+    return ts.monthly_volume(dated(spark, d))
+
+
+@query("ts02_monthly_sentiment", _DATED + """
+SELECT month, sentiment, count(*) AS n FROM dated GROUP BY month, sentiment""")
+def ts02b(spark, d):
+    return ts.monthly_sentiment(dated(spark, d, "sentiment"))
+
+
+@query("ts02_monthly_negative_rate", _DATED + """
+SELECT month, round(100.0 * count(*) FILTER (sentiment = 'Negative') / count(*), 4) AS negative_pct
+FROM dated GROUP BY month""")
+def ts02c(spark, d):
+    out = ts.monthly_negative_rate(dated(spark, d, "sentiment"))
+    return out.withColumn("negative_pct", F.round("negative_pct", 4))
+
+
+@query("ts03_issue_trends", _DATED + """
+SELECT month, issue_category, count(*) AS n FROM dated WHERE issue_category IN (
+  SELECT issue_category FROM dated GROUP BY 1 ORDER BY count(*) DESC, issue_category LIMIT 5)
+GROUP BY month, issue_category""")
+def ts03(spark, d):
+    return ts.top_issue_trends(dated(spark, d, "issue_category"))
+
+
+_SERIES = """
+, per AS (SELECT month, count(*) AS n, count(*) FILTER (sentiment = 'Negative') AS neg
+  FROM dated GROUP BY month), long AS (
+SELECT 'volume' AS series_id, month, CAST(n AS DOUBLE) AS value FROM per UNION ALL
+SELECT 'negative_count', month, CAST(neg AS DOUBLE) FROM per UNION ALL
+SELECT 'negative_rate', month, 100.0 * neg / n FROM per)
+"""
+
+
+@query("ts04_series", _DATED + _SERIES + "SELECT series_id, month, round(value, 4) AS value FROM long")
+def ts04(spark, d):
+    out = ts.network_series(dated(spark, d, "sentiment"))
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query("ts05_forecast")
+def ts05(spark, d):
+    return fc.forecast(ts.network_series(dated(spark, d, "sentiment")), steps=6)
+
+
+@query("ts05_seasonal_forecast")
+def ts05b(spark, d):
+    return fc.forecast(ts.network_series(dated(spark, d, "sentiment")), steps=6, seasonal=True)
+
+
+@query("ts05_many_series_forecast")
+def ts05c(spark, d):
+    df = dated(spark, d, "sentiment", "station_name", "issue_category")
+    return fc.forecast(ts.issue_series(df, by=["station_name", "issue_category"]), steps=4)
+
+
+@query("ts06_long_enough", """
+WITH c AS (SELECT event_type || '|' || CAST(user_id AS VARCHAR) AS series_id,
+  CAST(date_trunc('day', ts) AS DATE) AS month, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT series_id, month, CAST(n AS DOUBLE) AS value FROM c WHERE series_id IN (
+  SELECT series_id FROM c GROUP BY series_id HAVING count(*) >= 6)""")
+def ts06(spark, d):
+    e = read(spark, d, "events")
+    series = e.groupBy(
+        F.concat_ws("|", "event_type", "user_id").alias("series_id"),
+        F.to_date("ts").alias("month")).agg(F.count("*").cast("double").alias("value"))
+    return ts.long_enough(series)
+
+
+@query("ts07_forecast_table")
+def ts07(spark, d):
+    return fc.forecast_table(ts05(spark, d))
+
+
+@query("ts08_issue_series", _DATED + """
+, worst AS (SELECT issue_category FROM dated WHERE sentiment = 'Negative' GROUP BY 1
+  ORDER BY count(*) DESC, issue_category LIMIT 4),
+m AS (SELECT DISTINCT month FROM dated)
+SELECT w.issue_category AS series_id, m.month, CAST(count(dated.key) AS DOUBLE) AS value
+FROM worst w CROSS JOIN m LEFT JOIN dated ON dated.issue_category = w.issue_category
+  AND dated.month = m.month AND dated.sentiment = 'Negative' GROUP BY ALL""")
+def ts08(spark, d):
+    return ts.issue_series(dated(spark, d, "sentiment", "issue_category"))
+
+
+@query("ts08_issue_forecast")
+def ts08b(spark, d):
+    return fc.forecast(ts08(spark, d), steps=4)
+
+
+@query("ts09_trend_direction")
+def ts09(spark, d):
+    return fc.trend_direction(ts05(spark, d))
+
+
+@query("ts10_dated_trend", " UNION ALL ".join(
+    f"SELECT '{u}' AS unit, CAST(date_trunc('{u}', ts) AS DATE) AS period, event_type AS sentiment, "
+    "count(*) AS n FROM events GROUP BY ALL" for u in ("month", "week", "quarter")))
+def ts10(spark, d):
+    e = read(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("_date"), F.col("event_type").alias("sentiment"))
+    out = None
+    for unit in ts.UNITS.values():
+        part = ts.dated_trend(e, unit).select(F.lit(unit).alias("unit"), "period", "sentiment", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1 +1,255 @@
-"""Queries."""
+"""Sources and sinks (S) and union by id (U2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forecourt import lexicon as lx
+from forecourt.catalog import query
+from forecourt.catalog.rule_queries import ISSUES
+from forecourt.catalog.tables import ST, TF, read, review_fact, station_sheet, text_fact
+from forecourt.functions import rules
+from forecourt.operators import aggregates as ag
+from forecourt.plans.enrich import enrich, export_tags, refresh
+from forecourt.session import work_dir
+from forecourt.sources import pages, reviews, tabular
+
+ALL_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+               "l_returnflag", "l_linestatus", "l_shipdate"]
+KEY = ["l_orderkey", "l_linenumber"]
+
+
+def as_reviews(spark, d):
+    """Documents under the review schema; the fields they lack are NULL."""
+    docs = read(spark, d, "documents")
+    given = {"review_id": F.col("doc_id").cast("string"), "station_name": F.col("source"),
+             "text": F.col("text"), "zone": F.col("lang"),
+             "rating": F.col("n_chars").cast("double")}
+    return docs.select([
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in reviews.REVIEW_SCHEMA.fields])
+
+
+@query("s01_review_json", """
+SELECT CAST(doc_id AS VARCHAR) AS review_id, source AS station_name, lang AS zone,
+  CAST(n_chars AS DOUBLE) AS rating, md5(text) AS text_md5 FROM documents""")
+def s01(spark, d):
+    """Documents packed as JSON arrays of at most 300 reviews, then scanned."""
+    path = work_dir(spark, "s01")
+    docs = as_reviews(spark, d)
+    block = F.floor(F.col("review_id").cast("long") / lx.PAGE_REVIEW_CAP)
+    arrays = docs.groupBy(block.alias("block")).agg(
+        F.collect_list(F.struct(*docs.columns)).alias("reviews"))
+    arrays.select(F.to_json("reviews").alias("value")).write.text(path)
+    out = reviews.read_review_json(spark, path, layout="line")
+    return out.select("review_id", "station_name", "zone", "rating", F.md5("text").alias("text_md5"))
+
+
+@query("s02_csv_scan", "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
+def s02(spark, d):
+    path = work_dir(spark, "s02")
+    docs = read(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    tabular.write_csv(docs, path)
+    back = tabular.read_csv(spark, path, docs.schema)
+    return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query("s03_landed_sheet", "SELECT s_suppkey, s_name, s_acctbal, origin FROM supplier, "
+       "(SELECT unnest(['csv', 'parquet']) AS origin)")
+def s03(spark, d):
+    sheet = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    csv, parquet = work_dir(spark, "s03-csv"), work_dir(spark, "s03") + ".parquet"
+    tabular.write_csv(sheet, csv)
+    sheet.write.parquet(parquet)
+    a = tabular.land_sheet(spark, csv, sheet.schema).withColumn("origin", F.lit("csv"))
+    return a.unionByName(tabular.land_sheet(spark, parquet).withColumn("origin", F.lit("parquet")))
+
+
+@query("s04_csv_sink", """
+SELECT key, md5(v) AS row_md5 FROM (SELECT l_orderkey * 8 + l_linenumber AS key,
+  l_returnflag || '|' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '|' || l_linestatus AS v
+  FROM lineitem)""")
+def s04(spark, d):
+    path = work_dir(spark, "s04")
+    li = read(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), "l_returnflag",
+        F.col("l_quantity").cast("int").alias("quantity"), "l_linestatus")
+    tabular.write_csv(li, path)
+    back = tabular.read_csv(spark, path, li.schema)
+    return back.select("key", F.md5(F.concat_ws("|", "l_returnflag", "quantity", "l_linestatus"))
+                       .alias("row_md5"))
+
+
+@query("s05_station_json", """
+SELECT doc_id, source AS station_key, md5(text) AS text_md5 FROM documents""")
+def s05(spark, d):
+    path = work_dir(spark, "s05")
+    docs = read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("station_key"))
+    reviews.write_station_json(docs, path)
+    back = reviews.read_station_json(spark, path, docs.schema)
+    return back.select("doc_id", "station_key", F.md5("text").alias("text_md5"))
+
+
+@query("s06_pending_stations", """
+SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (
+  SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'A' AND l_tax = 0)""")
+def s06(spark, d):
+    done = read(spark, d, "lineitem").where(
+        "l_quantity = 50 AND l_returnflag = 'A' AND l_tax = 0").select(
+        F.col("l_suppkey").alias("s_suppkey"))
+    stations = read(spark, d, "supplier").select("s_suppkey", "s_name")
+    return reviews.pending(stations, done, "s_suppkey")
+
+
+@query("s07_refresh", TF + """
+SELECT doc_id, zone, origin FROM (
+  SELECT doc_id, zone, CASE WHEN sentiment = 'Unknown' THEN 'new' ELSE 'kept' END AS origin FROM tf)""")
+def s07(spark, d):
+    raw = text_fact(spark, d).drop("sentiment")
+    labels = read(spark, d, "labels").select("doc_id")
+    before = work_dir(spark, "s07")
+    enrich(raw.join(labels, "doc_id", "left_semi")).withColumn("origin", F.lit("kept")).write.parquet(before)
+    table = spark.read.parquet(before)
+    fresh = raw.withColumn("origin", F.lit("new"))
+    return refresh(fresh, table, "doc_id").select("doc_id", "zone", "origin")
+
+
+@query("s07_enriched", r"""
+SELECT doc_id, zone, length(text) AS chars FROM (
+  SELECT doc_id, lang AS zone, text FROM documents) WHERE regexp_matches(text, '[^\s]')""")
+def s07b(spark, d):
+    out = export_tags(enrich(text_fact(spark, d), lexicon=lx.Lexicon(issues=ISSUES)))
+    return out.select("doc_id", "zone", F.length("text").cast("long").alias("chars"))
+
+
+@query("s08_dedupe", f"""
+SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (
+  PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(ALL_COLUMNS)}) AS rn FROM lineitem)
+WHERE rn = 1""")
+def s08(spark, d):
+    return reviews.keep_first(read(spark, d, "lineitem"), KEY, [F.col(c) for c in ALL_COLUMNS])
+
+
+_MERGE = f"""
+WITH a AS (SELECT * FROM lineitem WHERE l_linestatus = 'O'),
+b AS (SELECT * FROM lineitem WHERE l_linestatus = 'F'),
+extra AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY {', '.join(ALL_COLUMNS)}) AS rn FROM b
+  WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_orderkey = b.l_orderkey
+    AND a.l_linenumber = b.l_linenumber))
+"""
+
+
+def _merged(spark, d):
+    li = read(spark, d, "lineitem")
+    return reviews.merge_passes(li.where("l_linestatus = 'O'"), li.where("l_linestatus = 'F'"), KEY,
+                                [F.col(c) for c in ALL_COLUMNS])
+
+
+@query("s09_merge_passes", _MERGE + """
+SELECT * FROM a UNION ALL SELECT * EXCLUDE rn FROM extra WHERE rn = 1""")
+def s09(spark, d):
+    return _merged(spark, d)
+
+
+@query("u02_union_by_id", _MERGE + f"""
+SELECT l_orderkey, l_linenumber, l_partkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY {', '.join(ALL_COLUMNS)}) AS k FROM (
+    SELECT * FROM a UNION ALL SELECT * EXCLUDE rn FROM extra WHERE rn = 1)) WHERE k = 1""")
+def u02(spark, d):
+    once = reviews.keep_first(_merged(spark, d), KEY, [F.col(c) for c in ALL_COLUMNS])
+    return once.select(*KEY, "l_partkey")
+
+
+@query("s10_take_stations", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 25")
+def s10(spark, d):
+    stations = read(spark, d, "supplier").select("s_suppkey", "s_name")
+    return reviews.take_stations(stations, 25, [F.col("s_suppkey")])
+
+
+@query("s11_record_id", """
+SELECT l_orderkey, l_linenumber, l_partkey, md5(s_name || '|' || printf('%.6f', s_acctbal) || '|' ||
+  printf('%.6f', l_quantity) || '|' || l_returnflag || '|' ||
+  CASE WHEN l_tax = 0 THEN 'None' ELSE l_linestatus END) AS review_id
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
+def s11(spark, d):
+    df = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    text = F.when(F.col("l_tax") != 0, F.col("l_linestatus"))
+    rid = rules.record_id(F.col("s_name"), F.col("s_acctbal"), F.col("l_quantity"),
+                          F.col("l_returnflag"), text)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", rid.alias("review_id"))
+
+
+@query("s12_station_key", """
+SELECT p_partkey, (CASE WHEN p_partkey < 1000 THEN printf('%03d', p_partkey)
+  ELSE CAST(p_partkey AS VARCHAR) END) || '_' || substr(regexp_replace(
+  lower(p_name || ' (' || p_brand || '), ' || p_type || ' petrol pump & service station'),
+  '[^a-z0-9]', '_', 'g'), 1, 40) AS station_key FROM part""")
+def s12(spark, d):
+    title = F.concat("p_name", F.lit(" ("), "p_brand", F.lit("), "), "p_type",
+                     F.lit(" petrol pump & service station"))
+    return read(spark, d, "part").select(
+        "p_partkey", rules.station_key(title, F.col("p_partkey")).alias("station_key"))
+
+
+@query("s13_dispatch", """
+SELECT 'reviews' AS route, count(*) AS n FROM documents UNION ALL
+SELECT 'stations', count(*) FROM supplier""")
+def s13(spark, d):
+    def count_as(route):
+        return lambda df: df.agg(F.count("*").alias("n")).select(F.lit(route).alias("route"), "n")
+    out = [tabular.dispatch(df, count_as("stations"), count_as("reviews"))
+           for df in (read(spark, d, "documents"), station_sheet(spark, d))]
+    return out[0].unionByName(out[1])
+
+
+ARTICLE_RULES = pages.PageRules(
+    blocks=(pages.block_from("div", pages.has_attribute("data-review-id")),
+            r"(?s)<p>.*?</p>"),
+    author=(r'(?s)<span class="byline">(.*?)</span>', r"(?s)<b>(.*?)<br>"),
+    stars=(r'(?s)aria-label="([^"]*)"',),
+    text=(r"(?s)<p>(.*?)</p>",),
+    date=(r"(?s)<time>(.*?)</time>",),
+)
+
+
+def _inner_sql(e):
+    e = f"regexp_replace({e}, '(?s)<[^>]*>', '', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
+                 ("&amp;", "&")):
+        e = f"replace({e}, '{a}', '{b}')"
+    return f"trim(regexp_replace({e}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
+
+
+@query("s14_page_records", f"""
+SELECT page_id, pos, author_name, text, date_relative, rating FROM (
+  SELECT page_id, i - 1 AS pos, {_inner_sql("regexp_extract(b, '(?s)<b>(.*?)<br>', 1)")} AS author_name,
+    {_inner_sql("regexp_extract(b, '(?s)<p>(.*?)</p>', 1)")} AS text, '' AS date_relative,
+    CAST(NULL AS DOUBLE) AS rating
+  FROM (SELECT page_id, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM (
+    SELECT page_id, list_slice(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1, 300) AS bs FROM pages)))
+WHERE author_name <> '' OR text <> ''""")
+def s14(spark, d):
+    return pages.extract_records(read(spark, d, "pages"), "html", ["page_id"], ARTICLE_RULES)
+
+
+@query("s15_clean_address", r"""
+SELECT s_suppkey, n_name || ' ' || s_name AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def s15(spark, d):
+    df = read(spark, d, "supplier").join(read(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+    raw = F.concat(F.lit(" \n\ue0c8"), F.col("n_name"), F.lit("\n"), F.col("s_name"), F.lit("  "))
+    return df.select("s_suppkey", rules.clean_address(raw).alias("address"))
+
+
+@query("s16_station_defaults", """
+SELECT c_custkey AS idx, 'Station_' || CAST(c_custkey AS VARCHAR) AS title, c_acctbal AS lat,
+  CAST(72.877 AS DOUBLE) AS lng, CASE WHEN c_acctbal < CAST(18.97 AS DOUBLE) THEN 'South Mumbai'
+  WHEN c_acctbal < CAST(19.05 AS DOUBLE) THEN 'Central Mumbai'
+  WHEN c_acctbal < CAST(19.15 AS DOUBLE) THEN 'Western Suburbs' ELSE 'North Suburbs' END AS zone,
+  'Other' AS brand, 'Petrol Pump' AS category, CAST(0 AS DOUBLE) AS review_count FROM customer""")
+def s16(spark, d):
+    sheet = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("latitude_clean"))
+    out = reviews.tag_stations(reviews.station_defaults(sheet))
+    return out.select("idx", "title", "lat", "lng", "zone", "brand", "category", "review_count")

@@ -1 +1,57 @@
-"""Queries."""
+"""Structured Streaming (X)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forecourt.catalog import query
+from forecourt.catalog.source_queries import as_reviews
+from forecourt.catalog.tables import read
+from forecourt.session import work_dir
+from forecourt.streaming import ingest
+
+
+def table_stream(spark, d, name):
+    schema = read(spark, d, name).schema
+    return ingest.read_table_stream(spark, d, schema, f"{name}.parquet")
+
+
+@query("x01_ingest", """
+SELECT CAST(doc_id AS VARCHAR) AS review_id, source AS station_name, md5(text) AS text_md5
+FROM documents""")
+def x01(spark, d):
+    """Documents packed as JSON array files, then read as a stream."""
+    path = work_dir(spark, "x01")
+    docs = as_reviews(spark, d)
+    block = F.floor(F.col("review_id").cast("long") / 300)
+    arrays = docs.groupBy(block.alias("block")).agg(
+        F.collect_list(F.struct(*docs.columns)).alias("reviews"))
+    arrays.select(F.to_json("reviews").alias("value")).write.text(path)
+    rows = ingest.read_review_stream(spark, path, layout="line")
+    rows = rows.select("review_id", "station_name", F.md5("text").alias("text_md5"))
+    return ingest.run_available(rows, "x01")
+
+
+@query("x02_dedupe", """
+SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def x02(spark, d):
+    li = table_stream(spark, d, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
+    once = ingest.dedupe_stream(li, ["l_orderkey", "l_linenumber"], "ts", "3650 days")
+    return ingest.run_available(once.select("l_orderkey", "l_linenumber"), "x02")
+
+
+@query("x03_enrich")
+def x03(spark, d):
+    docs = table_stream(spark, d, "documents").select("doc_id", "text")
+    rows = ingest.enrich_stream(docs).drop("text")
+    return ingest.run_available(rows, "x03")
+
+
+@query("x04_windowed_counts", """
+SELECT day AS window_start, day + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n
+FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type FROM events)
+WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
+GROUP BY day, event_type""")
+def x04(spark, d):
+    events = table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.run_available(ingest.windowed_counts(events, "ts", "event_type"), "x04")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
-from forecourt.functions.text import strip
+from forecourt.functions.text import let, strip
 
 
 def _chain(cases: list[tuple[Column, Column]], default: Column) -> Column:
@@ -129,17 +129,19 @@ def star_from_label(label: Column) -> Column:
 
 def months_back(relative: Column) -> Column:
     """Months before the reference date named by a relative date, or NULL."""
+
+    def parse(s: Column) -> Column:
+        months = F.regexp_extract(s, r"^(\d+)\s+month", 1).try_cast("int")
+        years = F.regexp_extract(s, r"^(\d+)\s+year", 1).try_cast("int")
+        return (
+            F.when(F.contains(s, F.lit("week")), F.lit(0))
+            .when(F.startswith(s, F.lit("a month")), F.lit(1))
+            .when(F.startswith(s, F.lit("a year")), F.lit(12))
+            .otherwise(F.coalesce(months, years * 12))
+        )
+
     # "edited " is removed wherever it occurs, then the ends are stripped.
-    s = strip(F.replace(F.lower(relative), F.lit("edited "), F.lit("")))
-    months = F.regexp_extract(s, r"^(\d+)\s+month", 1).try_cast("int")
-    years = F.regexp_extract(s, r"^(\d+)\s+year", 1).try_cast("int")
-    return (
-        F.when(F.contains(s, F.lit("week")), F.lit(0))
-        .when(F.startswith(s, F.lit("a month")), F.lit(1))
-        .when(months.isNotNull(), months)
-        .when(F.startswith(s, F.lit("a year")), F.lit(12))
-        .when(years.isNotNull(), years * 12)
-    )
+    return let(strip(F.replace(F.lower(relative), F.lit("edited "), F.lit(""))), parse)
 
 
 def relative_month(relative: Column, reference: str = lx.REFERENCE_MONTH) -> Column:

@@ -36,58 +36,62 @@ def _lag(value: float, lag: int, sign: float) -> np.ndarray:
     return p
 
 
-def _residual_ss(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """Conditional sums of squares for many candidates at once.
+def _terms(params: np.ndarray, m: int) -> tuple[list, list]:
+    """(lag, coefficients per candidate) of the AR and the MA side."""
+    phi, theta = params[:, 0], params[:, 1]
+    ar, ma = [(1, phi)], [(1, theta)]
+    if params.shape[1] == 4:
+        big_phi, big_theta = params[:, 2], params[:, 3]
+        ar += [(m, big_phi), (m + 1, -phi * big_phi)]
+        ma += [(m, big_theta), (m + 1, theta * big_theta)]
+    return ar, ma
 
-    ``ar`` and ``ma`` hold one row of lag coefficients per candidate.
-    """
-    n, p, q = len(w), ar.shape[1], ma.shape[1]
-    errors = np.zeros((len(ar), n + q))
-    for t in range(p, n):
-        fitted = ar @ w[t - p:t][::-1]
-        errors[:, t + q] = w[t] - fitted - np.einsum("ij,ij->i", ma, errors[:, t:t + q][:, ::-1])
+
+def _residual_ss(w: np.ndarray, params: np.ndarray, m: int) -> np.ndarray:
+    """Conditional sums of squares of many candidates, in one pass over the series."""
+    ar, ma = _terms(params, m)
+    p = ar[-1][0]
+    errors = np.zeros((len(w), len(params)))
+    for t in range(p, len(w)):
+        e = np.full(len(params), w[t])
+        for lag, c in ar:
+            e -= c * w[t - lag]
+        for lag, c in ma:
+            e -= c * errors[t - lag]
+        errors[t] = e
     with np.errstate(over="ignore", invalid="ignore"):
-        ss = np.einsum("ij,ij->i", errors, errors)
+        ss = np.einsum("ij,ij->j", errors, errors)
     return np.where(np.isfinite(ss), ss, np.inf)
 
 
-def _expand(params: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lag coefficients of each candidate: (phi, theta) or with (Phi, Theta)."""
-    phi, theta = params[:, 0], params[:, 1]
-    if params.shape[1] == 2:
-        return phi[:, None], theta[:, None]
-    big_phi, big_theta = params[:, 2], params[:, 3]
-    ar = np.zeros((len(params), m + 1))
-    ma = np.zeros((len(params), m + 1))
-    ar[:, 0], ar[:, m - 1], ar[:, m] = phi, big_phi, -phi * big_phi
-    ma[:, 0], ma[:, m - 1], ma[:, m] = theta, big_theta, theta * big_theta
-    return ar, ma
+def _dense(terms: list, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for lag, c in terms:
+        out[lag - 1] = c[0]
+    return out
 
 
 def fit_arima(y: np.ndarray, seasonal: bool = False, m: int = 12):
     """Least-squares (1,1,1), optionally (1,1,1,m); None when y is too short.
 
-    The search refines a grid around the best candidate; every grid is scored
-    in one vectorised pass over the series.
+    The search refines a grid around the best candidate so far.
     """
     w = np.diff(np.asarray(y, dtype=float))
-    k, points = (4, 7) if seasonal else (2, 21)
     if seasonal:
         if len(w) <= m:
             return None
         w = w[m:] - w[:-m]
-    lags = m + 1 if seasonal else 1
+    k, lags = (4, m + 1) if seasonal else (2, 1)
     if len(w) <= lags + k:
         return None
     centre, half = np.zeros(k), 0.98
-    for _ in range(8):
+    for level in range(10):
+        points = (7 if seasonal else 21) if level == 0 else (5 if seasonal else 9)
         axes = [np.clip(np.linspace(c - half, c + half, points), -0.99, 0.99) for c in centre]
         grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, k)
-        ss = _residual_ss(w, *_expand(grid, m))
-        centre = grid[int(np.argmin(ss))]
-        half *= 0.35
-    ar, ma = _expand(centre[None, :], m)
-    sigma2 = float(_residual_ss(w, ar, ma)[0]) / max(1, len(w) - lags - k)
+        centre = grid[int(np.argmin(_residual_ss(w, grid, m)))]
+        half *= 0.45
+    sigma2 = float(_residual_ss(w, centre[None, :], m)[0]) / max(1, len(w) - lags - k)
     return centre, sigma2
 
 
@@ -98,7 +102,8 @@ def forecast_arima(y: np.ndarray, steps: int, seasonal: bool = False, m: int = 1
     if fitted is None:
         return None
     params, sigma2 = fitted
-    ar, ma = (a[0] for a in _expand(params[None, :], m))
+    size = m + 1 if seasonal else 1
+    ar, ma = (_dense(side, size) for side in _terms(params[None, :], m))
     diffs = [np.array([1.0, -1.0])] + ([_lag(1.0, m, -1.0)] if seasonal else [])
     full_ar = _poly(np.concatenate([[1.0], -ar]), *diffs)
     y = np.asarray(y, dtype=float)

@@ -114,6 +114,18 @@ def first_stars(block: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[star_from_label(F.regexp_extract(block, p, 1)) for p in patterns])
 
 
+def page_blocks(html: Column, patterns: tuple[str, ...]) -> Column:
+    """Blocks of the first pattern found; later patterns run only if needed."""
+    if not patterns:
+        return F.array().cast("array<string>")
+    rest = page_blocks(html, patterns[1:])
+
+    def found_or_rest(found: Column) -> Column:
+        return F.when(F.size(found) > 0, found).otherwise(rest)
+
+    return let(F.regexp_extract_all(html, F.lit(patterns[0]), F.lit(0)), found_or_rest)
+
+
 def extract_records(
     pages: DataFrame,
     html: str,
@@ -127,14 +139,7 @@ def extract_records(
     limit per page; ``None`` keeps every block.  Blocks with neither author nor
     text are dropped.
     """
-    # Trial of the patterns is lazy: a later one runs only if none matched before.
-    blocks = F.array().cast("array<string>")
-    for pattern in reversed(page_rules.blocks):
-        rest = blocks
-        blocks = let(
-            F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0)),
-            lambda found, rest=rest: F.when(F.size(found) > 0, found).otherwise(rest),
-        )
+    blocks = page_blocks(F.col(html), page_rules.blocks)
     if cap is not None:
         blocks = F.slice(blocks, 1, cap)
     rows = pages.select(*keys, F.posexplode(blocks).alias("pos", "block"))

@@ -13,10 +13,15 @@ from forecourt.sources.reviews import REVIEW_SCHEMA, explode_documents
 
 def read_review_stream(
     spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA,
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, layout: str = "file",
 ) -> DataFrame:
-    """New station files as they arrive; the checkpoint remembers those done."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json")
+    """New review files as they arrive; the checkpoint remembers those done.
+
+    Layouts as in the batch scan: a JSON array per file, or one per line.
+    """
+    reader = spark.readStream
+    if layout == "file":
+        reader = reader.option("wholetext", True).option("pathGlobFilter", "*.json")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     docs = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
