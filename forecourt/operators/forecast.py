@@ -156,7 +156,11 @@ def forecast(
             "mean": out[0], "lower": out[1], "upper": out[2],
         })
 
-    return series.select("series_id", "month", "value").groupBy("series_id").applyInPandas(one, SCHEMA)
+    # The rows are few but each series costs milliseconds of fitting, so keep all
+    # shuffle partitions: run-time coalescing by bytes would leave one task.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = series.select("series_id", "month", "value").repartition(tasks, "series_id")
+    return spread.groupBy("series_id").applyInPandas(one, SCHEMA)
 
 
 def forecast_table(fc: DataFrame) -> DataFrame:

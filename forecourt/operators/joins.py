@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.functions.text import let
+
 
 def lookup(key: Column, table: Mapping[str, str], default: str) -> Column:
     """Value of a small literal dictionary, with a default."""
@@ -31,17 +33,34 @@ def members(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
+def points(month: str = "month", value: str = "n") -> Column:
+    """Aggregate: the (month, value) pairs of a series that was counted by month.
+
+    There is one pair per calendar month, so the list stays small however many
+    reviews stand behind it.
+    """
+    return F.collect_list(F.struct(F.col(month).alias("month"), F.col(value).alias("value")))
+
+
+def on_spine(pairs: Column, months: Column) -> Column:
+    """Array of (month, value) over all ``months``, zero where a pair is missing."""
+    return let(F.map_from_entries(pairs), lambda known: F.transform(months, lambda m: F.struct(
+        m.alias("month"),
+        F.coalesce(F.try_element_at(known, m), F.lit(0)).alias("value"),
+    )))
+
+
 def fill_spine(
     counts: DataFrame, months: Column, group: str, month: str = "month", value: str = "n"
 ) -> DataFrame:
     """Every group gets every month of the array ``months``; missing ones are 0.
 
-    The spine is exploded from the array per group, so there is no product join.
+    The counts are already one row per group and month, so the spine is laid
+    inside each group and neither side is joined.
     """
-    spine = counts.select(group).distinct().withColumn(month, F.explode(months))
-    return spine.join(counts, [group, month], "left").withColumn(
-        value, F.coalesce(F.col(value), F.lit(0))
-    )
+    rows = counts.groupBy(group).agg(points(month, value).alias("_p")).withColumn("_m", months)
+    filled = rows.select(group, F.explode(on_spine(F.col("_p"), F.col("_m"))).alias("_s"))
+    return filled.select(group, F.col("_s.month").alias(month), F.col("_s.value").alias(value))
 
 
 def common_columns(a: DataFrame, b: DataFrame) -> list[str]:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from forecourt import lexicon as lx
 from forecourt.functions.rules import relative_month
 from forecourt.operators.aggregates import is_negative, pct
-from forecourt.operators.joins import fill_spine
-from forecourt.operators.ranking import top_values
+from forecourt.operators.joins import fill_spine, on_spine, points
 
 VOLUME, NEGATIVES, RATE = "volume", "negative_count", "negative_rate"
 UNITS = {"Monthly": "month", "Weekly": "week", "Quarterly": "quarter"}
@@ -35,20 +34,23 @@ def monthly_negative_rate(df: DataFrame) -> DataFrame:
     return df.groupBy("month").agg(pct(F.count_if(is_negative()), F.count("*")).alias("negative_pct"))
 
 
-def top_issue_trends(df: DataFrame, k: int = 5, issue: str = "issue_category") -> DataFrame:
-    """Monthly counts of the k most frequent issues.
+def _worst_series(counts: DataFrame, issue: str, k: int) -> DataFrame:
+    """The k largest issues, one row each with their monthly pairs.
 
-    Months and issues are counted first; the top list then filters that small
-    table instead of the reviews.
+    ``counts`` is one row per issue and month; the list and the totals come from
+    one aggregation, so the reviews are read once.
     """
+    totals = counts.groupBy(issue).agg(F.sum("n").alias("_total"), points().alias("_p"))
+    return totals.orderBy(F.desc("_total"), issue).limit(k)
+
+
+def top_issue_trends(df: DataFrame, k: int = 5, issue: str = "issue_category") -> DataFrame:
+    """Monthly counts of the k most frequent issues."""
     monthly = df.where(F.col(issue).isNotNull()).groupBy("month", issue).agg(
         F.count("*").alias("n")
     )
-    top = (
-        monthly.groupBy(issue).agg(F.sum("n").alias("total"))
-        .orderBy(F.desc("total"), issue).limit(k)
-    )
-    return monthly.join(top.select(issue), issue, "left_semi").select("month", issue, "n")
+    rows = _worst_series(monthly, issue, k).select(issue, F.explode("_p").alias("_s"))
+    return rows.select(F.col("_s.month").alias("month"), issue, F.col("_s.value").alias("n"))
 
 
 def network_series(df: DataFrame) -> DataFrame:
@@ -77,14 +79,24 @@ def issue_series(
     With ``by`` there is one series per combination of those columns instead,
     e.g. station and issue, for every combination that has negatives.
     """
+    negatives = df.where(is_negative())
+    months = observed_months(df)
     if by:
-        neg = df.where(is_negative()).withColumn("series_id", F.concat_ws("|", *by))
-    else:
-        worst = top_values(df.where(is_negative()), issue, k).select(issue)
-        neg = df.where(is_negative()).join(worst, issue, "left_semi").withColumn("series_id", F.col(issue))
-    counts = neg.groupBy("series_id", "month").agg(F.count("*").alias("n"))
-    filled = fill_spine(counts, observed_months(df), "series_id")
-    return filled.select("series_id", "month", F.col("n").cast("double").alias("value"))
+        counts = negatives.groupBy(F.concat_ws("|", *by).alias("series_id"), "month").agg(
+            F.count("*").alias("n")
+        )
+        filled = fill_spine(counts, months, "series_id")
+        return filled.select("series_id", "month", F.col("n").cast("double").alias("value"))
+    counts = negatives.where(F.col(issue).isNotNull()).groupBy(issue, "month").agg(
+        F.count("*").alias("n")
+    )
+    rows = _worst_series(counts, issue, k).withColumn("_m", months).select(
+        F.col(issue).alias("series_id"),
+        F.explode(on_spine(F.col("_p"), F.col("_m"))).alias("_s"),
+    )
+    return rows.select(
+        "series_id", F.col("_s.month").alias("month"), F.col("_s.value").cast("double").alias("value")
+    )
 
 
 def long_enough(series: DataFrame, minimum: int = 6) -> DataFrame:
