@@ -288,21 +288,27 @@ _SCORED = f"sc AS (SELECT doc_id, {_SCORES} FROM (SELECT doc_id, lower(text) AS
 _BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(ISSUES))) + ")"
 
 
-@query("c08_issue", f"WITH {_SCORED} SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'Other' " + " ".join(
+ISSUE_SQL = (f"WITH {_SCORED} SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'Other' " + " ".join(
     "WHEN s{} = {} THEN '{}'".format(i, _BEST, name.replace("'", "''"))
     for i, name in enumerate(ISSUES)) + " END AS issue_category FROM sc")
+
+
+@query("c08_issue", ISSUE_SQL)
 def c08(spark, d):
     label = issues.classify_issue(F.col("text"), ISSUES)
     return documents(spark, d).select("doc_id", label.alias("issue_category"))
 
 
-@query("c09_issue_tags", f"WITH {_SCORED}, long AS (" + " UNION ALL ".join(
+TAGS_SQL = (f"WITH {_SCORED}, long AS (" + " UNION ALL ".join(
     "SELECT doc_id, {} AS o, '{}' AS name, s{} AS s FROM sc".format(i, n.replace("'", "''"), i)
     for i, n in enumerate(ISSUES)) + """), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, o) AS r FROM long WHERE s > 0)
 SELECT d.doc_id, coalesce(string_agg(name, ', ' ORDER BY r) FILTER (r <= 3), 'Other') AS tags3,
   coalesce(string_agg(name, ', ' ORDER BY r) FILTER (r <= 2), 'Other') AS tags2
 FROM documents d LEFT JOIN ranked USING (doc_id) GROUP BY d.doc_id""")
+
+
+@query("c09_issue_tags", TAGS_SQL)
 def c09(spark, d):
     df = documents(spark, d).select("doc_id", issues.issue_scores(F.col("text"), ISSUES).alias("s"))
     return df.select("doc_id", *[
@@ -339,12 +345,15 @@ def a09(spark, d):
     return aspect_matrix(found).withColumn("negativity_pct", F.round("negativity_pct", 4))
 
 
-@query("c11_quality", f"""
+QUALITY_SQL = (f"""
 SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 WHEN n < 3 THEN 5 ELSE least(100, least(40, 2 * n)
   + CAST(floor(CAST(u AS DOUBLE) / n * 30) AS INTEGER) + least(30, 10 * k)) END AS INTEGER) AS quality
 FROM (SELECT doc_id, len(ws) AS n, len(list_distinct(ws)) AS u, k FROM (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[{S}]+'), lambda w: w <> '') AS ws,
     {_hits(lx.SPECIFIC_KEYWORDS, 'lower(text)')} AS k FROM documents))""")
+
+
+@query("c11_quality", QUALITY_SQL)
 def c11(spark, d):
     return documents(spark, d).select("doc_id", issues.quality_score(F.col("text")).alias("quality"))
 
@@ -416,7 +425,7 @@ def c16(spark, d):
 _CLEAN_LOW = f"lower({_MODEL})"
 
 
-@query("c17_lexicon_scores", f"""
+SCORES_SQL = f"""
 WITH s AS (SELECT doc_id, text, {_hits(lx.POSITIVE_SIGNALS)} AS pos,
   {_hits(lx.NEGATIVE_SIGNALS)} AS neg FROM (
     SELECT doc_id, text, {_CLEAN_LOW} AS low FROM documents)),
@@ -434,13 +443,19 @@ SELECT doc_id,
   round(CASE WHEN star > 3 AND hard THEN least(pos, 0.2) ELSE pos END, 6) AS prob_positive,
   round(neu, 6) AS prob_neutral,
   round(CASE WHEN star > 3 AND hard THEN greatest(neg, 0.6) ELSE neg END, 6) AS prob_negative
-FROM r""")
-def c17(spark, d):
-    out = scoring.predict(documents(spark, d)).drop("text")
-    return out.withColumns({c: F.round(c, 6) for c in (
+FROM r"""
+
+
+def rounded_scores(df):
+    return df.withColumns({c: F.round(c, 6) for c in (
         "confidence", "prob_positive", "prob_neutral", "prob_negative")})
 
 
+@query("c17_lexicon_scores", SCORES_SQL)
+def c17(spark, d):
+    return rounded_scores(scoring.predict(documents(spark, d)).drop("text"))
+
+
 def star_labels(spark, d):
     """Documents with a star from their label, where there is one."""
     labels = read(spark, d, "labels")
@@ -450,11 +465,11 @@ def star_labels(spark, d):
 
 @query("c17_trained_scores")
 def c17b(spark, d):
-    model = scoring.ModelScorer.train(star_labels(spark, d), "text", "star", 1 << 14)
+    model = scoring.ModelScorer.train(star_labels(spark, d), "text", "star", 1 << 13)
     return scoring.predict(documents(spark, d), scorer=model).drop("text")
 
 
-@query("c17_batch_scores")
+@query("c17_batch_scores", SCORES_SQL)
 def c17c(spark, d):
     import numpy as np
 
@@ -472,4 +487,11 @@ def c17c(spark, d):
             return p / p.sum(axis=1, keepdims=True)
         return predict
 
-    return scoring.predict(documents(spark, d), scorer=scoring.BatchScorer(load)).drop("text")
+    scorer = scoring.BatchScorer(load)
+    return rounded_scores(scoring.predict(documents(spark, d), scorer=scorer).drop("text"))
+
+
+ENRICHED_SQL = f"""
+SELECT p.*, i.issue_category, t.tags3 AS issue_tags, q.quality AS quality_score
+FROM ({SCORES_SQL}) p JOIN ({ISSUE_SQL}) i ON p.doc_id = i.doc_id
+JOIN ({TAGS_SQL}) t ON p.doc_id = t.doc_id JOIN ({QUALITY_SQL}) q ON p.doc_id = q.doc_id"""

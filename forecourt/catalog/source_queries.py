@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
 from forecourt.catalog import query
-from forecourt.catalog.rule_queries import ISSUES
-from forecourt.catalog.tables import ST, TF, read, review_fact, station_sheet, text_fact
+from forecourt.catalog.rule_queries import ENRICHED_SQL, ISSUES, rounded_scores
+from forecourt.catalog.tables import TF, documents, read, station_sheet, text_fact
 from forecourt.functions import rules
-from forecourt.operators import aggregates as ag
 from forecourt.plans.enrich import enrich, export_tags, refresh
 from forecourt.session import work_dir
 from forecourt.sources import pages, reviews, tabular
@@ -114,12 +113,10 @@ def s07(spark, d):
     return refresh(fresh, table, "doc_id").select("doc_id", "zone", "origin")
 
 
-@query("s07_enriched", r"""
-SELECT doc_id, zone, length(text) AS chars FROM (
-  SELECT doc_id, lang AS zone, text FROM documents) WHERE regexp_matches(text, '[^\s]')""")
+@query("s07_enriched", ENRICHED_SQL)
 def s07b(spark, d):
-    out = export_tags(enrich(text_fact(spark, d), lexicon=lx.Lexicon(issues=ISSUES)))
-    return out.select("doc_id", "zone", F.length("text").cast("long").alias("chars"))
+    out = export_tags(enrich(documents(spark, d), lexicon=lx.Lexicon(issues=ISSUES)))
+    return rounded_scores(out.drop("text"))
 
 
 @query("s08_dedupe", f"""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forecourt import lexicon as lx
 from forecourt.catalog import query
+from forecourt.catalog.rule_queries import ENRICHED_SQL, ISSUES, rounded_scores
 from forecourt.catalog.source_queries import as_reviews
 from forecourt.catalog.tables import read
+from forecourt.plans.enrich import export_tags
 from forecourt.session import work_dir
 from forecourt.streaming import ingest
 
@@ -40,11 +43,11 @@ def x02(spark, d):
     return ingest.run_available(once.select("l_orderkey", "l_linenumber"), "x02")
 
 
-@query("x03_enrich")
+@query("x03_enrich", ENRICHED_SQL)
 def x03(spark, d):
     docs = table_stream(spark, d, "documents").select("doc_id", "text")
-    rows = ingest.enrich_stream(docs).drop("text")
-    return ingest.run_available(rows, "x03")
+    rows = export_tags(ingest.enrich_stream(docs, lexicon=lx.Lexicon(issues=ISSUES))).drop("text")
+    return rounded_scores(ingest.run_available(rows, "x03"))
 
 
 @query("x04_windowed_counts", """

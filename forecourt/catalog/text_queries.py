@@ -54,6 +54,11 @@ def t02c(spark, d):
     return tm.top_ngrams(text_fact(spark, d), n=1, top_k=200)
 
 
+@query("o06_top_terms", _grams_sql(1, 20))
+def o06(spark, d):
+    return tm.top_ngrams(text_fact(spark, d), n=1, top_k=20)
+
+
 @query("t03_keyphrases", TF + f"""
 , tok AS (SELECT doc_id, {SQL_TOKENS} AS ts FROM tf),
 g AS (

@@ -204,7 +204,7 @@ def station_count(
     else:
         key = F.col(name)
     if approximate:
-        return df.agg(F.approx_count_distinct(F.xxhash64(key)).alias("stations"))
+        return df.agg(F.approx_count_distinct(F.when(key.isNotNull(), F.xxhash64(key))).alias("stations"))
     return df.agg(F.count_distinct(key).alias("stations"))
 
 

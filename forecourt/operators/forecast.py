@@ -85,12 +85,12 @@ def fit_arima(y: np.ndarray, seasonal: bool = False, m: int = 12):
     if len(w) <= lags + k:
         return None
     centre, half = np.zeros(k), 0.98
-    for level in range(10):
+    for level in range(7):
         points = (7 if seasonal else 21) if level == 0 else (5 if seasonal else 9)
         axes = [np.clip(np.linspace(c - half, c + half, points), -0.99, 0.99) for c in centre]
         grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, k)
         centre = grid[int(np.argmin(_residual_ss(w, grid, m)))]
-        half *= 0.45
+        half *= 0.33
     sigma2 = float(_residual_ss(w, centre[None, :], m)[0]) / max(1, len(w) - lags - k)
     return centre, sigma2
 

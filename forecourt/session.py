@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,11 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_base(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"forecourt-{application_id}-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path for staged tables and stream checkpoints.
 
@@ -43,8 +49,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="forecourt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -14,7 +14,10 @@ from forecourt.sources.reviews import nan_columns_to_null
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header, a fixed schema and line breaks inside quotes."""
+    """CSV with a header, a fixed schema and line breaks inside quotes.
+
+    An empty field is a missing value, as is usual for these sheets.
+    """
     df = (
         spark.read.schema(schema)
         .option("header", True)
@@ -32,7 +35,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
-        .option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
