@@ -24,6 +24,11 @@ _PART = {"brand", "issue_category", "item"}
 _SUPPLIER = {"station_name", "station_rating", "station_reviews", "lat"}
 _NATION = {"station_address", "lng"}
 _REGION = {"zone"}
+_LINEITEM = {
+    "key": ("l_orderkey", "l_linenumber"), "review_id": ("l_orderkey", "l_linenumber"),
+    "category": ("l_returnflag",), "confidence": ("l_quantity",),
+    "date_relative": ("l_quantity", "l_returnflag"),
+}
 
 
 def review_fact(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
@@ -34,7 +39,12 @@ def review_fact(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     large ones shuffle with run-time skew handling.
     """
     need = set(fields)
-    df = read(spark, sf_dir, "lineitem")
+    columns = sorted({c for f in fields for c in _LINEITEM.get(f, ())} | {
+        c for group, c in ((_ORDER, "l_orderkey"), (_PART, "l_partkey"),
+                           (_SUPPLIER | _NATION | _REGION, "l_suppkey")) if need & group})
+    df = read(spark, sf_dir, "lineitem").select(*columns)
+    if "date_relative" in need:  # parsing dates is worth spreading a single-file scan
+        df = spread(df)
     if need & _ORDER:
         orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -51,6 +61,9 @@ def review_fact(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
         (F.year(F.lit(REFERENCE).cast("date")) - F.year("o_orderdate")) * 12
         + F.month(F.lit(REFERENCE).cast("date")) - F.month("o_orderdate")
     )
+    if "date_relative" in need:
+        df = df.withColumn("back", back)
+        back = F.col("back")
     relative = (
         F.when(F.col("l_quantity") == 1, F.lit("2 days ago"))
         .when(back == 0, F.lit("3 weeks ago"))

@@ -25,7 +25,8 @@ def nan_to_null(value: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """Double, or NULL when the value is no number (NaN counts as missing)."""
-    return nan_to_null(value.cast("string").try_cast("double"))
+    given = F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return nan_to_null(given.try_cast("double"))
 
 
 def first_contained(
@@ -127,12 +128,17 @@ def star_from_label(label: Column) -> Column:
     ).try_cast("double")
 
 
+def _digits(match: Column) -> Column:
+    """Matched digits as a number; an empty match is skipped, a failing cast is slow."""
+    return F.nullif(match, F.lit("")).try_cast("int")
+
+
 def months_back(relative: Column) -> Column:
     """Months before the reference date named by a relative date, or NULL."""
 
     def parse(s: Column) -> Column:
-        months = F.regexp_extract(s, r"^(\d+)\s+month", 1).try_cast("int")
-        years = F.regexp_extract(s, r"^(\d+)\s+year", 1).try_cast("int")
+        months = _digits(F.regexp_extract(s, r"^(\d+)\s+month", 1))
+        years = _digits(F.regexp_extract(s, r"^(\d+)\s+year", 1))
         return (
             F.when(F.contains(s, F.lit("week")), F.lit(0))
             .when(F.startswith(s, F.lit("a month")), F.lit(1))

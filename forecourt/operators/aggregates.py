@@ -183,8 +183,9 @@ def station_zone_stats(df: DataFrame, rating: str = "_rating") -> DataFrame:
 
 def aspect_matrix(df: DataFrame, aspects: str = "aspects") -> DataFrame:
     """Aspect by polarity with the share of negatives; one pass, no join."""
-    rows = df.select(F.explode(aspects).alias("aspect", "polarity"))
-    out = rows.groupBy("aspect").agg(*[
+    # An outer explode evaluates the map once, see session.explode_once.
+    rows = df.select(F.explode_outer(aspects).alias("aspect", "polarity"))
+    out = rows.where(F.col("aspect").isNotNull()).groupBy("aspect").agg(*[
         F.count_if(F.col("polarity") == p).alias(p.lower()) for p in lx.SENTIMENTS
     ], F.count("*").alias("_n"))
     share = F.when(F.col("negative") > 0, pct(F.col("negative"), F.col("_n")))

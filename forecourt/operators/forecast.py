@@ -156,11 +156,13 @@ def forecast(
             "mean": out[0], "lower": out[1], "upper": out[2],
         })
 
-    # The rows are few but each series costs milliseconds of fitting, so keep all
-    # shuffle partitions: run-time coalescing by bytes would leave one task.
+    # The rows are few but each series costs milliseconds of fitting.  Joining
+    # small partitions by bytes would leave one task, so the series are dealt out
+    # over a slot column with a fixed number of partitions.
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = series.select("series_id", "month", "value").repartition(tasks, "series_id")
-    return spread.groupBy("series_id").applyInPandas(one, SCHEMA)
+    slot = F.pmod(F.xxhash64("series_id"), F.lit(16 * tasks))
+    dealt = series.select(slot.alias("_slot"), "series_id", "month", "value")
+    return dealt.repartition(tasks, "_slot").groupBy("_slot", "series_id").applyInPandas(one, SCHEMA)
 
 
 def forecast_table(fc: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.text import let
+from forecourt.session import explode_once
 
 
 def lookup(key: Column, table: Mapping[str, str], default: str) -> Column:
@@ -59,7 +60,7 @@ def fill_spine(
     inside each group and neither side is joined.
     """
     rows = counts.groupBy(group).agg(points(month, value).alias("_p")).withColumn("_m", months)
-    filled = rows.select(group, F.explode(on_spine(F.col("_p"), F.col("_m"))).alias("_s"))
+    filled = explode_once(rows, [group], on_spine(F.col("_p"), F.col("_m")), "_s")
     return filled.select(group, F.col("_s.month").alias(month), F.col("_s.value").alias(value))
 
 

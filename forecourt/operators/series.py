@@ -9,6 +9,7 @@ from forecourt import lexicon as lx
 from forecourt.functions.rules import relative_month
 from forecourt.operators.aggregates import is_negative, pct
 from forecourt.operators.joins import fill_spine, on_spine, points
+from forecourt.session import explode_once
 
 VOLUME, NEGATIVES, RATE = "volume", "negative_count", "negative_rate"
 UNITS = {"Monthly": "month", "Weekly": "week", "Quarterly": "quarter"}
@@ -90,9 +91,10 @@ def issue_series(
     counts = negatives.where(F.col(issue).isNotNull()).groupBy(issue, "month").agg(
         F.count("*").alias("n")
     )
-    rows = _worst_series(counts, issue, k).withColumn("_m", months).select(
-        F.col(issue).alias("series_id"),
-        F.explode(on_spine(F.col("_p"), F.col("_m"))).alias("_s"),
+    worst = _worst_series(counts, issue, k).withColumn("_m", months)
+    rows = explode_once(
+        worst.withColumnRenamed(issue, "series_id"), ["series_id"],
+        on_spine(F.col("_p"), F.col("_m")), "_s",
     )
     return rows.select(
         "series_id", F.col("_s.month").alias("month"), F.col("_s.value").cast("double").alias("value")

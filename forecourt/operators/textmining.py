@@ -19,6 +19,7 @@ from forecourt import lexicon as lx
 from forecourt.functions import text as tx
 from forecourt.functions.text import let
 from forecourt.operators.ranking import top_per_group
+from forecourt.session import explode_once
 
 
 def top_keywords(
@@ -27,8 +28,8 @@ def top_keywords(
 ) -> DataFrame:
     """The k most frequent keywords per group."""
     stop = lx.DEFAULT.keyword_stop_words if stop_words is None else stop_words
-    rows = df.where(F.col(by).isNotNull()).select(
-        by, F.explode(tx.keyword_tokens(F.col(text))).alias("term")
+    rows = explode_once(
+        df.where(F.col(by).isNotNull()), [by], tx.keyword_tokens(F.col(text)), "term"
     )
     counts = rows.where(~F.col("term").isin(stop)).groupBy(by, "term").agg(
         F.count("*").alias("n")
@@ -46,7 +47,7 @@ def term_stats(df: DataFrame, terms: Column, by: list[str] | None = None) -> Dat
                 t.alias("term"), F.lit(tf).alias("tf"), F.lit(df_).alias("df")))
         return F.concat(mark(ts, 1, 0), mark(F.array_distinct(ts), 0, 1))
 
-    rows = df.select(*by, F.explode(let(terms, marks)).alias("m")).select(*by, "m.*")
+    rows = explode_once(df, by, let(terms, marks), "m").select(*by, "m.*")
     return rows.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,6 +54,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """One row per array element; rows without elements drop out.
+
+    For a plain explode the optimizer adds a filter on the array's size, which
+    evaluates an expensive array expression a second time.  The outer form with
+    a test on its output evaluates it once.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
+def posexplode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """As ``explode_once``, with the element's place in ``pos``."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias("pos", name))
+    return rows.where(F.col("pos").isNotNull())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the working folder and read it back.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from forecourt import lexicon as lx
 from forecourt.functions.rules import star_from_label
 from forecourt.functions.text import let, strip
+from forecourt.session import posexplode_once
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,7 @@ def extract_records(
     blocks = page_blocks(F.col(html), page_rules.blocks)
     if cap is not None:
         blocks = F.slice(blocks, 1, cap)
-    rows = pages.select(*keys, F.posexplode(blocks).alias("pos", "block"))
+    rows = posexplode_once(pages, keys, blocks, "block")
     b = F.col("block")
     fields = rows.select(
         *keys,

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from forecourt import lexicon as lx
 from forecourt.functions import rules
 from forecourt.functions.text import strip
+from forecourt.session import posexplode_once
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.StringType()),
@@ -49,7 +50,7 @@ def explode_documents(
         F.col("file"),
         F.from_json(value, T.ArrayType(schema), {"mode": "FAILFAST"}).alias("docs"),
     )
-    rows = parsed.select("file", F.posexplode("docs").alias("pos", "doc"))
+    rows = posexplode_once(parsed, ["file"], F.col("docs"), "doc")
     return nan_columns_to_null(rows.select("file", "pos", "doc.*"))
 
 
