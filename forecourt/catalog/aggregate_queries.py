@@ -480,7 +480,7 @@ def u03(spark, d):
 
 
 @query("u04_common_columns", """
-SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1 UNION ALL
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1 UNION ALL
   SELECT doc_id, count(*) FROM labels GROUP BY 1) GROUP BY doc_id""")
 def u04(spark, d):
     a, b = read(spark, d, "documents"), read(spark, d, "labels")

@@ -72,8 +72,10 @@ def read_review_json(
     elif layout == "line":
         raw = spark.read.text(path)
         docs = raw.select(
+            # A file may be read in several blocks; rows of a block come in order.
             F.format_string(
-                "%s#%020d", F.col("_metadata.file_path"), F.monotonically_increasing_id()
+                "%s#%020d#%020d", F.col("_metadata.file_path"),
+                F.col("_metadata.file_block_start"), F.monotonically_increasing_id(),
             ).alias("file"),
             "value",
         )
@@ -119,8 +121,12 @@ def unseen(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def merge_passes(
     first: DataFrame, second: DataFrame, keys: list[str], order: list[Column]
 ) -> DataFrame:
-    """All of the first pass plus the second pass's unseen keys, once each."""
-    extra = keep_first(unseen(second, first, keys), keys, order)
+    """All of the first pass plus the second pass's unseen keys, once each.
+
+    The second pass is reduced to one row per key first: copies of a hot key go
+    before any shuffle, and the anti join reuses that partitioning.
+    """
+    extra = unseen(keep_first(second, keys, order), first, keys)
     return first.unionByName(extra)
 
 
