@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -14,6 +18,24 @@ PIECE_BYTES = 1 << 21
 PIECE_ROWS = 512
 
 
+@lru_cache(maxsize=8)
+def _ship(application_id: str, add_file: Callable) -> None:
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="forecourt-code-")) / "forecourt-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    add_file(str(archive))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per application.
+
+    The driver's file server hands the archive out, so no folder has to be shared.
+    """
+    _ship(spark.sparkContext.applicationId, spark.sparkContext.addPyFile)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -50,6 +72,7 @@ def append(df: DataFrame, text: str, score: Callable, fields: list[T.StructField
     ``score`` gets the rows of one piece (offsets from 0) and returns one array for
     each field.  Works task by task without a shuffle; an empty frame gives no rows.
     """
+    ship(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
     arrow = to_arrow_schema(T.StructType(fields))
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from forecourt.llm.batches import append, fresh
+from forecourt.llm.batches import append, fresh, ship
 from forecourt.llm.pretokens import NONE, Codes, Vocabulary, ragged, take_ragged, vocabulary
 
 SHORT = 96
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of an array of ids; null ids give null, ids out of range fail."""
+    ship(docs.sparkSession)
     field = T.StructField(fresh(docs, text), T.StringType())
     schema = T.StructType([*docs.schema.fields, field])
 
