@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.catalog.tables import read
-from forecourt.llm import bpe, token_counts, toxicity
+from forecourt.llm import bpe, language, token_counts, toxicity
 from forecourt.llm.labels import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     detector = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, detector).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language.languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+                        "cosine", "rejected")
