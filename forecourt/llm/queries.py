@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.catalog.tables import read
-from forecourt.llm import bpe, language, simhash, sketches, token_counts, toxicity
+from forecourt.llm import bpe, language, mixing, simhash, sketches, token_counts, toxicity
 from forecourt.llm.labels import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takings(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
