@@ -16,13 +16,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(third(doc_id) == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, *columns: str) -> DataFrame:
-    """Training documents with their 0/1 label as ``label`` and their third as ``part``.
+def known_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(labelled_id, label) of training rows: up to ``bound``, 16 bytes each.
 
     Held-out rows and rows without id or label take no part; of two labels of one id the
-    larger counts.  Up to ``bound`` labelled ids are used, all of them where there are
-    fewer, else an even share by a hash of the id.  The labels are 16 bytes each, so the
-    bound is also the proven size of the broadcast, and no text is shuffled.
+    larger counts.  All ids are used where there are fewer than ``bound``, else an even
+    share by a hash of the id, so the bound is also the proven size of a broadcast.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
              .where(~held_out(F.col("doc_id")))
@@ -32,5 +31,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, *column
     if total > bound:
         share = int(bound / total * (1 << 30))
         known = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 30)) < share)
+    return known
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, *columns: str) -> DataFrame:
+    """Training documents with their 0/1 ``label`` and their third as ``part``.
+
+    The labels go to the documents (see ``known_labels``), so no text is shuffled.
+    """
+    known = known_labels(labels, label, bound)
     return docs.join(F.broadcast(known), docs["doc_id"] == known["labelled_id"]).select(
         *(docs[c] for c in columns), "label", third(docs["doc_id"]).cast("int").alias("part"))

@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.catalog.tables import read
-from forecourt.llm import bpe, language, mixing, simhash, sketches, token_counts, topk, toxicity
+from forecourt.llm import (
+    bpe,
+    language,
+    lmscore,
+    mixing,
+    quality,
+    simhash,
+    sketches,
+    token_counts,
+    topk,
+    toxicity,
+)
 from forecourt.llm.labels import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +101,23 @@ WITH v AS (
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
+
+
+@query
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that are labelled good; background: all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    losses = lmscore.fit(docs, docs.join(good, "doc_id", "left_semi"))
+    return lmscore.cross_entropy_difference(docs, losses).drop("text")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents carry no URL: the source stands for the host, the language for the path."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = read(spark, sf_dir, "labels")
+    evidence = quality.fit(docs, labels)
+    return quality.quality(docs, labels, evidence, F.col("source"), F.col("lang")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence",
+        "host_prior", "path_prior")
