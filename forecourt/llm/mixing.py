@@ -147,8 +147,10 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     cells = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     cells = cells.withColumn("place", F.row_number().over(permuted) - 1).withColumn(
         "before", F.sum("size").over(permuted) - F.col("size"))
-    cells = stage(cells.withColumn(
-        "part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))), "blocks")
+    cells = cells.withColumn(
+        "part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))))
+    # Blocks without words are not drawn for the rest and take no turn.
+    cells = stage(cells.withColumn("turn", F.count_if(F.col("part") > 0).over(permuted) - 1), "blocks")
     quotas = cells.groupBy("number").agg((F.max("whole") * F.max("cells")
                                           + F.count_if(F.col("part") > 0)).alias("blocks"))
     ends = split_quotas(quotas, shards, seed)
@@ -165,15 +167,15 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
         "ahead < part and part <= ahead + words").select(
         "number", F.col("_mark").alias("cut"), F.expr("(part - ahead) div rows").alias("at_cut"))
 
-    def shard_of(copy: Column) -> Column:
-        at = copy * F.col("cells") + F.col("place")
+    def shard_of(copy: Column, turn: str = "place") -> Column:
+        at = copy * F.col("cells") + F.col(turn)
         return F.size(F.filter("ends", lambda e: e <= at)).cast("int")
 
     known = cells.join(ends, "number").join(cut, "number", "left").select(
         F.col("source").alias("_in"), F.col("cell").alias("_at"), "source_size", "target", "whole",
         "part", (F.col("part") == F.col("size")).alias("entire"), "cut", "at_cut",
         shard_of(F.lit(0)).alias("first"), shard_of(F.lit(1)).alias("second"),
-        shard_of(F.col("whole")).alias("last"))
+        shard_of(F.col("whole"), "turn").alias("last"))
     joined = rows.join(known, F.col("_source").eqNullSafe(F.col("_in")) & (F.col("_cell") == F.col("_at")))
     extra = (F.when(F.col("part") <= 0, 0).when(F.col("entire") | (F.col("_mark") < F.col("cut")), F.col("_size"))
              .when(F.col("_mark") == F.col("cut"), F.least("_size", "at_cut")).otherwise(0))

@@ -136,7 +136,7 @@ def _strength(groups: DataFrame, expected: str) -> float:
         return 10.0
     spread = row["all"] - row["squares"] / row["all"] - (row["k"] - 1)
     rho = (row["between"] / row["within"] - (row["k"] - 1)) / spread if spread > 0 else 0.0
-    rho = min(max(rho, 1e-4), 0.9)
+    rho = min(max(rho, 1e-4), 0.5)  # the prior weighs at least one document
     return (1 - rho) / rho
 
 
