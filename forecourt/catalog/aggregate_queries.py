@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forecourt.catalog import query
@@ -56,13 +57,8 @@ _PAIRS = [("bert_star", "sentiment"), ("issue_category", "sentiment"), ("rating"
     f"CAST({b} AS VARCHAR) AS value_b, count(*) AS n FROM rf GROUP BY {a}, {b}"
     for a, b in _PAIRS))
 def a03(spark, d):
-    out = None
-    for a, b in _PAIRS:
-        part = ag.cross_counts(review_fact(spark, d, a, b), a, b).select(
-            F.lit(a).alias("dim_a"), F.lit(b).alias("dim_b"),
-            F.col(a).cast("string").alias("value_a"), F.col(b).cast("string").alias("value_b"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    columns = sorted({c for pair in _PAIRS for c in pair})
+    return ag.cross_counts_of(review_fact(spark, d, *columns), _PAIRS)
 
 
 @query("a04_negative_rate", RF + """
@@ -175,6 +171,14 @@ def a12(spark, d):
                            "issue_category", _TYPES)
 
 
+@query("a12_pivot_with_rest", RF + """
+SELECT zone, count(*) FILTER (issue_category = 'ECONOMY') AS "ECONOMY",
+  count(*) FILTER (issue_category <> 'ECONOMY') AS rest FROM rf GROUP BY zone""")
+def a12_rest(spark, d):
+    return ag.pivot_counts(review_fact(spark, d, "zone", "issue_category"), "zone",
+                           "issue_category", ["ECONOMY"], other="rest")
+
+
 _BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
@@ -191,9 +195,10 @@ SELECT CAST(least(floor(negative_pct / (100.0 / 15)), 14) AS INTEGER) AS bin, co
   (SELECT round(avg(negative_pct), 4) FROM pq) AS mean
 FROM pq GROUP BY 1""")
 def a13(spark, d):
-    pq = urgency_fact(spark, d)
-    mean = pq.agg(F.round(F.avg("negative_pct"), 4)).scalar()
-    return ag.histogram(pq, "negative_pct", 0.0, 100.0, 15).select("bin", "n", mean.alias("mean"))
+    bins = ag.histogram(urgency_fact(spark, d), "negative_pct", 0.0, 100.0, 15)
+    whole = Window.partitionBy(F.lit(0))  # over the bins
+    mean = F.round(F.sum("total").over(whole) / F.sum("n").over(whole), 4)
+    return bins.select("bin", "n", mean.alias("mean"))
 
 
 @query("a13_rating_histogram", ST + """
@@ -221,6 +226,12 @@ def a14(spark, d):
     return rounded(ag.station_detail(df, F.col("key")), "avg_rating")
 
 
+@query("a14_station_issues", RF + """
+SELECT station_name, issue_category, count(*) AS n FROM rf GROUP BY 1, 2""")
+def a14_issues(spark, d):
+    return ag.station_issues(review_fact(spark, d, "station_name", "issue_category"))
+
+
 @query("a15_modes", RF + """
 (SELECT 'zone' AS dim, zone AS value, count(*) AS negatives,
   round(100.0 * count(*) / (SELECT count(*) FROM rf WHERE sentiment = 'Negative'), 4) AS share_pct
@@ -231,11 +242,8 @@ UNION ALL
 FROM rf WHERE sentiment = 'Negative' GROUP BY issue_category
 ORDER BY negatives DESC, issue_category LIMIT 1)""")
 def a15(spark, d):
-    def one(dim):
-        top = ag.most_negative(review_fact(spark, d, dim, "sentiment"), dim)
-        return top.select(F.lit(dim).alias("dim"), F.col(dim).alias("value"), "negatives",
-                          F.round("share_pct", 4).alias("share_pct"))
-    return one("zone").unionByName(one("issue_category"))
+    fact = review_fact(spark, d, "zone", "issue_category", "sentiment")
+    return rounded(ag.most_negative_of(fact, ["zone", "issue_category"]), "share_pct")
 
 
 @query("a16_best_and_worst", RF + f""", sc AS ({_SCORECARD})

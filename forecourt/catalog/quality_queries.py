@@ -23,9 +23,7 @@ def d01(spark, d):
         "c_custkey",
         F.when(F.col("c_nationkey") != 7, F.lit(18.85) + F.col("c_acctbal") / 20000).alias("lat"),
         (F.lit(72.77) + F.col("c_nationkey") * 0.01).alias("lng"))
-    accepted, rejected = quality.split_by_bounds(df)
-    return accepted.select("c_custkey", F.lit(True).alias("accepted")).unionByName(
-        rejected.select("c_custkey", F.lit(False).alias("accepted")))
+    return quality.with_bounds(df).select("c_custkey", "accepted")
 
 
 @query("d02_category_mismatch", RF + """
@@ -47,7 +45,11 @@ def d03(spark, d):
                      quality.low_review_count(F.col("n")).alias("low"))
 
 
-@query("d04_audit_sample")
+@query("d04_audit_sample", """
+SELECT p_partkey, brand FROM (SELECT p_partkey, p_brand AS brand, ticket,
+    row_number() OVER (PARTITION BY p_brand ORDER BY ticket, p_partkey) AS turn
+  FROM (SELECT *, md5(CAST(p_partkey AS VARCHAR) || '|42') AS ticket FROM part))
+ORDER BY turn, ticket, p_partkey LIMIT 30""")
 def d04(spark, d):
     stations = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"))
     return quality.audit_sample(stations, "p_partkey", "brand")

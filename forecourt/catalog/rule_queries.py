@@ -51,14 +51,17 @@ def n01(spark, d):
 
 
 @query("n02_to_number", """
-SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a'
-  WHEN event_type = 'click' THEN CAST(event_id AS VARCHAR) || ' ' ELSE CAST(event_id AS VARCHAR) END
-  AS DOUBLE) AS number FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 7 IN (1, 2, 3) THEN NULL
+  WHEN event_id % 7 = 4 THEN -event_id / 100.0 ELSE CAST(event_id AS DOUBLE) END AS number
+FROM events""")
 def n02(spark, d):
     e = read(spark, d, "events")
+    number, kind = F.col("event_id").cast("string"), F.col("event_id") % 7
     raw = (F.when(F.col("event_type") == "error", "n/a")
-           .when(F.col("event_type") == "click", F.concat(F.col("event_id").cast("string"), F.lit(" ")))
-           .otherwise(F.col("event_id").cast("string")))
+           .when(kind == 1, F.concat(number, F.lit("d"))).when(kind == 2, F.concat(number, F.lit("f")))
+           .when(kind == 3, F.concat(F.lit("0x"), number, F.lit("p3")))
+           .when(kind == 4, F.concat(F.lit("-"), number, F.lit("e-2")))
+           .when(F.col("event_type") == "click", F.concat(number, F.lit(" "))).otherwise(number))
     return e.select("event_id", rules.to_number(raw).alias("number"))
 
 
@@ -117,13 +120,10 @@ _MODEL = sql_strip(f"regexp_replace({sql_nolink('text')}, '[^{W}{S},.!?''\\-]',
 
 
 @query("n07_model_text", f"""
-SELECT doc_id, substr(clean, 1, 512) AS model_text, length(clean) AS whole_chars,
-  md5(clean) AS whole_md5 FROM (SELECT doc_id, {_MODEL} AS clean FROM documents)""")
+SELECT doc_id, clean AS model_text, length(clean) AS whole_chars FROM (SELECT doc_id, {_MODEL} AS clean FROM documents)""")
 def n07(spark, d):
-    whole = tx.model_text(F.col("text"), None)
-    return documents(spark, d).select(
-        "doc_id", tx.model_text(F.col("text")).alias("model_text"),
-        F.length(whole).cast("long").alias("whole_chars"), F.md5(whole).alias("whole_md5"))
+    cleaned = documents(spark, d).select("doc_id", tx.model_text(F.col("text")).alias("model_text"))
+    return cleaned.withColumn("whole_chars", F.length("model_text").cast("long"))
 
 
 @query("n08_mining_text", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forecourt import lexicon as lx
 from forecourt.catalog import query
 from forecourt.catalog.tables import REFERENCE, RF, read, review_fact
 from forecourt.operators import forecast as fc
@@ -64,20 +65,100 @@ def ts04(spark, d):
     return out.withColumn("value", F.round("value", 4))
 
 
-@query("ts05_forecast")
+def _fitted_sql(seasonal=False):
+    """The two least-squares steps over a relation long(series_id, month, value)."""
+    return f"""
+, s1 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY month) AS d FROM long),
+s2 AS (SELECT *, {"d - lag(d, 12) OVER (PARTITION BY series_id ORDER BY month)" if seasonal else "d"} AS w,
+  FROM s1),
+s3 AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY month) AS w1,
+  lag(w, 2) OVER (PARTITION BY series_id ORDER BY month) AS w2 FROM s2),
+c AS (SELECT series_id, sum(w1 * w1) AS b11, sum(w1 * w2) AS b12, sum(w2 * w2) AS b22,
+  sum(w * w1) AS c1, sum(w * w2) AS c2 FROM s3 WHERE w2 IS NOT NULL GROUP BY series_id),
+c2 AS (SELECT *, CASE WHEN b11 * b22 - b12 * b12 > 1e-9 * b11 * b22 THEN b11 * b22 - b12 * b12 END AS d FROM c),
+s4 AS (SELECT s3.*, coalesce((c1 * b22 - c2 * b12) / c2.d, c1 / nullif(b11, 0), 0) AS a,
+  coalesce((c2 * b11 - c1 * b12) / c2.d, 0) AS a2 FROM s3 LEFT JOIN c2 USING (series_id)),
+s5 AS (SELECT *, w - a * w1 - a2 * w2 AS e FROM s4),
+s6 AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY month) AS e1,
+  lag(value, 12) OVER (PARTITION BY series_id ORDER BY month) AS year_ago FROM s5),
+s7 AS (SELECT series_id, count(*) AS n, count(e1) AS used, any_value(a) AS a,
+    coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w1 * w1 END), 0) AS s11, coalesce(sum(w1 * e1), 0) AS s12,
+    coalesce(sum(e1 * e1), 0) AS s22, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w * w1 END), 0) AS t1,
+    coalesce(sum(w * e1), 0) AS t2, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w * w END), 0) AS tt,
+    max(month) AS last, arg_max(value, month) AS y_n, arg_max(w, month) AS w_n, arg_max(w1, month) AS w1_n,
+    arg_max(e1, month) AS e1_n, list(value ORDER BY month) AS past FROM s6 GROUP BY series_id),
+s8 AS (SELECT *, CASE WHEN s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 THEN s11 * s22 - s12 * s12 END AS det FROM s7),
+s9 AS (SELECT *, greatest(-0.99, least(0.99, coalesce((t1 * s22 - t2 * s12) / det, a))) AS phi,
+  greatest(-0.99, least(0.99, coalesce((t2 * s11 - t1 * s12) / det, 0))) AS theta FROM s8),
+s10 AS (SELECT *, greatest(0, tt - 2 * phi * t1 - 2 * theta * t2 + phi * phi * s11 + 2 * phi * theta * s12
+  + theta * theta * s22) / greatest(used - 2, 1) AS variance,
+  phi * w_n + theta * (w_n - phi * w1_n - theta * e1_n) AS nxt FROM s9)
+"""
+
+
+def _forecast_sql(steps, seasonal=False):
+    season = " + past[len(past) + step - 12] - past[len(past) - 12]" if seasonal else ""
+    return _fitted_sql(seasonal) + f"""
+, fc AS (SELECT series_id, CAST(step AS INTEGER) AS step,
+    CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS month,
+    y_n + nxt * (1 - pow(phi, step)) / (1 - phi){season} AS mean,
+    CAST({lx.INTERVAL_Z_80!r} AS DOUBLE) * sqrt(variance * (SELECT sum(pow(1 + (phi + theta) * (1 - pow(phi, j)) / (1 - phi), 2))
+      FROM unnest(range(0, step)) AS t(j))) AS half,
+    CASE WHEN n < 6 OR used < 3 THEN 'too few months' END AS reason
+  FROM (SELECT *, unnest(range(1, {steps} + 1)) AS step FROM s10)),
+out AS (SELECT series_id, step, month, CASE WHEN reason IS NULL THEN mean END AS mean,
+  CASE WHEN reason IS NULL THEN mean - half END AS lower,
+  CASE WHEN reason IS NULL THEN mean + half END AS upper, reason FROM fc)
+"""
+
+
+_OUT = "SELECT series_id, step, month, round(mean, 3) AS mean, round(lower, 3) AS lower, round(upper, 3) AS upper, reason FROM out"
+
+
+def rounded(df):
+    return df.withColumns({c: F.round(c, 3) for c in ("mean", "lower", "upper")})
+
+
+def _network_forecast(spark, d, **options):
+    return fc.forecast(ts.network_series(dated(spark, d, "sentiment")), **options)
+
+
+@query("ts05_forecast", _DATED + _SERIES + _forecast_sql(6) + _OUT)
 def ts05(spark, d):
-    return fc.forecast(ts.network_series(dated(spark, d, "sentiment")), steps=6)
+    return rounded(_network_forecast(spark, d, steps=6))
 
 
-@query("ts05_seasonal_forecast")
+@query("ts05_seasonal_forecast", _DATED + _SERIES + _forecast_sql(6, True) + _OUT)
 def ts05b(spark, d):
-    return fc.forecast(ts.network_series(dated(spark, d, "sentiment")), steps=6, seasonal=True)
+    return rounded(_network_forecast(spark, d, steps=6, seasonal=True))
+
+
+_MANY = """
+, m AS (SELECT DISTINCT month FROM dated),
+ids AS (SELECT DISTINCT station_name || '|' || issue_category AS series_id FROM dated WHERE sentiment = 'Negative'),
+neg AS (SELECT station_name || '|' || issue_category AS series_id, month, count(*) AS n FROM dated
+  WHERE sentiment = 'Negative' GROUP BY 1, 2),
+long AS (SELECT ids.series_id, m.month, CAST(coalesce(n, 0) AS DOUBLE) AS value
+  FROM ids CROSS JOIN m LEFT JOIN neg ON neg.series_id = ids.series_id AND neg.month = m.month)
+"""
 
 
-@query("ts05_many_series_forecast")
+@query("ts05_many_series_forecast", _DATED + _MANY + _forecast_sql(4) + _OUT)
 def ts05c(spark, d):
     df = dated(spark, d, "sentiment", "station_name", "issue_category")
-    return fc.forecast(ts.issue_series(df, by=["station_name", "issue_category"]), steps=4)
+    return rounded(fc.forecast(ts.issue_series(df, by=["station_name", "issue_category"]), steps=4))
+
+
+@query("ts05_short_series", """
+WITH long AS (SELECT event_type AS series_id, CAST(date_trunc('month', ts) AS DATE) AS month,
+  CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2)
+""" + _forecast_sql(3) + _OUT)
+def ts05d(spark, d):
+    """Series too short for a forecast keep their rows, with the reason."""
+    series = read(spark, d, "events").groupBy(
+        F.col("event_type").alias("series_id"), F.trunc("ts", "month").alias("month")).agg(
+        F.count("*").cast("double").alias("value"))
+    return rounded(fc.forecast(series, steps=3))
 
 
 @query("ts06_long_enough", """
@@ -93,9 +174,11 @@ def ts06(spark, d):
     return ts.long_enough(series)
 
 
-@query("ts07_forecast_table")
+@query("ts07_forecast_table", _DATED + _SERIES + _forecast_sql(6) + """
+SELECT series_id, step, strftime(month, '%b %Y') AS month, round(mean, 1) AS mean,
+  round(lower, 1) AS lower, round(upper, 1) AS upper FROM out""")
 def ts07(spark, d):
-    return fc.forecast_table(ts05(spark, d))
+    return fc.forecast_table(_network_forecast(spark, d, steps=6))
 
 
 @query("ts08_issue_series", _DATED + """
@@ -109,14 +192,25 @@ def ts08(spark, d):
     return ts.issue_series(dated(spark, d, "sentiment", "issue_category"))
 
 
-@query("ts08_issue_forecast")
+@query("ts08_issue_forecast", _DATED + """
+, worst AS (SELECT issue_category FROM dated WHERE sentiment = 'Negative' GROUP BY 1
+  ORDER BY count(*) DESC, issue_category LIMIT 4),
+m AS (SELECT DISTINCT month FROM dated),
+long AS (SELECT w.issue_category AS series_id, m.month, CAST(count(dated.key) AS DOUBLE) AS value
+FROM worst w CROSS JOIN m LEFT JOIN dated ON dated.issue_category = w.issue_category
+  AND dated.month = m.month AND dated.sentiment = 'Negative' GROUP BY ALL)
+""" + _forecast_sql(4) + _OUT)
 def ts08b(spark, d):
-    return fc.forecast(ts08(spark, d), steps=4)
+    return rounded(fc.forecast(ts08(spark, d), steps=4))
 
 
-@query("ts09_trend_direction")
+@query("ts09_trend_direction", _DATED + _SERIES + _forecast_sql(6) + """
+SELECT series_id, round(arg_min(mean, step), 3) AS first, round(arg_max(mean, step), 3) AS last,
+  CASE WHEN arg_max(mean, step) > arg_min(mean, step) THEN 'rising' ELSE 'declining' END AS trend
+FROM out GROUP BY series_id""")
 def ts09(spark, d):
-    return fc.trend_direction(ts05(spark, d))
+    out = fc.trend_direction(_network_forecast(spark, d, steps=6))
+    return out.withColumns({c: F.round(c, 3) for c in ("first", "last")})
 
 
 @query("ts10_dated_trend", " UNION ALL ".join(
@@ -125,8 +219,4 @@ def ts09(spark, d):
 def ts10(spark, d):
     e = read(spark, d, "events").select(
         F.col("ts").cast("timestamp").alias("_date"), F.col("event_type").alias("sentiment"))
-    out = None
-    for unit in ts.UNITS.values():
-        part = ts.dated_trend(e, unit).select(F.lit(unit).alias("unit"), "period", "sentiment", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return ts.dated_trends(e, list(ts.UNITS.values()))

@@ -166,8 +166,8 @@ def s10(spark, d):
 
 
 @query("s11_record_id", """
-SELECT l_orderkey, l_linenumber, l_partkey, md5(s_name || '|' || printf('%.6f', s_acctbal) || '|' ||
-  printf('%.6f', l_quantity) || '|' || l_returnflag || '|' ||
+SELECT l_orderkey, l_linenumber, l_partkey, md5(s_name || '|' || CAST(s_acctbal AS VARCHAR) || '|' ||
+  CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR) || '|' || l_returnflag || '|' ||
   CASE WHEN l_tax = 0 THEN 'None' ELSE l_linestatus END) AS review_id
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
 def s11(spark, d):
@@ -225,7 +225,7 @@ SELECT page_id, pos, author_name, text, date_relative, rating FROM (
     {_inner_sql("regexp_extract(b, '(?s)<p>(.*?)</p>', 1)")} AS text, '' AS date_relative,
     CAST(NULL AS DOUBLE) AS rating
   FROM (SELECT page_id, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM (
-    SELECT page_id, list_slice(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1, 300) AS bs FROM pages)))
+    SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS bs FROM pages)))
 WHERE author_name <> '' OR text <> ''""")
 def s14(spark, d):
     return pages.extract_records(read(spark, d, "pages"), "html", ["page_id"], ARTICLE_RULES)

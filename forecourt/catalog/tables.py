@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.functions.rules import star_sentiment
-from forecourt.session import spread
+from forecourt.session import dealt
 
 REFERENCE = "2002-01-01"
 
@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
+    return dealt(read(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
 
 
 _ORDER = {"bert_star", "rating", "sentiment", "ts", "month", "date_relative"}
@@ -43,8 +43,8 @@ def review_fact(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
         c for group, c in ((_ORDER, "l_orderkey"), (_PART, "l_partkey"),
                            (_SUPPLIER | _NATION | _REGION, "l_suppkey")) if need & group})
     df = read(spark, sf_dir, "lineitem").select(*columns)
-    if "date_relative" in need:  # parsing dates is worth spreading a single-file scan
-        df = spread(df)
+    if "date_relative" in need:
+        df = dealt(df)
     if need & _ORDER:
         orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -8,6 +8,7 @@ from forecourt import lexicon as lx
 from forecourt.catalog import query
 from forecourt.catalog.rule_queries import SQL_TOKENS
 from forecourt.catalog.tables import TF, sql_list, text_fact
+from forecourt.functions import text as tx
 from forecourt.operators import textmining as tm
 from forecourt.operators import topics
 
@@ -66,8 +67,7 @@ g AS (
   SELECT doc_id, ts[i] || ' ' || ts[i + 1] FROM (
     SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM tok)),
 dt AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term),
-vocab AS (SELECT term, sum(n) AS tf, count(*) AS df FROM dt GROUP BY term HAVING count(*) >= 2
-  ORDER BY tf DESC, term LIMIT 300),
+vocab AS (SELECT term, sum(n) AS tf, count(*) AS df FROM dt GROUP BY term HAVING count(*) >= 2),
 nd AS (SELECT count(*) AS n_docs FROM tf),
 w AS (SELECT doc_id, dt.term, n * (ln((1.0 + n_docs) / (1.0 + df)) + 1) AS w
   FROM dt JOIN vocab ON dt.term = vocab.term, nd),
@@ -75,7 +75,7 @@ norm AS (SELECT doc_id, sqrt(sum(w * w)) AS l2 FROM w GROUP BY doc_id)
 SELECT term, round(sum(w / l2) / any_value(n_docs), 6) AS score
 FROM w JOIN norm USING (doc_id), nd GROUP BY term ORDER BY sum(w / l2) DESC, term LIMIT 20""")
 def t03(spark, d):
-    return tm.keyphrases(text_fact(spark, d)).withColumn("score", F.round("score", 6))
+    return tm.keyphrases(text_fact(spark, d), "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query("a10_zone_text_summary", TF + f"""
@@ -94,39 +94,147 @@ def a10(spark, d):
 
 
 def _fit(spark, d):
-    return topics.fit_topics(text_fact(spark, d), "doc_id")
+    return topics.fit_topics(text_fact(spark, d), "doc_id", max_features=500)
 
 
 @query("t04_topic_model")
 def t04(spark, d):
+    return topics.distributions(_fit(spark, d)).select(
+        "doc_id", F.posexplode("weights").alias("topic", "weight"))
+
+
+@query("t04_weights_complete", """
+SELECT doc_id, CAST(8 AS INTEGER) AS topics, CAST(1 AS DOUBLE) AS total FROM documents""")
+def t04_complete(spark, d):
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return topics.distributions(_fit(spark, d)).select(
+        "doc_id", F.size("weights").alias("topics"), F.round(total, 6).alias("total"))
+
+
+_DOC_TERMS = TF + f"""
+, tok AS (SELECT doc_id, {SQL_TOKENS} AS ts FROM tf),
+filled AS (SELECT doc_id, CASE WHEN len(ts) = 0 THEN ['empty', 'review'] ELSE ts END AS ts FROM tok),
+g AS (
+  SELECT doc_id, unnest(ts) AS term FROM filled UNION ALL
+  SELECT doc_id, ts[i] || ' ' || ts[i + 1] FROM (
+    SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM filled)),
+dt AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term),
+vocab AS (SELECT term FROM dt GROUP BY term
+  HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM tf)
+  ORDER BY sum(n) DESC, term LIMIT 500)
+"""
+
+
+@query("t04_term_counts", _DOC_TERMS + """
+SELECT doc_id, sum(n) AS occurrences, count(*) AS terms FROM dt JOIN vocab USING (term)
+GROUP BY doc_id""")
+def t04_terms(spark, d):
+    """What the fit reads: the vocabulary's terms of each document."""
     from pyspark.ml.functions import vector_to_array
-    fitted = _fit(spark, d)
-    return fitted.model.transform(fitted.vectors).select(
-        "doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
+    counts = F.filter(vector_to_array("features"), lambda x: x > 0)
+    out = topics.term_vectors(text_fact(spark, d), "doc_id", max_features=500)[0].select(
+        "doc_id", F.aggregate(counts, F.lit(0.0), lambda a, x: a + x).cast("long").alias("occurrences"),
+        F.size(counts).cast("long").alias("terms"))
+    return out.where("terms > 0")
 
 
-@query("t05_topic_words")
+@query("t06_fitted_complete", "SELECT doc_id, true AS has_topic, true AS has_label FROM documents")
+def t06_fitted(spark, d):
+    fitted = _fit(spark, d)
+    found = topics.dominant_topics(topics.distributions(fitted), "doc_id", topics.topic_words(fitted))
+    return found.select("doc_id", F.col("topic").between(0, 7).alias("has_topic"),
+                        F.col("label").isNotNull().alias("has_label"))
+
+
+# The steps after the fit, on a distribution that SQL can state: a topic per language, its
+# words the most frequent ones of the language, and as weight of a topic in a document the
+# share of the document's tokens that are among its words.
+_LANGUAGES = ("de", "en", "es", "fr")
+_NAMES = {"German": ["die", "der", "und"], "Romance": ["de", "la", "las", "que", "les", "des"],
+          "English": ["the", "and", "that"]}
+_RUNS = r"regexp_extract_all(lower(text), '[a-z]+')"
+_TOPICS = TF + f"""
+, words AS (SELECT topic, list(term ORDER BY n DESC, term) AS words FROM (
+    SELECT CAST(list_position(['de', 'en', 'es', 'fr'], zone) - 1 AS INTEGER) AS topic, term, count(*) AS n,
+      row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, term) AS r
+    FROM (SELECT zone, unnest({_RUNS}) AS term FROM tf) GROUP BY zone, term) WHERE r <= 10 GROUP BY topic),
+labels AS (SELECT topic, words,
+    len(list_intersect(words, ['die', 'der', 'und'])) AS a,
+    len(list_intersect(words, ['de', 'la', 'las', 'que', 'les', 'des'])) AS b,
+    len(list_intersect(words, ['the', 'and', 'that'])) AS c FROM words),
+named AS (SELECT topic, words, CASE WHEN greatest(a, b, c) = 0 THEN '{lx.TOPIC_DEFAULT}'
+    WHEN a >= b AND a >= c THEN 'German' WHEN b >= c THEN 'Romance' ELSE 'English' END AS label FROM labels),
+hits AS (SELECT t.doc_id, n.topic,
+    len(list_filter(t.ts, lambda w: list_contains(n.words, w))) AS h
+  FROM (SELECT doc_id, {_RUNS} AS ts FROM tf) t CROSS JOIN named n),
+best AS (SELECT doc_id, topic FROM (SELECT doc_id, topic,
+    row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, topic) AS r FROM hits) WHERE r = 1)
+"""
+
+
+def _language_words(spark, d):
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = text_fact(spark, d).select("zone", F.explode(tokens).alias("term"))
+    top = tm.top_per_group(rows.groupBy("zone", "term").agg(F.count("*").alias("n")), "zone", "n", "term", 10)
+    number = F.array_position(F.array(*map(F.lit, _LANGUAGES)), F.col("zone")) - 1
+    return top.groupBy(number.cast("int").alias("topic")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("words"))
+
+
+def _language_weights(spark, d):
+    words = {r["topic"]: r["words"] for r in _language_words(spark, d).collect()}  # four rows
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+
+    def share(ts, k):
+        return F.size(F.filter(ts, lambda w: w.isin(words.get(k, [])))) / F.greatest(F.size(ts), F.lit(1))
+    weights = tx.let(tokens, lambda ts: F.array(*[share(ts, k) for k in range(len(_LANGUAGES))]))
+    return text_fact(spark, d).select("doc_id", weights.alias("weights"))
+
+
+def _language_topics(spark, d):
+    return topics.dominant_topics(_language_weights(spark, d), "doc_id", _language_words(spark, d), _NAMES)
+
+
+@query("t05_topic_words", _TOPICS + """
+SELECT topic, label, CAST(i - 1 AS INTEGER) AS place, words[i] AS term
+FROM (SELECT topic, label, words, unnest(range(1, len(words) + 1)) AS i FROM named)""")
 def t05(spark, d):
-    words = topics.topic_words(_fit(spark, d))
+    words = topics.labelled_topics(_language_words(spark, d), _NAMES)
     return words.select("topic", "label", F.posexplode("words").alias("place", "term"))
 
 
-@query("t06_dominant_topics")
+@query("t06_dominant_topics", _TOPICS + """
+SELECT doc_id, topic, label FROM best JOIN named USING (topic)""")
 def t06(spark, d):
-    return topics.dominant_topics(_fit(spark, d))
+    return _language_topics(spark, d)
 
 
-@query("t07_topic_table")
+@query("t07_topic_table", _TOPICS + f"""
+, shown AS (SELECT topic, label, list_transform(list_filter(words,
+    lambda w: length(w) > 3 AND w NOT IN ({sql_list(lx.TOPIC_NOISE_WORDS)})),
+    lambda w: upper(w[1]) || w[2:]) AS s FROM named)
+SELECT topic, label, CAST(i AS INTEGER) AS place, coalesce(s[i], '') AS term
+FROM (SELECT topic, label, s, unnest(range(1, 9)) AS i FROM shown)""")
 def t07(spark, d):
-    return topics.topic_table(_fit(spark, d))
+    return topics.topic_table(_language_words(spark, d), table=_NAMES)
 
 
-@query("a12_topic_sentiment")
+@query("a12_topic_sentiment", _TOPICS + """
+SELECT label, count(*) FILTER (sentiment = 'Positive') AS positive,
+  count(*) FILTER (sentiment = 'Neutral') AS neutral,
+  count(*) FILTER (sentiment = 'Negative') AS negative
+FROM best JOIN named USING (topic) JOIN tf USING (doc_id) GROUP BY label""")
 def a12c(spark, d):
-    return topics.topic_sentiment(topics.dominant_topics(_fit(spark, d)), text_fact(spark, d), "doc_id")
+    return topics.topic_sentiment(_language_topics(spark, d), text_fact(spark, d), "doc_id")
+
+
+@query("a20_topic_labels", _TOPICS + """
+SELECT label, count(*) AS reviews FROM best JOIN named USING (topic) GROUP BY label""")
+def a20(spark, d):
+    return topics.topic_frequency(_language_topics(spark, d))
 
 
-@query("j06_topic_labels")
+@query("j06_topic_labels", _TOPICS + """
+SELECT doc_id, station_name, topic, label FROM best JOIN named USING (topic) JOIN tf USING (doc_id)""")
 def j06(spark, d):
-    found = topics.dominant_topics(_fit(spark, d))
-    return text_fact(spark, d).select("doc_id", "station_name").join(found, "doc_id")
+    return text_fact(spark, d).select("doc_id", "station_name").join(_language_topics(spark, d), "doc_id")

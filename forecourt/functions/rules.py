@@ -25,8 +25,10 @@ def nan_to_null(value: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """Double, or NULL when the value is no number (NaN counts as missing)."""
-    given = F.nullif(F.trim(value.cast("string")), F.lit(""))
-    return nan_to_null(given.try_cast("double"))
+    given = F.trim(value.cast("string"))
+    # The cast alone would also take suffixes such as 5d and hexadecimal forms.
+    plain = given.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return nan_to_null(F.when(plain, given).try_cast("double"))
 
 
 def first_contained(
@@ -157,10 +159,27 @@ def relative_month(relative: Column, reference: str = lx.REFERENCE_MONTH) -> Col
 
 
 def record_id(name: Column, lat: Column, lng: Column, author: Column, text: Column):
-    """md5 over the identifying fields; coordinates with six decimals."""
-    def fixed(x: Column) -> Column:
-        return F.format_string("%.6f", x)
-    parts = [name, fixed(lat), fixed(lng), author, text]
+    """md5 over the identifying fields; coordinates in their shortest decimal form.
+
+    Shortest form is what existing ids were made of: 19.076, 72.0, and 1e-05 or 1e+16
+    beyond plain notation.
+    """
+    def shortest(x: Column) -> Column:
+        text = x.cast("double").cast("string")
+        digits = F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.0$", "")
+        sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+        power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+        flat = F.replace(digits, F.lit("."), F.lit(""))
+        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), flat)).otherwise(
+            F.concat(F.rpad(flat, power + 1, "0"), F.lit("."),
+                     F.when(F.length(flat) > power + 1, F.substring(flat, power + 2, F.length(flat)))
+                     .otherwise("0")))
+        far = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+                       F.lpad(F.abs(power).cast("string"), F.greatest(
+                           F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        return F.when(power.isNull(), text).otherwise(F.concat(
+            sign, F.when(power.between(-4, 15), plain).otherwise(far)))
+    parts = [name, shortest(lat), shortest(lng), author, text]
     return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("None")) for p in parts]))
 
 

@@ -55,7 +55,7 @@ def _drop_links(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"http[^{SPACE}]+", "")
 
 
-def model_text(text: Column, max_chars: int | None = lx.MODEL_TEXT_CHARS) -> Column:
+def model_text(text: Column, max_chars: int | None = None) -> Column:
     """Text for the scorer: no links, basic punctuation kept.
 
     ``max_chars`` is the input window of the scoring model; ``None`` keeps the

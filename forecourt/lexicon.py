@@ -359,8 +359,6 @@ CNG_FUEL, PETROL_FUEL = "CNG", "Petrol / Diesel"
 CNG_MARK = "compressed"
 BOUNDING_BOX = (18.89, 19.28, 72.77, 73.00)
 AUDIT_SAMPLE = 30
-PAGE_REVIEW_CAP = 300
-MODEL_TEXT_CHARS = 512
 EMPTY_TOPIC_DOCUMENT = "general service"
 EMPTY_PHRASE_DOCUMENT = "general"
 DEFAULT_STATION_RATING, DEFAULT_STATION_REVIEWS = 3.5, 10

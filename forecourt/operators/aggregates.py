@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
@@ -53,11 +53,14 @@ def kpi(df: DataFrame, star: str | None = "bert_star", confidence: str | None =
 
 def value_counts(df: DataFrame, column: str, share: bool = True) -> DataFrame:
     """Rows per value and their share in percent, one decimal."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     if not share:
-        return counts
-    total = df.agg(F.count("*")).scalar()
-    return counts.withColumn("share_pct", F.round(pct(F.col("n"), total), 1))
+        return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    # Missing values count in the total, so they are a group until the shares are made;
+    # the window runs over one row per value.
+    everything = Window.partitionBy(F.lit(0))
+    counts = df.groupBy(column).agg(F.count("*").alias("n")).withColumn(
+        "share_pct", F.round(pct(F.col("n"), F.sum("n").over(everything)), 1))
+    return counts.where(F.col(column).isNotNull())
 
 
 def cross_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,6 +68,22 @@ def cross_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(both).groupBy(a, b).agg(F.count("*").alias("n"))
 
 
+def cross_counts_of(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``cross_counts`` of several pairs in long form, with the rows read once.
+
+    The rows are first counted over all columns involved; each pair then adds up its part
+    of that cube.
+    """
+    columns = sorted({c for pair in pairs for c in pair})
+    cube = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    views = F.array(*[F.struct(
+        F.lit(a).alias("dim_a"), F.lit(b).alias("dim_b"), F.col(a).cast("string").alias("value_a"),
+        F.col(b).cast("string").alias("value_b")) for a, b in pairs])
+    rows = cube.select("_n", F.explode(views).alias("v")).select("v.*", "_n")
+    return rows.where(F.col("value_a").isNotNull() & F.col("value_b").isNotNull()).groupBy(
+        "dim_a", "dim_b", "value_a", "value_b").agg(F.sum("_n").alias("n"))
+
+
 def negative_rate(df: DataFrame, by: str) -> DataFrame:
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(
         pct(F.count_if(is_negative()), F.count("*")).alias("negative_pct")
@@ -209,36 +228,50 @@ def station_count(
     return df.agg(F.count_distinct(key).alias("stations"))
 
 
-def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Counts with one column per listed value, zero where there are none."""
+def pivot_counts(
+    df: DataFrame, row: str, column: str, values: Sequence[str], other: str | None = None
+) -> DataFrame:
+    """Counts with one column per listed value, zero where there are none.
+
+    With ``other`` a column of that name counts all further values.
+    """
+    rest = [] if other is None else [
+        F.count_if(~F.col(column).isin(list(values))).alias(other)]
     return df.where(F.col(row).isNotNull()).groupBy(row).agg(*[
         F.count_if(F.col(column) == v).alias(str(v)) for v in values
-    ])
+    ], *rest)
 
 
 def pivot_mean(
-    df: DataFrame, row: str, column: str, value: str, values: Sequence[str]
+    df: DataFrame, row: str, column: str, value: str, values: Sequence[str],
+    other: str | None = None,
 ) -> DataFrame:
-    return df.groupBy(row).agg(*[
-        F.coalesce(F.avg(F.when(F.col(column) == v, F.col(value))), F.lit(0.0)).alias(str(v))
-        for v in values
-    ])
+    """Means with one column per listed value; with ``other`` one for all further values."""
+    def mean(of: Column, name: str) -> Column:
+        return F.coalesce(F.avg(F.when(of, F.col(value))), F.lit(0.0)).alias(name)
+    rest = [] if other is None else [mean(~F.col(column).isin(list(values)), other)]
+    return df.groupBy(row).agg(*[mean(F.col(column) == v, str(v)) for v in values], *rest)
 
 
 def histogram(
     df: DataFrame, value: str, low: float, high: float, bins: int, by: str | None = None
 ) -> DataFrame:
-    """Rows per fixed-width bin; the top edge belongs to the last bin."""
+    """Rows per fixed-width bin and their sum; the top edge belongs to the last bin."""
     width = (high - low) / bins
     slot = F.least(F.floor((F.col(value) - low) / width).cast("int"), F.lit(bins - 1))
     inside = df.where(F.col(value).between(low, high)).withColumn("bin", slot)
     keys = ["bin"] + ([by] if by else [])
-    return inside.groupBy(*keys).agg(F.count("*").alias("n")).withColumns({
+    return inside.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).withColumns({
         "bin_low": F.lit(low) + F.col("bin") * width,
         "bin_high": F.lit(low) + (F.col("bin") + 1) * width,
     })
 
 
+def station_issues(df: DataFrame, issue: str = "issue_category") -> DataFrame:
+    """Reviews per issue of the station(s) in ``df``."""
+    return cross_counts(df, "station_name", issue)
+
+
 def station_detail(df: DataFrame, order_key: Column, rating: str = "station_rating"):
     """Mix, mean rating and first attributes of the station(s) in ``df``."""
     attrs = ["brand", "zone", "category"]
@@ -257,14 +290,27 @@ def station_detail(df: DataFrame, order_key: Column, rating: str = "station_rati
     ).select("*", "first.*").drop("first")
 
 
+def most_negative_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``most_negative`` for several columns in long form, with the rows read once."""
+    cube = df.where(is_negative()).groupBy(*columns).agg(F.count("*").alias("_n"))
+    values = F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in columns])
+    counts = cube.select("_n", F.explode(values).alias("v")).groupBy("v.dim", "v.value").agg(
+        F.sum("_n").alias("negatives"))
+    per_dim = Window.partitionBy("dim")
+    first = per_dim.orderBy(F.col("value").isNull(), F.desc("negatives"), "value")
+    return counts.withColumns({
+        "share_pct": pct(F.col("negatives"), F.sum("negatives").over(per_dim)),
+        "_place": F.row_number().over(first),
+    }).where(F.col("value").isNotNull() & (F.col("_place") == 1)).drop("_place")
+
+
 def most_negative(df: DataFrame, column: str) -> DataFrame:
     """The value with most negative reviews, and its share of all negatives."""
-    counts = df.where(is_negative() & F.col(column).isNotNull()).groupBy(column).agg(
-        F.count("*").alias("negatives")
-    )
-    total = df.agg(F.count_if(is_negative())).scalar()
+    counts = df.where(is_negative()).groupBy(column).agg(F.count("*").alias("negatives"))
+    total = F.sum("negatives").over(Window.partitionBy(F.lit(0)))  # over one row per value
     return (
         counts.withColumn("share_pct", pct(F.col("negatives"), total))
+        .where(F.col(column).isNotNull())
         .orderBy(F.desc("negatives"), column)
         .limit(1)
     )

@@ -37,11 +37,15 @@ def date_range(
     The upper bound is the midnight that starts the last day, so later rows of
     that day drop out; ``inclusive_day`` keeps them.
     """
-    ts = F.col(column)
+    return df.where(in_dates(F.col(column), low, high, inclusive_day))
+
+
+def in_dates(ts: Column, low: str, high: str, inclusive_day: bool = False) -> Column:
+    """The test of ``date_range`` as a column."""
     start, last = F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")
     if inclusive_day:
-        return df.where((ts >= start) & (ts < F.lit(high).cast("date") + F.expr("INTERVAL 1 DAY")))
-    return df.where(ts.between(start, last))
+        return (ts >= start) & (ts < F.lit(high).cast("date") + F.expr("INTERVAL 1 DAY"))
+    return ts.between(start, last)
 
 
 def with_text(df: DataFrame, column: str = "text") -> DataFrame:

@@ -1,168 +1,116 @@
-"""Forecasts for many series in parallel.
-
-One group is one aggregated series, so its size is the number of months and not
-the number of reviews behind it.  Parameters come from conditional least
-squares; they differ from a maximum-likelihood fit in the decimals.
+"""Forecasts of many series at once, as windows and grouped sums.
+
+The model is (1,1,1): the differences of a series follow their last value and the last
+error.  Both weights come from two least-squares steps in closed form.  The first fits
+the differences on their last two values, which gives errors; the second fits them on
+their last value and the last error.  The seasonal form takes differences against the same
+month of the year before first.  One shuffle by series; a series is as long as its
+months, however many reviews are behind it.
 """
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
 
-# The workers get these functions by value, so they need numpy and pandas only.
-register_pickle_by_value(sys.modules[__name__])
-
-SCHEMA = "series_id string, step int, month date, mean double, lower double, upper double"
-
-
-def _poly(*factors: np.ndarray) -> np.ndarray:
-    out = np.array([1.0])
-    for f in factors:
-        out = np.convolve(out, f)
-    return out
-
-
-def _lag(value: float, lag: int, sign: float) -> np.ndarray:
-    p = np.zeros(lag + 1)
-    p[0], p[lag] = 1.0, sign * value
-    return p
+TOO_SHORT, MISSING = "too few months", "missing value"
 
 
-def _terms(params: np.ndarray, m: int) -> tuple[list, list]:
-    """(lag, coefficients per candidate) of the AR and the MA side."""
-    phi, theta = params[:, 0], params[:, 1]
-    ar, ma = [(1, phi)], [(1, theta)]
-    if params.shape[1] == 4:
-        big_phi, big_theta = params[:, 2], params[:, 3]
-        ar += [(m, big_phi), (m + 1, -phi * big_phi)]
-        ma += [(m, big_theta), (m + 1, theta * big_theta)]
-    return ar, ma
+def without_gaps(series: DataFrame) -> DataFrame:
+    """Every month between the first and the last of each series, zero where it has none."""
+    months = series.groupBy("series_id").agg(F.explode(F.sequence(
+        F.min("month"), F.max("month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return months.join(series, ["series_id", "month"], "left").withColumn(
+        "value", F.coalesce("value", F.lit(0.0)))
 
 
-def _residual_ss(w: np.ndarray, params: np.ndarray, m: int) -> np.ndarray:
-    """Conditional sums of squares of many candidates, in one pass over the series."""
-    ar, ma = _terms(params, m)
-    p = ar[-1][0]
-    errors = np.zeros((len(w), len(params)))
-    for t in range(p, len(w)):
-        e = np.full(len(params), w[t])
-        for lag, c in ar:
-            e -= c * w[t - lag]
-        for lag, c in ma:
-            e -= c * errors[t - lag]
-        errors[t] = e
-    with np.errstate(over="ignore", invalid="ignore"):
-        ss = np.einsum("ij,ij->j", errors, errors)
-    return np.where(np.isfinite(ss), ss, np.inf)
-
-
-def _dense(terms: list, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for lag, c in terms:
-        out[lag - 1] = c[0]
-    return out
-
-
-def fit_arima(y: np.ndarray, seasonal: bool = False, m: int = 12):
-    """Least-squares (1,1,1), optionally (1,1,1,m); None when y is too short.
-
-    The search refines a grid around the best candidate so far.
-    """
-    w = np.diff(np.asarray(y, dtype=float))
+def fit(series: DataFrame, seasonal: bool = False, m: int = 12) -> DataFrame:
+    """One row per series: weights phi and theta, error variance and the last values."""
+    by = Window.partitionBy("series_id")
+    turn = by.orderBy("month")
+    value = F.when(~F.isnan("value"), F.col("value"))
+    x = series.select("series_id", "month", value.cast("double").alias("y"))
+    x = x.withColumn("w", F.col("y") - F.lag("y").over(turn))
     if seasonal:
-        if len(w) <= m:
-            return None
-        w = w[m:] - w[:-m]
-    k, lags = (4, m + 1) if seasonal else (2, 1)
-    if len(w) <= lags + k:
-        return None
-    centre, half = np.zeros(k), 0.98
-    for level in range(7):
-        points = (7 if seasonal else 21) if level == 0 else (5 if seasonal else 9)
-        axes = [np.clip(np.linspace(c - half, c + half, points), -0.99, 0.99) for c in centre]
-        grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, k)
-        centre = grid[int(np.argmin(_residual_ss(w, grid, m)))]
-        half *= 0.33
-    sigma2 = float(_residual_ss(w, centre[None, :], m)[0]) / max(1, len(w) - lags - k)
-    return centre, sigma2
-
-
-def forecast_arima(y: np.ndarray, steps: int, seasonal: bool = False, m: int = 12,
-                   z: float = lx.INTERVAL_Z_80):
-    """(mean, lower, upper) arrays, or None when the series is too short."""
-    fitted = fit_arima(y, seasonal, m)
-    if fitted is None:
-        return None
-    params, sigma2 = fitted
-    size = m + 1 if seasonal else 1
-    ar, ma = (_dense(side, size) for side in _terms(params[None, :], m))
-    diffs = [np.array([1.0, -1.0])] + ([_lag(1.0, m, -1.0)] if seasonal else [])
-    full_ar = _poly(np.concatenate([[1.0], -ar]), *diffs)
-    y = np.asarray(y, dtype=float)
-    p, q = len(full_ar) - 1, len(ma)
-    errors = np.zeros(len(y) + steps)
-    path = np.concatenate([y, np.zeros(steps)])
-    for t in range(p, len(y) + steps):
-        back = errors[max(0, t - q):t][::-1]
-        fit = -full_ar[1:] @ path[t - p:t][::-1] + ma[:len(back)] @ back
-        if t < len(y):
-            errors[t] = path[t] - fit
-        else:
-            path[t] = fit
-    psi = np.zeros(steps)
-    for h in range(steps):
-        psi[h] = 1.0 if h == 0 else (ma[h - 1] if h <= q else 0.0)
-        for j in range(1, min(h, p) + 1):
-            psi[h] -= full_ar[j] * psi[h - j]
-    spread = z * np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    mean = path[len(y):]
-    return mean, mean - spread, mean + spread
+        x = x.withColumn("w", F.col("w") - F.lag("w", m).over(turn))
+    x = x.withColumns({"w1": F.lag("w").over(turn), "w2": F.lag("w", 2).over(turn)})
+
+    def over(a: str, b: str) -> Column:
+        return F.sum(F.when(F.col("w2").isNotNull(), F.col(a) * F.col(b))).over(by)
+    x = x.withColumns({"b11": over("w1", "w1"), "b12": over("w1", "w2"), "b22": over("w2", "w2"),
+                       "c1": over("w", "w1"), "c2": over("w", "w2")})
+    full = F.expr("b11 * b22 - b12 * b12")
+    x = x.withColumn("d", F.when(full > F.expr("1e-9D * b11 * b22"), full))
+    x = x.withColumns({
+        "a1": F.expr("coalesce((c1 * b22 - c2 * b12) / d, c1 / nullif(b11, 0D), 0D)"),
+        "a2": F.expr("coalesce((c2 * b11 - c1 * b12) / d, 0D)")})
+    x = x.withColumn("e", F.expr("w - a1 * w1 - a2 * w2"))
+    x = x.withColumn("e1", F.lag("e").over(turn))
+
+    def total(a: str, b: str) -> Column:
+        both = F.when(F.col("e1").isNotNull() & F.col("w").isNotNull(), F.col(a) * F.col(b))
+        return F.coalesce(F.sum(both), F.lit(0.0))
+    sums = x.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y").isNull()).alias("gaps"),
+        F.count_if(F.col("e1").isNotNull() & F.col("w").isNotNull()).alias("used"),
+        F.max("a1").alias("a"), total("w1", "w1").alias("s11"), total("w1", "e1").alias("s12"),
+        total("e1", "e1").alias("s22"), total("w", "w1").alias("t1"), total("w", "e1").alias("t2"),
+        total("w", "w").alias("tt"), F.max("month").alias("last"),
+        F.max_by(F.struct("w", "w1", "e1"), "month").alias("end"),
+        F.array_sort(F.collect_list(F.struct("month", "y"))).alias("past"))
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    sums = sums.withColumn("det", F.when(det > 1e-9 * F.col("s11") * F.col("s22"), det))
+
+    def bounded(c: Column) -> Column:
+        return F.greatest(F.lit(-0.99), F.least(F.lit(0.99), c))
+    phi = (F.col("t1") * F.col("s22") - F.col("t2") * F.col("s12")) / F.col("det")
+    theta = (F.col("t2") * F.col("s11") - F.col("t1") * F.col("s12")) / F.col("det")
+    fitted = sums.withColumn("phi", bounded(F.coalesce(phi, "a"))).withColumn(
+        "theta", bounded(F.coalesce(theta, F.lit(0.0))))
+    p, q = F.col("phi"), F.col("theta")
+    squares = (F.col("tt") - 2 * p * F.col("t1") - 2 * q * F.col("t2") + p * p * F.col("s11")
+               + 2 * p * q * F.col("s12") + q * q * F.col("s22"))
+    return fitted.withColumn("variance", F.greatest(squares, F.lit(0.0)) / F.greatest(
+        F.col("used") - 2, F.lit(1))).select(
+        "series_id", "n", "gaps", "used", "phi", "theta", "variance", "last", "end", "past")
 
 
 def forecast(
     series: DataFrame, steps: int = 6, seasonal: bool = False, m: int = 12, minimum: int = 6,
-    fill_gaps: bool = False,
+    fill_gaps: bool = False, z: float = lx.INTERVAL_Z_80,
 ) -> DataFrame:
-    """Forecast each series of ``(series_id, month, value)``.
+    """(series_id, step, month, mean, lower, upper, reason) for each series of (series_id, month, value).
 
-    Series that are too short or cannot be fitted give no rows.  Missing months
-    are taken as contiguous unless ``fill_gaps`` puts zeros in.
+    A series with fewer than ``minimum`` months, with too few differences or with a
+    missing value has the same rows with NULL values and the reason.  Missing months are
+    taken as contiguous unless ``fill_gaps`` puts zeros in.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        months = pd.PeriodIndex(pd.to_datetime(pdf["month"]), freq="M")
-        values = pd.Series(pdf["value"].to_numpy(dtype=float), index=months)
-        if fill_gaps:
-            values = values.reindex(pd.period_range(months[0], months[-1], freq="M"), fill_value=0.0)
-        out = None
-        if len(values) >= minimum and np.isfinite(values).all():
-            out = forecast_arima(values.to_numpy(), steps, seasonal, m)
-        if out is None:
-            return pd.DataFrame(columns=["series_id", "step", "month", "mean", "lower", "upper"])
-        last = values.index[-1]
-        return pd.DataFrame({
-            "series_id": pdf["series_id"].iloc[0],
-            "step": np.arange(1, steps + 1, dtype="int32"),
-            "month": [(last + i).to_timestamp().date() for i in range(1, steps + 1)],
-            "mean": out[0], "lower": out[1], "upper": out[2],
-        })
-
-    # The rows are few but each series costs milliseconds of fitting.  Joining
-    # small partitions by bytes would leave one task, so the series are dealt out
-    # over a slot column with a fixed number of partitions.
-    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64("series_id"), F.lit(16 * tasks))
-    dealt = series.select(slot.alias("_slot"), "series_id", "month", "value")
-    return dealt.repartition(tasks, "_slot").groupBy("_slot", "series_id").applyInPandas(one, SCHEMA)
+    if seasonal and steps > m:
+        raise ValueError("a seasonal forecast reaches one season ahead")
+    fitted = fit(without_gaps(series) if fill_gaps else series, seasonal, m)
+    p, q, h = F.col("phi"), F.col("theta"), F.col("step")
+    rows = fitted.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    reason = F.when(F.col("gaps") > 0, MISSING).when(
+        (F.col("n") < minimum) | (F.col("used") < 3), TOO_SHORT)
+    error = F.col("end.w") - p * F.col("end.w1") - q * F.col("end.e1")
+    nxt = p * F.col("end.w") + q * error
+    level = F.element_at("past", -1)["y"] + nxt * (1 - F.pow(p, h)) / (1 - p)
+    if seasonal:  # the same step of the year before
+        enough = F.size("past") > m
+        level = F.when(enough, level + F.get("past", F.size("past") - 1 + h - m)["y"]
+                       - F.get("past", F.size("past") - 1 - m)["y"])
+    spread = F.aggregate(F.sequence(F.lit(0), h - 1), F.lit(0.0), lambda s, j: s + F.pow(
+        1 + (p + q) * (1 - F.pow(p, j)) / (1 - p), F.lit(2.0)))
+    half = z * F.sqrt(F.col("variance") * spread)
+    out = rows.withColumns({"reason": reason, "_mean": level, "_half": half})
+    known = F.col("reason").isNull()
+    return out.select(
+        "series_id", h.cast("int").alias("step"), F.add_months("last", h).alias("month"),
+        F.when(known, F.col("_mean")).alias("mean"),
+        F.when(known, F.col("_mean") - F.col("_half")).alias("lower"),
+        F.when(known, F.col("_mean") + F.col("_half")).alias("upper"), "reason")
 
 
 def forecast_table(fc: DataFrame) -> DataFrame:
@@ -174,9 +122,9 @@ def forecast_table(fc: DataFrame) -> DataFrame:
 
 
 def trend_direction(fc: DataFrame) -> DataFrame:
-    """Rising when the last forecast exceeds the first, else declining."""
+    """Rising when the last forecast exceeds the first, else declining; NULL without forecasts."""
     ends = fc.groupBy("series_id").agg(
         F.min_by("mean", "step").alias("first"), F.max_by("mean", "step").alias("last")
     )
     rising = F.col("last") > F.col("first")
-    return ends.withColumn("trend", F.when(rising, "rising").otherwise("declining"))
+    return ends.withColumn("trend", F.when(rising, "rising").when(~rising, "declining"))

@@ -13,6 +13,11 @@ def in_bounds(lat: Column, lng: Column, box=lx.BOUNDING_BOX) -> Column:
     return F.coalesce(lat.between(south, north) & lng.between(west, east), F.lit(False))
 
 
+def with_bounds(df: DataFrame, lat="lat", lng="lng", box=lx.BOUNDING_BOX, name="accepted"):
+    """All stations with a flag whether they lie in the box."""
+    return df.withColumn(name, in_bounds(F.col(lat), F.col(lng), box))
+
+
 def split_by_bounds(df: DataFrame, lat="lat", lng="lng", box=lx.BOUNDING_BOX):
     """(accepted, rejected) stations; missing coordinates are rejected."""
     inside = in_bounds(F.col(lat), F.col(lng), box)
@@ -39,7 +44,7 @@ def audit_sample(
     of every brand, then the second of every brand, until ``size`` rows are in.
     Both cuts prune to ``size`` rows per task.
     """
-    ticket = F.xxhash64(F.col(id_column), F.lit(seed))
+    ticket = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"|{seed}")))
     w = Window.partitionBy(by).orderBy("_ticket", id_column)
     turn = df.withColumn("_ticket", ticket).withColumn("_turn", F.row_number().over(w))
     return (

@@ -111,12 +111,24 @@ def long_enough(series: DataFrame, minimum: int = 6) -> DataFrame:
 
 
 def dated_trend(
-    df: DataFrame, unit: str = "month", date: str = "_date", minimum: int = 5
+    df: DataFrame, unit: str = "month", date: str = "_date", minimum: int | None = None
 ) -> DataFrame:
-    """Reviews per period and sentiment; empty when too few rows have a date."""
-    dated = df.where(F.col(date).isNotNull() & F.col("sentiment").isNotNull())
-    known = df.agg(F.count(date)).scalar()
-    counts = dated.groupBy(
-        F.date_trunc(unit, F.col(date)).cast("date").alias("period"), "sentiment"
-    ).agg(F.count("*").alias("n"))
-    return counts.where(known >= minimum)
+    """Reviews per period and sentiment; with a ``minimum``, empty below so many dated rows."""
+    return dated_trends(df, [unit], date, minimum).drop("unit")
+
+
+def dated_trends(
+    df: DataFrame, units: list[str], date: str = "_date", minimum: int | None = None
+) -> DataFrame:
+    """``dated_trend`` for several units from one daily count, so the rows are read once."""
+    daily = df.where(F.col(date).isNotNull()).groupBy(
+        F.col(date).cast("date").alias("_day"), "sentiment").agg(F.count("*").alias("_n"))
+    rows = daily.where(F.col("sentiment").isNotNull()).select(
+        "_day", "sentiment", "_n", F.explode(F.array(*map(F.lit, units))).alias("unit"))
+    period = F.coalesce(*[F.when(F.col("unit") == u, F.date_trunc(u, "_day").cast("date"))
+                          for u in units])
+    out = rows.groupBy("unit", period.alias("period"), "sentiment").agg(F.sum("_n").alias("n"))
+    if minimum is None:
+        return out
+    # The guard adds up the daily counts once more, not the rows.
+    return out.where(daily.agg(F.sum("_n")).scalar() >= minimum)

@@ -8,18 +8,14 @@ vocabulary, pre-aggregated per task.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
 from forecourt.functions import text as tx
 from forecourt.functions.text import let
 from forecourt.operators.ranking import top_per_group
-from forecourt.session import explode_once
+from forecourt.session import explode_once, stage
 
 
 def top_keywords(
@@ -52,27 +48,23 @@ def term_stats(df: DataFrame, terms: Column, by: list[str] | None = None) -> Dat
 
 
 def vocabulary(
-    stats: DataFrame, max_features: int, min_df: int = 2, max_df: Column | int | None = None
+    stats: DataFrame, max_features: int | None = None, min_df: int = 2,
+    max_df: Column | int | None = None,
 ) -> DataFrame:
-    """The most frequent terms within the document-frequency bounds."""
+    """Terms within the document-frequency bounds; with a limit, the most frequent ones."""
     kept = stats.where(F.col("df") >= min_df)
     if max_df is not None:
         kept = kept.where(F.col("df") <= max_df)
-    return kept.orderBy(F.desc("tf"), "term").limit(max_features)
+    return kept if max_features is None else kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
 
 def top_ngrams(
     df: DataFrame, n: int = 2, top_k: int = 15, text: str = "text",
-    stop_words: list[str] | None = None, max_features: int = 200, min_df: int = 2,
+    stop_words: list[str] | None = None, min_df: int = 2,
 ) -> DataFrame:
-    """The most frequent n-grams; stop words go before the grams form.
-
-    The cut to ``max_features`` and then to ``top_k`` uses one ordering, so one
-    limit does both.
-    """
+    """The most frequent n-grams; stop words go before the grams form."""
     grams = tx.ngrams(tx.word_tokens(F.col(text), stop_words), n)
-    limit = min(top_k, max_features)
-    return vocabulary(term_stats(df, grams), limit, min_df).select("term", F.col("tf").alias("n"))
+    return vocabulary(term_stats(df, grams), top_k, min_df).select("term", F.col("tf").alias("n"))
 
 
 def phrase_terms(text: Column, stand_in: str, stop_words: list[str] | None = None) -> Column:
@@ -82,41 +74,31 @@ def phrase_terms(text: Column, stand_in: str, stop_words: list[str] | None = Non
 
 
 def keyphrases(
-    df: DataFrame, top_k: int = 20, text: str = "text", max_features: int = 300,
+    df: DataFrame, key: str, top_k: int = 20, text: str = "text", max_features: int | None = None,
     min_df: int = 2, stop_words: list[str] | None = None,
 ) -> DataFrame:
-    """Terms by mean TF-IDF weight over all documents.
+    """Terms by mean TF-IDF weight over all documents, each a unit vector.
 
-    Two passes over the text.  The first finds the vocabulary, at most
-    ``max_features`` terms, which the driver needs to build the vectoriser.  The
-    second turns each document into a unit vector in place and averages the
-    vectors with per-task partial sums; documents are never shuffled.
+    The vocabulary has no bound unless one is stated, so it never reaches the driver: the
+    documents are a long table of (key, term, count), written once, that joins the term
+    statistics.  A term in a third of all documents is a skewed join key, which Spark
+    splits at run time; the norms add up per document.
     """
-    spark = df.sparkSession
     stop = lx.DEFAULT.mining_stop_words if stop_words is None else stop_words
     terms = phrase_terms(F.col(text), lx.EMPTY_PHRASE_DOCUMENT, stop)
-    # The vectoriser applies the stop words again, so the stand-in word vanishes.
+    # The stop words apply again to the stand-in document, so it vanishes.
     terms = F.filter(terms, lambda t: ~t.isin(stop)) if stop else terms
-    docs = df.select(terms.alias("terms"))
     n_docs = df.agg(F.count("*").alias("n_docs")).scalar()
-    vocab = vocabulary(term_stats(docs, F.col("terms")), max_features, min_df)
+    counts = stage(explode_once(df, [key], terms, "term").groupBy(key, "term").agg(
+        F.count("*").alias("n")), "phrase-counts")
+    stats = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    rows = vocab.select("term", idf.alias("idf")).collect()  # at most max_features rows
-    if not rows:
-        return spark.createDataFrame([], "term string, score double")
-    names = [r["term"] for r in rows]
-    counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts")
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="counts", outputCol="weights"
-    )
-    unit = Normalizer(p=2.0, inputCol="weights", outputCol="unit")
-    vectors = unit.transform(weigh.transform(counts.transform(docs)))
-    mean = vectors.agg(Summarizer.mean(F.col("unit")).alias("mean"))
-    scores = mean.select(F.posexplode(vector_to_array("mean")).alias("i", "score"))
-    named = scores.select(
-        F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("term"), "score"
-    )
-    return named.orderBy(F.desc("score"), "term").limit(top_k)
+    vocab = vocabulary(stats, max_features, min_df).select("term", idf.alias("idf"))
+    weights = counts.join(vocab, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    scores = weights.withColumn("w", F.col("w") / norm).groupBy("term").agg(
+        (F.sum("w") / n_docs).alias("score"))
+    return scores.orderBy(F.desc("score"), "term").limit(top_k)
 
 
 def zone_text_summary(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
 from forecourt.functions.rules import topic_label
+from forecourt.functions.text import let
 from forecourt.operators.textmining import phrase_terms, term_stats, vocabulary
 from forecourt.session import stage
 
@@ -24,16 +25,11 @@ class TopicModel:
     key: str
 
 
-def fit_topics(
-    df: DataFrame, key: str, text: str = "text", n_topics: int = 8, max_features: int = 500,
-    max_iter: int = 20, seed: int = 42, sampling: float = 0.05, max_df: float = 0.95,
+def term_vectors(
+    df: DataFrame, key: str, max_features: int, text: str = "text", max_df: float = 0.95,
     stop_words: list[str] | None = None,
-) -> TopicModel:
-    """Online variational LDA over 1- and 2-grams.
-
-    The document vectors are written once, so every mini-batch reads short
-    sparse vectors and not the text, and a lost executor costs no re-tokenising.
-    """
+) -> tuple[DataFrame, list[str]]:
+    """Term counts of every document over the most frequent terms, and these terms."""
     docs = df.select(
         key, phrase_terms(F.col(text), lx.EMPTY_TOPIC_DOCUMENT, stop_words).alias("terms")
     )
@@ -43,32 +39,58 @@ def fit_topics(
     if not names:
         raise ValueError("no term occurs in two documents")
     counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="features")
-    vectors = stage(counts.transform(docs).select(key, "features"), "topic-vectors")
+    return stage(counts.transform(docs).select(key, "features"), "topic-vectors"), names
+
+
+def fit_topics(
+    df: DataFrame, key: str, max_features: int, text: str = "text", n_topics: int = 8,
+    passes: int = 20, seed: int = 42, max_df: float = 0.95,
+    stop_words: list[str] | None = None,
+) -> TopicModel:
+    """Online variational LDA over 1- and 2-grams.
+
+    Every pass reads every document.  ``max_features`` is the size of the model's
+    vocabulary, stated by the caller; that many terms reach the driver.  The document
+    vectors are written once, so a pass reads short sparse vectors and not the text, and
+    a lost executor costs no re-tokenising.
+    """
+    vectors, names = term_vectors(df, key, max_features, text, max_df, stop_words)
     lda = LDA(
-        k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", learningOffset=10.0,
-        learningDecay=0.7, subsamplingRate=sampling, optimizeDocConcentration=False,
+        k=n_topics, maxIter=passes, seed=seed, optimizer="online", learningOffset=10.0,
+        learningDecay=0.7, subsamplingRate=1.0, optimizeDocConcentration=False,
         docConcentration=[1.0 / n_topics], topicConcentration=1.0 / n_topics,
     )
     return TopicModel(lda.fit(vectors), names, vectors, key)
 
 
+def distributions(fitted: TopicModel) -> DataFrame:
+    """Document key and its weights, one per topic, which add up to 1.
+
+    A document without a term of the vocabulary has equal weights.
+    """
+    k = fitted.model.getK()
+    weights = let(vector_to_array("topicDistribution"), lambda p: F.when(
+        F.array_max(p) > 0, p).otherwise(F.array_repeat(F.lit(1.0 / k), k)))
+    return fitted.model.transform(fitted.vectors).select(fitted.key, weights.alias("weights"))
+
+
 def topic_words(fitted: TopicModel, top_n: int = 10) -> DataFrame:
-    """Topic, its top terms in order and its label."""
+    """Topic and its top terms in order."""
     terms = F.array(*map(F.lit, fitted.terms))
     named = F.transform("termIndices", lambda i: F.element_at(terms, i + 1))
-    out = fitted.model.describeTopics(top_n).select("topic", named.alias("words"))
-    return out.withColumn("label", topic_label(F.col("words")))
+    return fitted.model.describeTopics(top_n).select("topic", named.alias("words"))
 
 
-def dominant_topics(fitted: TopicModel) -> DataFrame:
-    """Document key, its strongest topic and the topic's label."""
-    scored = fitted.model.transform(fitted.vectors).select(
-        fitted.key, vector_to_array("topicDistribution").alias("p")
-    )
-    best = scored.select(
-        fitted.key, (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("topic")
-    )
-    labels = topic_words(fitted).select("topic", "label")  # one row per topic
+def labelled_topics(words: DataFrame, table=None) -> DataFrame:
+    """Topic, its terms and the name from the label table that shares most of them."""
+    return words.withColumn("label", topic_label(F.col("words"), table))
+
+
+def dominant_topics(weights: DataFrame, key: str, words: DataFrame, table=None) -> DataFrame:
+    """Document key, its strongest topic (of equal ones the first) and the topic's label."""
+    best = weights.select(
+        key, (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("topic"))
+    labels = labelled_topics(words, table).select("topic", "label")  # one row per topic
     return best.join(F.broadcast(labels), "topic")
 
 
@@ -76,14 +98,14 @@ def topic_frequency(topics: DataFrame) -> DataFrame:
     return topics.groupBy("label").agg(F.count("*").alias("reviews"))
 
 
-def topic_table(fitted: TopicModel, width: int = 8) -> DataFrame:
+def topic_table(words: DataFrame, width: int = 8, table=None) -> DataFrame:
     """Display terms per topic; topics with equal labels stay apart by id."""
     shown = F.slice(
         F.transform(
             F.filter("words", lambda w: (F.length(w) > 3) & ~w.isin(lx.TOPIC_NOISE_WORDS)),
             F.initcap,
         ), 1, width)
-    words = topic_words(fitted).select("topic", "label", shown.alias("shown"))
+    words = labelled_topics(words, table).select("topic", "label", shown.alias("shown"))
     padded = F.concat("shown", F.array_repeat(F.lit(""), F.lit(width) - F.size("shown")))
     rows = words.select("topic", "label", F.posexplode(padded).alias("i", "term"))
     return rows.select("topic", "label", (F.col("i") + 1).alias("place"), "term")

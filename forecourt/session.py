@@ -83,11 +83,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that came as too few tasks one task per core.
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan dealt over as many tasks as the session states, else as it is.
 
-    A large table has far more splits than cores and is returned unchanged, so
-    this never shuffles data at scale.
+    ``spark.forecourt.scanPartitions`` is for files that Spark cannot split, such as a
+    small test file with one row group.  Without it nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    stated = df.sparkSession.conf.get("spark.forecourt.scanPartitions", None)
+    return df.repartition(int(stated)) if stated else df

@@ -132,12 +132,12 @@ def extract_records(
     html: str,
     keys: list[str],
     page_rules: PageRules = REVIEW_PAGE,
-    cap: int | None = lx.PAGE_REVIEW_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """One row per block of each page, in page order.
 
-    The first block pattern found on a page decides.  ``cap`` is the collector's
-    limit per page; ``None`` keeps every block.  Blocks with neither author nor
+    The first block pattern found on a page decides.  ``cap`` is a
+    limit per page for callers that state one.  Blocks with neither author nor
     text are dropped.
     """
     blocks = page_blocks(F.col(html), page_rules.blocks)

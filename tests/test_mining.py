@@ -45,7 +45,8 @@ def test_ngrams(docs, texts, n):
 
 def test_no_vocabulary(spark):
     df = spark.createDataFrame([("unique words only",), ("",)], "text string")
-    assert tm.top_ngrams(df, n=2).collect() == [] and tm.keyphrases(df).collect() == []
+    df = df.withColumn("id", F.monotonically_increasing_id())
+    assert tm.top_ngrams(df, n=2).collect() == [] and tm.keyphrases(df, "id").collect() == []
 
 
 def test_keyphrases(docs, texts):
@@ -68,7 +69,7 @@ def test_keyphrases(docs, texts):
         for t, x in w.items():
             score[t] += x / norm / n
     expected = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:20]
-    got = [tuple(r) for r in tm.keyphrases(docs, top_k=20).collect()]
+    got = [tuple(r) for r in tm.keyphrases(docs, "id", top_k=20).collect()]
     assert [g[1] for g in got] == pytest.approx([e[1] for e in expected])
     assert {g[0] for g in got[:10]} == {e[0] for e in expected[:10]}
 
@@ -86,16 +87,18 @@ def test_topics_separate_disjoint_vocabularies(spark):
               ["upi", "card", "gpay", "cash", "terminal"]]
     rows = [(i, " ".join(rng.choice(groups[i % 2]) for _ in range(20))) for i in range(120)]
     df = spark.createDataFrame(rows, "id int, text string")
-    fitted = topics.fit_topics(df, "id", n_topics=2, sampling=0.5, max_iter=30)
-    found = {r["id"]: (r["topic"], r["label"]) for r in topics.dominant_topics(fitted).collect()}
+    def dominant(fitted):
+        return topics.dominant_topics(topics.distributions(fitted), "id", topics.topic_words(fitted))
+    fitted = topics.fit_topics(df, "id", n_topics=2, max_features=50, passes=30)
+    found = {r["id"]: (r["topic"], r["label"]) for r in dominant(fitted).collect()}
     assert len(found) == 120
     majority = Counter((i % 2, found[i][0]) for i in found).most_common(2)
     assert sum(n for _, n in majority) >= 110 and majority[0][0][1] != majority[1][0][1]
     assert {label for _, label in found.values()} == {"Staff Conduct", "Payment & Digital"}
-    table = topics.topic_table(fitted).collect()
+    table = topics.topic_table(topics.topic_words(fitted)).collect()
     assert len(table) == 16 and all(r["term"] == r["term"].title() for r in table)
-    again = topics.fit_topics(df, "id", n_topics=2, sampling=0.5, max_iter=30)
-    assert found == {r["id"]: (r["topic"], r["label"]) for r in topics.dominant_topics(again).collect()}
+    again = topics.fit_topics(df, "id", n_topics=2, max_features=50, passes=30)
+    assert found == {r["id"]: (r["topic"], r["label"]) for r in dominant(again).collect()}
 
 
 def test_trained_scorer_learns(spark):

@@ -32,8 +32,22 @@ def test_filters_reach_the_scan(spark, sf):
 @pytest.mark.parametrize("name", ["c08_issue", "c11_quality", "n09_tokens", "s07_enriched"])
 def test_row_work_does_not_shuffle(spark, sf, name):
     text = plan(spark, sf, name)
-    # Only the spreading of a single-file scan, which a large table never gets.
-    assert "hashpartitioning" not in text and "SinglePartition" not in text
+    assert "Exchange" not in text
+
+
+def test_scans_are_dealt_only_where_the_session_states_it(spark, sf):
+    assert "RoundRobin" not in plan(spark, sf, "c10_aspects")
+    spark.conf.set("spark.forecourt.scanPartitions", "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan(spark, sf, "c10_aspects")
+    finally:
+        spark.conf.unset("spark.forecourt.scanPartitions")
+
+
+@pytest.mark.parametrize("name", ["a02_value_counts", "a03_cross_counts", "a13_negative_histogram",
+                                  "a15_modes"])
+def test_one_scan_of_the_fact_per_answer(spark, sf, name):
+    assert plan(spark, sf, name).count("/lineitem.parquet") == 1
 
 
 def test_terms_are_counted_with_one_shuffle(spark, sf):
