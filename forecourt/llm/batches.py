@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-PIECE_BYTES = 1 << 21
-PIECE_ROWS = 512
+PIECE_BYTES = 1 << 19
+PIECE_ROWS = 256
 
 
 @lru_cache(maxsize=8)

@@ -13,7 +13,7 @@ from forecourt.llm.batches import append, fresh, ship
 from forecourt.llm.pretokens import NONE, Codes, Vocabulary, ragged, take_ragged, vocabulary
 
 SHORT = 96
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 300_000
 
 
 def merge_short(parts: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,20 +21,35 @@ from forecourt.llm.batches import append, flat, fresh, pieces, ship
 BITS = 12
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
+LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(2654435761)
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z and the accented capitals of Latin-1 in lower case, in UTF-8 bytes."""
+    out = LOWER[raw]
+    if len(raw) > 1:
+        accented = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        out[1:][accented] += 32
+    return out
+
+
 def _is_part(raw: np.ndarray) -> np.ndarray:
     return ((raw >= ord("a")) & (raw <= ord("z"))) | (raw >= 128)
 
 
 def gram_counts(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Counts of the byte n-grams of words, a row per text; texts come in lower case.
+    """Counts of the byte n-grams of words in lower case, a row per text.
 
     All that is no letter a-z and no byte outside ASCII counts as one blank.  N-grams of
     one to four bytes with at least one letter are numbered by a hash of 12 bits.
     """
     docs = len(offsets) - 1
+    raw = lowered(raw)
     symbol = np.where(_is_part(raw), raw, 32).astype(np.uint32)
     doc = np.repeat(np.arange(docs), np.diff(offsets))
     out = np.zeros(docs << BITS, np.float32)
@@ -105,7 +121,7 @@ def _sums(rows: DataFrame, text: str, group: str, value, width: str) -> dict[str
                  pa.array(x[at])], ["name", "at", "x"])
 
     ship(rows.sparkSession)
-    got = (rows.select(F.lower(text).alias("text"), F.col(group).alias("name"))
+    got = (rows.select(F.col(text).alias("text"), F.col(group).alias("name"))
            .mapInArrow(run, schema).groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow())
     out: dict[str, np.ndarray] = {}
     frame = got.to_pandas()
@@ -186,20 +202,15 @@ def languages(docs: DataFrame, model: Centroids, text: str = "text") -> DataFram
     empty frame stays empty, and a taken column name gets an underscore.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lower = fresh(docs, "lower")
 
     def run(offsets, raw):
-        # the first byte tells whether the text has a letter
-        mark = raw[offsets[:-1]] == ord("1")
-        body = np.ones(len(raw), bool)
-        body[offsets[:-1]] = False
-        return held.value.predict(offsets - np.arange(len(offsets)), raw[body], mark)
-
-    marked = docs.withColumn(lower, F.concat(
-        F.when(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"), "1").otherwise("0"),
-        F.coalesce(F.lower(text), F.lit(""))))
-    return append(marked, lower, run, [
+        data = raw.tobytes()
+        letters = np.array([bool(LETTER.search(data[a:b].decode("utf-8", "replace")))
+                            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        return held.value.predict(offsets, raw, letters)
+
+    return append(docs, text, run, [
         T.StructField(fresh(docs, "lang_pred"), T.StringType()),
         T.StructField(fresh(docs, "score"), T.DoubleType()),
         T.StructField(fresh(docs, "cosine"), T.DoubleType()),
-        T.StructField(fresh(docs, "rejected"), T.BooleanType())]).drop(lower)
+        T.StructField(fresh(docs, "rejected"), T.BooleanType())])

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from forecourt.llm.batches import append, fresh
 from forecourt.llm.pretokens import NONE, Codes, Vocabulary, ragged, vocabulary
 
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 300_000
 
 
 def surviving(ids: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> np.ndarray:
