@@ -9,7 +9,7 @@ from forecourt.catalog import query
 from forecourt.catalog.rule_queries import ENRICHED_SQL, ISSUES, rounded_scores
 from forecourt.catalog.tables import TF, documents, read, station_sheet, text_fact
 from forecourt.functions import rules
-from forecourt.plans.enrich import enrich, export_tags, refresh
+from forecourt.plans.enrich import append_new, enrich, export_tags, refresh
 from forecourt.session import work_dir
 from forecourt.sources import pages, reviews, tabular
 
@@ -33,15 +33,14 @@ def as_reviews(spark, d):
 SELECT CAST(doc_id AS VARCHAR) AS review_id, source AS station_name, lang AS zone,
   CAST(n_chars AS DOUBLE) AS rating, md5(text) AS text_md5 FROM documents""")
 def s01(spark, d):
-    """Documents packed as JSON arrays of at most 300 reviews, then scanned."""
+    """Documents as JSON lines, then scanned."""
     path = work_dir(spark, "s01")
-    docs = as_reviews(spark, d)
-    block = F.floor(F.col("review_id").cast("long") / lx.PAGE_REVIEW_CAP)
-    arrays = docs.groupBy(block.alias("block")).agg(
-        F.collect_list(F.struct(*docs.columns)).alias("reviews"))
-    arrays.select(F.to_json("reviews").alias("value")).write.text(path)
-    out = reviews.read_review_json(spark, path, layout="line")
-    return out.select("review_id", "station_name", "zone", "rating", F.md5("text").alias("text_md5"))
+    as_reviews(spark, d).write.json(path)
+    return _digest(reviews.read_review_json(spark, path, layout="line"))
+
+
+def _digest(df):
+    return df.select("review_id", "station_name", "zone", "rating", F.md5("text").alias("text_md5"))
 
 
 @query("s02_csv_scan", "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
@@ -49,7 +48,7 @@ def s02(spark, d):
     path = work_dir(spark, "s02")
     docs = read(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
     tabular.write_csv(docs, path)
-    back = tabular.read_csv(spark, path, docs.schema)
+    back = tabular.read_csv(spark, path, docs.schema, multi_line=True)  # texts hold line breaks
     return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
 
 
@@ -113,6 +112,18 @@ def s07(spark, d):
     return refresh(fresh, table, "doc_id").select("doc_id", "zone", "origin")
 
 
+@query("s07_append", """
+SELECT doc_id, source AS zone FROM documents""")
+def s07c(spark, d):
+    """New rows, each of them twice, appended to a table partitioned by zone."""
+    raw = read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("zone"))
+    labels = read(spark, d, "labels").select("doc_id")
+    path = work_dir(spark, "s07-append")
+    enrich(raw.join(labels, "doc_id", "left_semi")).write.partitionBy("zone").parquet(path)
+    append_new(spark, raw.unionByName(raw), path, "doc_id")
+    return spark.read.parquet(path).select("doc_id", F.col("zone").cast("string").alias("zone"))
+
+
 @query("s07_enriched", ENRICHED_SQL)
 def s07b(spark, d):
     out = export_tags(enrich(documents(spark, d), lexicon=lx.Lexicon(issues=ISSUES)))
@@ -225,12 +236,47 @@ SELECT page_id, pos, author_name, text, date_relative, rating FROM (
     {_inner_sql("regexp_extract(b, '(?s)<p>(.*?)</p>', 1)")} AS text, '' AS date_relative,
     CAST(NULL AS DOUBLE) AS rating
   FROM (SELECT page_id, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM (
-    SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS bs FROM pages)))
+    SELECT page_id, regexp_extract_all(regexp_replace(html,
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)<p>.*?</p>') AS bs FROM pages)))
 WHERE author_name <> '' OR text <> ''""")
 def s14(spark, d):
     return pages.extract_records(read(spark, d, "pages"), "html", ["page_id"], ARTICLE_RULES)
 
 
+def _marked_up(spark, d):
+    """Each turn of a conversation as a saved review page: two blocks, the second in fallback markup."""
+    t = read(spark, d, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " ").alias("text"))
+    stars = F.concat((F.pmod("turn", F.lit(5)) + 1).cast("string"), F.lit(" stars"))
+    ago = F.concat((F.col("turn") + 2).cast("string"), F.lit(" months ago"))
+    html = F.concat(
+        F.lit('<script>var t="<div data-review-id=x>";</script><!-- <div data-review-id> -->'),
+        F.lit('<div data-review-id="a"><div class="d4r55">'), "role",
+        F.lit('</div><span aria-label="'), stars, F.lit('"></span><span class="wiI7pd"><b>'), "text",
+        F.lit('</b> &amp; more</span><span class="rsqaWe">'), ago, F.lit("</span></div>"),
+        F.lit('<div data-review-id="b"><span class="the-author">second '), "role",
+        F.lit('</span><i class="kvMYJc" aria-label="Rated 4"></i><p class="section-review-text">'), "text",
+        F.lit('</p><span class="a-date">a year ago</span></div>'))
+    return t.select("conv_id", "turn", html.alias("html"))
+
+
+_TRIM = "regexp_replace({}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+
+
+@query("s14_review_pages", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role,
+  regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS text FROM conversations)
+SELECT conv_id, turn, 0 AS pos, {_TRIM.format("role")} AS author_name,
+  CAST(turn % 5 + 1 AS DOUBLE) AS rating, {_TRIM.format("text || ' & more'")} AS text,
+  CAST(turn + 2 AS VARCHAR) || ' months ago' AS date_relative FROM t
+UNION ALL SELECT conv_id, turn, 1, {_TRIM.format("'second ' || role")}, 4.0,
+  CASE WHEN {_TRIM.format("text")} = '' THEN {_TRIM.format("'second ' || role")} ELSE {_TRIM.format("text")} END,
+  'a year ago' FROM t""")
+def s14b(spark, d):
+    return pages.extract_records(_marked_up(spark, d), "html", ["conv_id", "turn"])
+
+
 @query("s15_clean_address", r"""
 SELECT s_suppkey, n_name || ' ' || s_name AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def s15(spark, d):

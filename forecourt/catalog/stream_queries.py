@@ -23,13 +23,9 @@ def table_stream(spark, d, name):
 SELECT CAST(doc_id AS VARCHAR) AS review_id, source AS station_name, md5(text) AS text_md5
 FROM documents""")
 def x01(spark, d):
-    """Documents packed as JSON array files, then read as a stream."""
+    """Documents as JSON lines, then read as a stream."""
     path = work_dir(spark, "x01")
-    docs = as_reviews(spark, d)
-    block = F.floor(F.col("review_id").cast("long") / 300)
-    arrays = docs.groupBy(block.alias("block")).agg(
-        F.collect_list(F.struct(*docs.columns)).alias("reviews"))
-    arrays.select(F.to_json("reviews").alias("value")).write.text(path)
+    as_reviews(spark, d).write.json(path)
     rows = ingest.read_review_stream(spark, path, layout="line")
     rows = rows.select("review_id", "station_name", F.md5("text").alias("text_md5"))
     return ingest.run_available(rows, "x01")
@@ -38,9 +34,21 @@ def x01(spark, d):
 @query("x02_dedupe", """
 SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def x02(spark, d):
-    li = table_stream(spark, d, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
-    once = ingest.dedupe_stream(li, ["l_orderkey", "l_linenumber"], "ts", "3650 days")
-    return ingest.run_available(once.select("l_orderkey", "l_linenumber"), "x02")
+    """Line items and bit-identical copies of half of them, in three files and batches."""
+    path, keys = work_dir(spark, "x02"), ["l_orderkey", "l_linenumber"]
+    li = read(spark, d, "lineitem")
+    li.unionByName(li.where("l_quantity > 25")).repartition(3).write.parquet(path)
+    rows = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return ingest.dedupe_into(rows, keys, "x02").select(*keys)
+
+
+@query("x02_windowed_dedupe", """
+SELECT event_id FROM events GROUP BY event_id""")
+def x02b(spark, d):
+    """Events twice in one batch: equal copies are reduced in several groups first."""
+    events = table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(0)))).drop("copy")
+    return ingest.run_available(ingest.dedupe_stream(twice, ["event_id"], "ts").select("event_id"), "x02b")
 
 
 @query("x03_enrich", ENRICHED_SQL)

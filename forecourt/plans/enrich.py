@@ -9,17 +9,21 @@ from forecourt import lexicon as lx
 from forecourt.functions import issues
 from forecourt.operators.filters import with_text
 from forecourt.operators.scoring import predict
-from forecourt.sources.reviews import unseen
+from forecourt.sources.reviews import keep_first, unseen
 
 
-def protect_author(df: DataFrame, author: str = "hash", column: str = "author_name"):
-    """Reviewer names are personal data: hash them, drop them, or keep them."""
+def protect_author(df: DataFrame, author: str = "hash", column: str = "author_name",
+                   secret: str = ""):
+    """Reviewer names are personal data: hash them, drop them, or keep them.
+
+    Without a ``secret`` of the caller's, a list of names can be hashed and compared.
+    """
     if column not in df.columns or author == "keep":
         return df
     if author == "drop":
         return df.drop(column)
     if author == "hash":
-        return df.withColumn(column, F.sha2(F.col(column), 256))
+        return df.withColumn(column, F.sha2(F.concat(F.lit(secret), F.col(column)), 256))
     raise ValueError(f"unknown author mode: {author}")
 
 
@@ -32,6 +36,7 @@ def enrich(
     quality: bool = True,
     author: str = "hash",
     max_chars: int | None = None,
+    secret: str = "",
 ) -> DataFrame:
     """Score and classify every review with a text.
 
@@ -46,7 +51,7 @@ def enrich(
     }
     if quality:
         columns["quality_score"] = issues.quality_score(F.col(text), lexicon.specific)
-    return protect_author(counted.withColumns(columns).drop("_scores"), author)
+    return protect_author(counted.withColumns(columns).drop("_scores"), author, secret=secret)
 
 
 def export_tags(df: DataFrame, column: str = "issue_tags") -> DataFrame:
@@ -54,12 +59,17 @@ def export_tags(df: DataFrame, column: str = "issue_tags") -> DataFrame:
     return df.withColumn(column, F.array_join(column, ", "))
 
 
+def _once(raw: DataFrame, key: str) -> DataFrame:
+    return keep_first(raw, [key], [F.xxhash64(*raw.columns)])
+
+
 def refresh(raw: DataFrame, enriched: DataFrame, key: str = "review_id", **options) -> DataFrame:
     """The enriched table with the raw rows it does not hold yet.
 
-    Only new rows are scored; what was enriched before is read, not recomputed.
+    Only new rows are scored; what was enriched before is read, not recomputed.  Of new
+    rows with one key the first by hash of the row counts.
     """
-    fresh = enrich(unseen(raw, enriched, [key]), **options)
+    fresh = enrich(unseen(_once(raw, key), enriched, [key]), **options)
     return enriched.unionByName(fresh.select(*enriched.columns))
 
 
@@ -69,6 +79,6 @@ def append_new(
 ) -> None:
     """Bring the enriched table at ``path`` up to date by appending new rows."""
     table = spark.read.parquet(path)
-    fresh = enrich(unseen(raw, table, [key]), **options).select(*table.columns)
+    fresh = enrich(unseen(_once(raw, key), table, [key]), **options).select(*table.columns)
     writer = fresh.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -106,7 +106,7 @@ def first_value(block: Column, patterns: tuple[str, ...]) -> Column:
     tries = [
         F.nullif(inner_text(F.regexp_extract(block, p, 1)), F.lit("")) for p in patterns
     ]
-    return F.coalesce(*tries)
+    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
 
 def first_stars(block: Column, patterns: tuple[str, ...]) -> Column:
@@ -115,6 +115,11 @@ def first_stars(block: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[star_from_label(F.regexp_extract(block, p, 1)) for p in patterns])
 
 
+def without_hidden(html: Column) -> Column:
+    """The page without scripts, styles and comments, whose text may look like markup."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+
+
 def page_blocks(html: Column, patterns: tuple[str, ...]) -> Column:
     """Blocks of the first pattern found; later patterns run only if needed."""
     if not patterns:
@@ -140,7 +145,7 @@ def extract_records(
     limit per page for callers that state one.  Blocks with neither author nor
     text are dropped.
     """
-    blocks = page_blocks(F.col(html), page_rules.blocks)
+    blocks = let(without_hidden(F.col(html)), lambda page: page_blocks(page, page_rules.blocks))
     if cap is not None:
         blocks = F.slice(blocks, 1, cap)
     rows = posexplode_once(pages, keys, blocks, "block")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from forecourt import lexicon as lx
 from forecourt.functions import rules
 from forecourt.functions.text import strip
-from forecourt.session import posexplode_once
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.StringType()),
@@ -42,16 +41,31 @@ def nan_columns_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(floats) if floats else df
 
 
-def explode_documents(
-    docs: DataFrame, schema: T.StructType = REVIEW_SCHEMA, value: str = "value"
-) -> DataFrame:
-    """One row per element of each JSON array, with its place as ``(file, pos)``."""
-    parsed = docs.select(
-        F.col("file"),
-        F.from_json(value, T.ArrayType(schema), {"mode": "FAILFAST"}).alias("docs"),
-    )
-    rows = posexplode_once(parsed, ["file"], F.col("docs"), "doc")
-    return nan_columns_to_null(rows.select("file", "pos", "doc.*"))
+CORRUPT = "_corrupt_record"
+
+
+def review_reader(reader, schema: T.StructType, layout: str):
+    """A JSON reader, batch or stream, that keeps what it cannot parse beside the fields."""
+    if layout not in ("file", "line"):
+        raise ValueError(f"unknown layout: {layout}")
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = reader.schema(full).option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
+    if layout == "file":
+        reader = reader.option("multiLine", True).option("pathGlobFilter", "*.json")
+    return reader
+
+
+def parsed(schema: T.StructType) -> Column:
+    """True for rows without a parse error; names a field, as Spark reads no file for the error alone."""
+    first = F.length(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit("")))
+    return F.col(CORRUPT).isNull() & (first >= 0)
+
+
+def _placed(spark: SparkSession, path: str, schema: T.StructType, layout: str) -> DataFrame:
+    raw = review_reader(spark.read, schema, layout).json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.struct(
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("pos"))
 
 
 def read_review_json(
@@ -60,28 +74,22 @@ def read_review_json(
     schema: T.StructType = REVIEW_SCHEMA,
     layout: str = "file",
 ) -> DataFrame:
-    """Scan JSON arrays of reviews.
+    """Scan reviews, with their place as ``(file, pos)``.
 
-    ``layout="file"`` takes each file as one station's array.  ``layout="line"``
-    takes each line as one station's array, so that millions of stations need
-    not be millions of files and large files split.
+    ``layout="line"`` has one review (or array) per line; files split, so a station with a
+    third of all reviews is read by many tasks.  ``layout="file"`` takes each ``*.json``
+    file as one array, which is parsed review by review and not held as one value.  Rows of
+    one file come in order within a block.  What cannot be parsed is left to ``rejects``.
     """
-    if layout == "file":
-        raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-        docs = raw.select(F.col("_metadata.file_path").alias("file"), "value")
-    elif layout == "line":
-        raw = spark.read.text(path)
-        docs = raw.select(
-            # A file may be read in several blocks; rows of a block come in order.
-            F.format_string(
-                "%s#%020d#%020d", F.col("_metadata.file_path"),
-                F.col("_metadata.file_block_start"), F.monotonically_increasing_id(),
-            ).alias("file"),
-            "value",
-        )
-    else:
-        raise ValueError(f"unknown layout: {layout}")
-    return explode_documents(docs, schema)
+    rows = _placed(spark, path, schema, layout).where(parsed(schema)).drop(CORRUPT)
+    return nan_columns_to_null(rows.select("file", "pos", *[f"`{f.name}`" for f in schema.fields]))
+
+
+def rejects(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA,
+            layout: str = "file") -> DataFrame:
+    """(file, review_id, record) of what a scan could not parse."""
+    rows = _placed(spark, path, schema, layout).where(F.col(CORRUPT).isNotNull())
+    return rows.select("file", schema.fields[0].name, F.col(CORRUPT).alias("record"))
 
 
 def write_station_json(df: DataFrame, path: str, key: str = "station_key") -> None:

@@ -13,15 +13,18 @@ from forecourt.functions import rules
 from forecourt.sources.reviews import nan_columns_to_null
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header, a fixed schema and line breaks inside quotes.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header and a fixed schema.
 
-    An empty field is a missing value, as is usual for these sheets.
+    Files split unless ``multi_line`` allows line breaks inside quotes.  An empty field is
+    a missing value, as is usual for these sheets.
     """
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

@@ -8,7 +8,14 @@ from pyspark.sql import types as T
 
 from forecourt.plans.enrich import enrich
 from forecourt.session import work_dir
-from forecourt.sources.reviews import REVIEW_SCHEMA, explode_documents
+from forecourt.sources.reviews import (
+    REVIEW_SCHEMA,
+    keep_first,
+    nan_columns_to_null,
+    parsed,
+    review_reader,
+    unseen,
+)
 
 
 def read_review_stream(
@@ -17,15 +24,14 @@ def read_review_stream(
 ) -> DataFrame:
     """New review files as they arrive; the checkpoint remembers those done.
 
-    Layouts as in the batch scan: a JSON array per file, or one per line.
+    Layouts as in the batch scan: a JSON array per file, or a review per line.
     """
-    reader = spark.readStream
-    if layout == "file":
-        reader = reader.option("wholetext", True).option("pathGlobFilter", "*.json")
+    reader = review_reader(spark.readStream, schema, layout)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    docs = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return explode_documents(docs, schema)
+    rows = reader.json(path).where(parsed(schema))
+    return nan_columns_to_null(rows.select(
+        F.col("_metadata.file_path").alias("file"), *[f"`{f.name}`" for f in schema.fields]))
 
 
 def read_table_stream(
@@ -39,16 +45,41 @@ def dedupe_stream(
 ) -> DataFrame:
     """One arrival per key; a key is forgotten ``delay`` after it was seen.
 
-    Copies of one key may be a third of the stream.  They are first reduced in
-    ``salts`` groups, dealt by the whole row (file and place included), so no
-    task takes all of them; at most ``salts`` rows per key reach the final step.
+    Copies of one key may be a third of the stream.  They are first reduced in ``salts``
+    groups by their place in their task, so equal copies spread too; at most ``salts``
+    rows per key and batch reach the final step.  For uniqueness without a time limit see
+    ``dedupe_into``.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    salt = F.floor(F.rand(42) * salts).cast("int")
     salted = df.withWatermark(ts, delay).withColumn("_salt", salt)
     few = salted.dropDuplicatesWithinWatermark([*keys, "_salt"])
     return few.dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
+def dedupe_into(stream: DataFrame, keys: list[str], name: str, output: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """Append every key of the stream once to a table, however late its copies come.
+
+    Each batch is cut to one row per key (a hot key costs one row per task) and joined
+    against the table's keys, so nothing is kept in stream state, and a batch that runs
+    again after a failure adds nothing twice.
+    """
+    spark = stream.sparkSession
+    output = output or work_dir(spark, f"{name}-table")
+    checkpoint = checkpoint or work_dir(spark, f"{name}-checkpoint")
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(output)
+
+    def add(batch: DataFrame, _) -> None:
+        known = spark.read.schema(schema).parquet(output)
+        once = keep_first(batch, keys, [F.xxhash64(*batch.columns)])
+        unseen(once, known, keys).select(*schema.fieldNames()).write.mode("append").parquet(output)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(output)
+
+
 def enrich_stream(df: DataFrame, **options) -> DataFrame:
     """The batch enrichment; every step works on one row."""
     return enrich(df, **options)
@@ -58,7 +89,7 @@ def windowed_counts(
     df: DataFrame, ts: str, by: str = "sentiment", size: str = "1 day", delay: str = "1 day",
     watermark: bool = True,
 ) -> DataFrame:
-    """Tumbling counts; rows older than the watermark drop."""
+    """Tumbling counts; rows older than the watermark drop, open windows are not written yet."""
     marked = df.withWatermark(ts, delay) if watermark else df
     counts = marked.groupBy(F.window(ts, size).alias("w"), F.col(by)).agg(F.count("*").alias("n"))
     return counts.select(

@@ -72,11 +72,12 @@ def test_forecast_many_series(spark):
 
 
 def test_fill_gaps(spark):
-    kept = [m for i, m in enumerate(months(24)) if i not in (21, 22)]
+    kept = [m for i, m in enumerate(months(24)) if i not in (5, 6)]
     df = spark.createDataFrame([("s", m, 10.0) for m in kept], "series_id string, month date, value double")
-    a = fc.forecast(df, steps=1).first()["mean"]
-    b = fc.forecast(df, steps=1, fill_gaps=True).first()["mean"]
-    assert a == pytest.approx(10.0) and b != pytest.approx(a, abs=1e-12)
+    assert fc.forecast(df, steps=1).first()["mean"] == pytest.approx(10.0)
+    full = {r["month"]: r["value"] for r in fc.without_gaps(df).collect()}
+    assert len(full) == 24 and [m for m, v in full.items() if v == 0] == [m for m in months(24) if m not in kept]
+    assert fc.forecast(df, steps=1, fill_gaps=True).first()["reason"] is None
 
 
 @pytest.fixture

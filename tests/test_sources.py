@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
+from forecourt.functions import rules
 from forecourt.plans import enrich as en
 from forecourt.session import work_dir
 from forecourt.sources import pages, reviews, tabular
@@ -48,10 +49,41 @@ def test_keep_first_ignores_partitioning(spark, folder):
     assert sorted(map(str, again.collect())) == sorted(map(str, a.collect()))
 
 
-def test_broken_document_fails(spark, tmp_path):
+def test_broken_documents_are_set_aside(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"review_id": ')
-    with pytest.raises(Exception):
-        reviews.read_review_json(spark, str(tmp_path)).collect()
+    (tmp_path / "y.json").write_text(json.dumps([review(1)]))
+    assert [r["review_id"] for r in reviews.read_review_json(spark, str(tmp_path)).collect()] == ["r1"]
+    bad = reviews.rejects(spark, str(tmp_path)).collect()
+    assert [(r["file"].rsplit("/", 1)[-1], r["record"]) for r in bad] == [("x.json", '[{"review_id": ')]
+
+
+def test_a_hot_station_is_read_by_several_tasks(spark, tmp_path):
+    lines = "\n".join(json.dumps(review(i, station_name="hot")) for i in range(4000))
+    (tmp_path / "hot.json").write_text(lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = reviews.read_review_json(spark, str(tmp_path), layout="line")
+        tasks = {r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()}
+        assert rows.count() == 4000 and len(tasks) > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_record_ids_of_the_shipped_layout(spark):
+    """The id is the md5 of name, coordinates in shortest form, author and text."""
+    import hashlib
+    points = [(19.076, 72.877), (19.0, 72.5), (-0.00001, 1e16), (123456789.125, 0.001), (None, 1e7)]
+    rows = [("Pump", a, b, "A. B.", "ok") for a, b in points]
+    df = spark.createDataFrame(rows, "n string, lat double, lng double, a string, t string")
+    got = [r[0] for r in df.select(rules.record_id(*map(F.col, df.columns))).collect()]
+    assert got == [hashlib.md5("|".join(map(str, r)).encode()).hexdigest() for r in rows]
+
+
+def test_a_page_of_301_blocks(spark):
+    html = "".join(f"<p>text {i}</p>" for i in range(301))
+    page_rules = pages.PageRules((r"(?s)<p>.*?</p>",), (), (), (r"(?s)<p>(.*?)</p>",), ())
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    assert pages.extract_records(df, "html", ["id"], page_rules).count() == 301
 
 
 def test_line_layout(spark, tmp_path):
@@ -74,7 +106,7 @@ def test_csv_round_trip(spark):
     df = spark.createDataFrame(rows, "t string, u string, v double")
     path = work_dir(spark, "csv")
     tabular.write_csv(df, path)
-    got = sorted(map(tuple, tabular.read_csv(spark, path, df.schema).collect()), key=str)
+    got = sorted(map(tuple, tabular.read_csv(spark, path, df.schema, multi_line=True).collect()), key=str)
     assert got == sorted([("a\nb", 'say "hi", ok', 1.5), (None, None, None), ("c\r\ne", " d ", None)], key=str)
 
 
