@@ -107,7 +107,8 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled good; background: all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    # The labels have no bound, so they are never broadcast, however few they are.
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
     losses = lmscore.fit(docs, docs.join(good, "doc_id", "left_semi"))
     return lmscore.cross_entropy_difference(docs, losses).drop("text")
 
