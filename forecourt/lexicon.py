@@ -297,49 +297,57 @@ RESULT_HEADERS: dict[str, str] = {
 }
 
 # Stop words of the mining jobs, by kind.
-MINING_STOP_WORDS: dict[str, str] = {
-    "articles, prepositions, conjunctions": """
-        the a an is it in of and to for with on at by from this was are be not but
-        have had has they their there that very so or as do did been all one if up
-        out about than more when will can would like""",
-    "pronouns": """
-        you your yours my we i its he she her him his them us our me who whom what
-        which where how why""",
-    "filler verbs and adverbs": """
-        get got also just no really come even always never dont good place nice here
-        again went came said told take taken give given put use used want need let go
-        going still back too yet off now then well much many some any few every each
-        both same other first last new old via per re ll ve don""",
-    "domain noise": """
-        petrol pump station fuel filling mumbai india oil gas visit visited please
-        today day time times ago week month year car bike vehicle fill filled air
-        service overall general""",
-    "remaining filler": """
-        only while after before being through another should asked people person
-        experience free extra less show happened extremely petroleum road owner speed
-        crowd customers customer toward upon since until though although because
-        between under above below around against during without within along following
-        across behind beyond plus except however therefore moreover furthermore despite
-        instead""",
-}
+MINING_STOP_WORDS: list[str] = [
+    # articles, prepositions, conjunctions
+    "the", "a", "an", "is", "it", "in", "of", "and", "to", "for", "with", "on", "at", "by",
+    "from", "this", "was", "are", "be", "not", "but", "have", "had", "has", "they", "their",
+    "there", "that", "very", "so", "or", "as", "do", "did", "been", "all", "one", "if", "up",
+    "out", "about", "than", "more", "when", "will", "can", "would", "like",
+    # pronouns
+    "you", "your", "yours", "my", "we", "i", "its", "he", "she", "her", "him", "his", "them",
+    "us", "our", "me", "who", "whom", "what", "which", "where", "how", "why",
+    # filler verbs and adverbs
+    "get", "got", "also", "just", "no", "really", "come", "even", "always", "never", "dont",
+    "good", "place", "nice", "here", "again", "went", "came", "said", "told", "take", "taken",
+    "give", "given", "put", "use", "used", "want", "need", "let", "go", "going", "still",
+    "back", "too", "yet", "off", "now", "then", "well", "much", "many", "some", "any", "few",
+    "every", "each", "both", "same", "other", "first", "last", "new", "old", "via", "per", "re",
+    "ll", "ve", "don",
+    # domain noise
+    "petrol", "pump", "station", "fuel", "filling", "mumbai", "india", "oil", "gas", "visit",
+    "visited", "please", "today", "day", "time", "times", "ago", "week", "month", "year", "car",
+    "bike", "vehicle", "fill", "filled", "air", "service", "overall", "general",
+    # remaining filler
+    "only", "while", "after", "before", "being", "through", "another", "should", "asked",
+    "people", "person", "experience", "free", "extra", "less", "show", "happened", "extremely",
+    "petroleum", "road", "owner", "speed", "crowd", "customers", "customer", "toward", "upon",
+    "since", "until", "though", "although", "because", "between", "under", "above", "below",
+    "around", "against", "during", "without", "within", "along", "following", "across",
+    "behind", "beyond", "plus", "except", "however", "therefore", "moreover", "furthermore",
+    "despite", "instead",
+]
 
 # Stop words of the keyword charts (a different, shorter set).
-KEYWORD_STOP_WORDS: dict[str, str] = {
-    "function words": """
-        the a an is it in of and to for with on at by from this was are be not but
-        have had has they their there that very so my we i its here get got also just
-        no or as do did been all one if up out about than more when will can good place
-        nice would like really come petrol pump station fuel filling mumbai""",
-    "pronouns and filler": """
-        you your yours he she her him his them us our me who whom what which where how
-        why these those then even said told went came going saying asked made take taken
-        took give given gave put use used using want wanted need needed let via per too
-        yet off own new old big small first last much many some any few every each both
-        either other same well still back over around re ll ve don doesn""",
-    "domain noise": """
-        oil gas india please always never today yesterday now time ago visit visited day
-        week month year times""",
-}
+KEYWORD_STOP_WORDS: list[str] = [
+    # function words
+    "the", "a", "an", "is", "it", "in", "of", "and", "to", "for", "with", "on", "at", "by",
+    "from", "this", "was", "are", "be", "not", "but", "have", "had", "has", "they", "their",
+    "there", "that", "very", "so", "my", "we", "i", "its", "here", "get", "got", "also", "just",
+    "no", "or", "as", "do", "did", "been", "all", "one", "if", "up", "out", "about", "than",
+    "more", "when", "will", "can", "good", "place", "nice", "would", "like", "really", "come",
+    "petrol", "pump", "station", "fuel", "filling", "mumbai",
+    # pronouns and filler
+    "you", "your", "yours", "he", "she", "her", "him", "his", "them", "us", "our", "me", "who",
+    "whom", "what", "which", "where", "how", "why", "these", "those", "then", "even", "said",
+    "told", "went", "came", "going", "saying", "asked", "made", "take", "taken", "took", "give",
+    "given", "gave", "put", "use", "used", "using", "want", "wanted", "need", "needed", "let",
+    "via", "per", "too", "yet", "off", "own", "new", "old", "big", "small", "first", "last",
+    "much", "many", "some", "any", "few", "every", "each", "both", "either", "other", "same",
+    "well", "still", "back", "over", "around", "re", "ll", "ve", "don", "doesn",
+    # domain noise
+    "oil", "gas", "india", "please", "always", "never", "today", "yesterday", "now", "time",
+    "ago", "visit", "visited", "day", "week", "month", "year", "times",
+]
 
 NEGATIVE, NEUTRAL, POSITIVE, UNKNOWN = "Negative", "Neutral", "Positive", "Unknown"
 SENTIMENTS = [POSITIVE, NEUTRAL, NEGATIVE]
@@ -369,11 +377,6 @@ INTERVAL_Z_80 = 1.2815515655446004
 # ---------------------------------------------------------------------------
 
 
-def words(groups: dict[str, str]) -> list[str]:
-    """One sorted word list from a table of word groups."""
-    return sorted({w for block in groups.values() for w in block.split()})
-
-
 @dataclass(frozen=True)
 class Lexicon:
     """The tables one enrichment run uses; replace any of them per domain."""
@@ -384,8 +387,8 @@ class Lexicon:
     positive_signals: list[str] = field(default_factory=lambda: list(POSITIVE_SIGNALS))
     overrides: list[str] = field(default_factory=lambda: list(NEGATIVE_OVERRIDES))
     specific: list[str] = field(default_factory=lambda: list(SPECIFIC_KEYWORDS))
-    mining_stop_words: list[str] = field(default_factory=lambda: words(MINING_STOP_WORDS))
-    keyword_stop_words: list[str] = field(default_factory=lambda: words(KEYWORD_STOP_WORDS))
+    mining_stop_words: list[str] = field(default_factory=lambda: sorted(set(MINING_STOP_WORDS)))
+    keyword_stop_words: list[str] = field(default_factory=lambda: sorted(set(KEYWORD_STOP_WORDS)))
     brands: list[tuple[str, str]] = field(default_factory=lambda: list(BRAND_RULES))
     zones: list[tuple] = field(default_factory=lambda: list(ZONE_RULES))
 

@@ -80,18 +80,16 @@ def issue_series(
     With ``by`` there is one series per combination of those columns instead,
     e.g. station and issue, for every combination that has negatives.
     """
-    negatives = df.where(is_negative())
-    months = observed_months(df)
+    # One count holds both the negatives and, in its groups, the observed months, so Spark
+    # can use one shuffle of the reviews for both.
+    key = F.concat_ws("|", *by).alias("series_id") if by else F.col(issue)
+    everything = df.groupBy(key, "month").agg(F.count_if(is_negative()).alias("n"))
+    months = observed_months(everything)
+    counts = everything.where("n > 0")
     if by:
-        counts = negatives.groupBy(F.concat_ws("|", *by).alias("series_id"), "month").agg(
-            F.count("*").alias("n")
-        )
         filled = fill_spine(counts, months, "series_id")
         return filled.select("series_id", "month", F.col("n").cast("double").alias("value"))
-    counts = negatives.where(F.col(issue).isNotNull()).groupBy(issue, "month").agg(
-        F.count("*").alias("n")
-    )
-    worst = _worst_series(counts, issue, k).withColumn("_m", months)
+    worst = _worst_series(counts.where(F.col(issue).isNotNull()), issue, k).withColumn("_m", months)
     rows = explode_once(
         worst.withColumnRenamed(issue, "series_id"), ["series_id"],
         on_spine(F.col("_p"), F.col("_m")), "_s",

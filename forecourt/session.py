@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -39,14 +41,16 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 @lru_cache(maxsize=None)
 def _local_base(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"forecourt-{application_id}-")
+    path = tempfile.mkdtemp(prefix=f"forecourt-{application_id}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path for staged tables and stream checkpoints.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
-    session without that setting gets a temporary folder of its own.
+    session without that setting gets a temporary folder of its own, removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
