@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -36,6 +38,23 @@ def ship(spark: SparkSession) -> None:
     _ship(spark.sparkContext.applicationId, spark.sparkContext.addPyFile)
 
 
+def tidy(run: Callable) -> Callable:
+    """A partition function that hands freed memory back to the system at its end.
+
+    Python workers serve many tasks; what one task has freed would else stay with its
+    worker beside the next task's memory.
+    """
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+    return tidied
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -86,4 +105,4 @@ def append(df: DataFrame, text: str, score: Callable, fields: list[T.StructField
                 columns = [c.slice(i, j - i) for c in batch.columns] + made
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -168,14 +168,15 @@ class Encoder:
                                          strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def encoder(path: str):
+    """A function that gives one encoder per task; its words go when the task ends."""
+    made: list[Encoder] = []
 
-
-def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(vocabulary(path))
-    return _ENCODERS[path]
+    def get() -> Encoder:
+        if not made:
+            made.append(Encoder(vocabulary(path)))
+        return made[0]
+    return get
 
 
 def _texts(offsets: np.ndarray, raw: np.ndarray) -> list[str]:
@@ -192,8 +193,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     encoded each, an empty frame stays empty, and a taken column name gets an
     underscore.
     """
+    tool = encoder(path)
+
     def run(offsets, raw):
-        got, counts = encoder(path).encode(_texts(offsets, raw))
+        got, counts = tool().encode(_texts(offsets, raw))
         return [np.split(got, counts.cumsum()[:-1])]
     return append(docs, text, run, [T.StructField(fresh(docs, ids), T.ArrayType(T.IntegerType()))])
 
@@ -204,11 +207,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     field = T.StructField(fresh(docs, text), T.StringType())
     schema = T.StructType([*docs.schema.fields, field])
 
+    tool = encoder(path)
+
     def run(frames):
         for frame in frames:
-            tool = encoder(path)
             frame[field.name] = [
-                None if x is None else tool.decode(np.asarray(x, np.int64), np.array([len(x)]))[0]
+                None if x is None else tool().decode(np.asarray(x, np.int64), np.array([len(x)]))[0]
                 for x in frame[ids]]
             yield frame
     return docs.mapInPandas(run, schema)
@@ -224,10 +228,11 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
               T.StructField(fresh(docs, "ids_sha256"), T.StringType()),
               T.StructField(fresh(docs, "decoded_sha256"), T.StringType())]
 
+    tool = encoder(path)
+
     def run(offsets, raw):
-        tool = encoder(path)
-        ids, counts = tool.encode(_texts(offsets, raw))
+        ids, counts = tool().encode(_texts(offsets, raw))
         return [counts,
-                [hashlib.sha256(b).hexdigest() for b in tool.decimals(ids, counts)],
-                [hashlib.sha256(t.encode()).hexdigest() for t in tool.decode(ids, counts)]]
+                [hashlib.sha256(b).hexdigest() for b in tool().decimals(ids, counts)],
+                [hashlib.sha256(t.encode()).hexdigest() for t in tool().decode(ids, counts)]]
     return append(docs, text, run, fields)

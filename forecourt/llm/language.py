@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.batches import append, flat, fresh, pieces, ship
+from forecourt.llm.batches import append, flat, fresh, pieces, ship, tidy
 
 BITS = 12
 SIZES = (1, 2, 3, 4)
@@ -122,7 +122,7 @@ def _sums(rows: DataFrame, text: str, group: str, value, width: str) -> dict[str
 
     ship(rows.sparkSession)
     got = (rows.select(F.col(text).alias("text"), F.col(group).alias("name"))
-           .mapInArrow(run, schema).groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow())
+           .mapInArrow(tidy(run), schema).groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow())
     out: dict[str, np.ndarray] = {}
     frame = got.to_pandas()
     for name, part in frame.groupby("name"):

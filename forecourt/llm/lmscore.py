@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.batches import append, flat, fresh, pieces, ship
+from forecourt.llm.batches import append, flat, fresh, pieces, ship, tidy
 from forecourt.session import stage
 
 ORDER = 4
@@ -55,7 +55,7 @@ def gram_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
                 [pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["gram", "n"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy(
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "gram long, n long").groupBy(
         "gram").agg(F.sum("n").alias(name))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.batches import append, flat, fresh, pieces, ship
+from forecourt.llm.batches import append, flat, fresh, pieces, ship, tidy
 from forecourt.llm.labels import known_labels, labelled
 from forecourt.session import stage
 
@@ -95,7 +95,7 @@ def _counts(rows: DataFrame, text: str) -> np.ndarray:
 
     ship(rows.sparkSession)
     got = rows.select(F.col(text).alias("text"), "part", "label").mapInArrow(
-        run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        tidy(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(4 * WIDTH)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out.reshape(2, 2, WIDTH)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.batches import append, fresh, ship
+from forecourt.llm.batches import append, fresh, ship, tidy
 from forecourt.llm.components import components
 from forecourt.session import stage
 
@@ -141,7 +141,7 @@ def links(distinct: DataFrame, name: str) -> DataFrame:
     postings = (distinct.select(F.explode(F.array(*map(keys, PLACES))).alias("p")).select("p.*")
                 .groupBy("places", "bytes").agg(F.collect_set("rest").alias("rests"))
                 .where(F.size("rests") > 1))
-    return postings.mapInArrow(run, "a long, b long").distinct()
+    return postings.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",

@@ -75,9 +75,6 @@ class Counter:
         return total[ends] - total[ends - sizes]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit of every whole text.
 
@@ -85,13 +82,15 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 10
     one token each.  Repeated rows are counted each, an empty frame stays empty, and a
     taken column name gets an underscore.
     """
+    made: list[Counter] = []  # one per task; its words go when the task ends
+
     def run(offsets, raw):
-        if path not in _COUNTERS:  # one per worker and vocabulary
-            _COUNTERS[path] = Counter(vocabulary(path))
+        if not made:
+            made.append(Counter(vocabulary(path)))
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace")
                  for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        n = _COUNTERS[path].count(texts)
+        n = made[0].count(texts)
         return [np.diff(offsets), n, n > limit]
     return append(docs, text, run, [
         T.StructField(fresh(docs, "n_bytes"), T.LongType()),
