@@ -89,7 +89,7 @@ class ModelScorer:
 
 @dataclass(frozen=True)
 class BatchScorer:
-    """User weights: ``load()`` runs once per worker and returns a batch function.
+    """User weights: ``load()`` runs once per task and returns a batch function.
 
     The function takes a list of cleaned texts and returns an ``(n, 5)`` array.
     """
