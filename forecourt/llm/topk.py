@@ -85,14 +85,15 @@ def _ranges(rows: DataFrame, block) -> dict[int, tuple[int, int, int]]:
     return {r[0]: (r[1], r[2], r[3]) for r in got}
 
 
-def _histogram(rows: DataFrame, block, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Per query: how many scores lie in each bin of its width from its low on."""
+def _histogram(rows: DataFrame, block, low: np.ndarray, last: np.ndarray, width: np.ndarray
+               ) -> np.ndarray:
+    """Per query: how many scores from its low to its last lie in each bin of its width."""
     def run(batches):
         n = len(block.value.ids)
         total = np.zeros((n, BINS), np.int64)
         for batch in batches:
             for own, _, s, ok in block.value.scored(batch):
-                ok = ok & (s >= low[own][:, None])
+                ok = ok & (s >= low[own][:, None]) & (s <= last[own][:, None])
                 bins = (s - low[own][:, None]) // width[own][:, None]
                 ok &= bins < BINS
                 line, _ = np.nonzero(ok)
@@ -113,24 +114,27 @@ def _thresholds(rows: DataFrame, block, count: int, k: int) -> np.ndarray:
     ranges = _ranges(rows, block)
     floor = np.full(count, LONG.max)
     low, width, above = np.zeros(count, np.int64), np.ones(count, np.int64), np.zeros(count, np.int64)
+    last = np.zeros(count, np.int64)  # above counts the scores beyond it
     todo = []
     for q, (least, most, n) in ranges.items():
         if n <= 4 * k:
             floor[q] = least
         else:
-            low[q], width[q] = least, (int(most) - int(least)) // BINS + 1
+            low[q], last[q], width[q] = least, most, (int(most) - int(least)) // BINS + 1
             todo.append(q)
     todo = np.array(sorted(todo), np.int64)
     while len(todo):
         held = np.full(count, LONG.max)  # finished queries count nothing
         held[todo] = low[todo]
-        seen = _histogram(rows, block, held, width)
+        seen = _histogram(rows, block, held, last, width)
         left = []
         for q in todo:
             higher = seen[q][::-1].cumsum() + above[q]  # scores from each bin on, top bin first
             at = int(np.searchsorted(higher, k))        # the first bin from the top to reach k
             b = BINS - 1 - at
             low[q] += b * width[q]
+            # The bins of the next round can reach beyond this one.
+            last[q] = min(int(last[q]), int(low[q]) + int(width[q]) - 1)
             above[q] = higher[at] - seen[q][b]
             if width[q] == 1 or higher[at] <= 4 * k:
                 floor[q] = low[q]

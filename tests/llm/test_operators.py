@@ -335,6 +335,17 @@ def test_exact_top_k(spark, block):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_top_k_counts_no_score_above_the_chosen_bin_twice(spark):
+    # Bins of 4097, 17 and 1: those of the third round reach from S over S + 100.
+    top = 1 << 20
+    scored = [top] * 5 + [top - 100] * 1000 + [0]
+    rows = [(0, [1 / 1024])] + [(i + i // 99 + 1, [s / 1024]) for i, s in enumerate(scored)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df).orderBy("rank").collect()
+    expected = sorted((-s, i + i // 99 + 1) for i, s in enumerate(scored))[:10]
+    assert [(-r["score"], r["vec_id"]) for r in got] == expected
+
+
 def test_top_k_of_huge_components_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     big = spark.createDataFrame([(0, [3e38]), (1, [2e38]), (2, [-3e38]), (3, [1.0])], schema)
