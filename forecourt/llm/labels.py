@@ -1,4 +1,4 @@
-"""Labelled training rows of a bounded number, as a map-side join."""
+"""Labelled training rows: all of them, or a bounded number as a map-side join."""
 
 from __future__ import annotations
 
@@ -16,17 +16,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(third(doc_id) == 1, F.lit(False))
 
 
-def known_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(labelled_id, label) of training rows: up to ``bound``, 16 bytes each.
+def all_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(labelled_id, label) of every training row, however many there are.
 
     Held-out rows and rows without id or label take no part; of two labels of one id the
-    larger counts.  All ids are used where there are fewer than ``bound``, else an even
-    share by a hash of the id, so the bound is also the proven size of a broadcast.
+    larger counts.
+    """
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+            .where(~held_out(F.col("doc_id")))
+            .groupBy(F.col("doc_id").alias("labelled_id"))
+            .agg(F.max(F.col(label).cast("int")).alias("label")))
+
+
+def known_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """``all_labels`` up to ``bound``, 16 bytes each.
+
+    All ids are used where there are fewer than ``bound``, else an even share by a hash of
+    the id, so the bound is also the proven size of a broadcast.
     """
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-             .where(~held_out(F.col("doc_id")))
-             .groupBy(F.col("doc_id").alias("labelled_id"))
-             .agg(F.max(F.col(label).cast("int")).alias("label")))
+    known = all_labels(labels, label)
     total = known.count()
     if total > bound:
         share = int(bound / total * (1 << 30))

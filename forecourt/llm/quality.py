@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt.llm.batches import append, flat, fresh, pieces, ship, tidy
-from forecourt.llm.labels import known_labels, labelled
+from forecourt.llm.labels import all_labels, labelled
 from forecourt.session import stage
 
 BITS = 14
@@ -145,12 +145,13 @@ def _log_odds(p: Column) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame, evidence: Evidence, host: Column, path: Column,
-            doc_id: str = "doc_id", text: str = "text", bound: int = 200_000, soft: float = 0.25,
-            threshold: float = 0.5) -> DataFrame:
+            doc_id: str = "doc_id", text: str = "text", soft: float = 0.25, threshold: float = 0.5
+            ) -> DataFrame:
     """(doc_id, score, predicted, evidence, host_prior, path_prior) of every row.
 
-    A labelled training row counts with its label in its site, any other row with its own
+    Every labelled training row counts with its label in its site, any other row with its own
     probability at the weight ``soft``, so every document has its part in the posteriors.
+    The labels have no bound: they meet the documents' ids, not their texts, in a shuffle.
     Null hosts and paths are sites of their own; null and empty texts have no evidence and
     get their site's share.  Repeated rows stay; an empty frame gives no rows.
     """
@@ -160,11 +161,15 @@ def quality(docs: DataFrame, labels: DataFrame, evidence: Evidence, host: Column
     thin = append(thin, "text", lambda o, r: [held.value.log_odds(o, r)],
                   [T.StructField("odds", T.DoubleType())]).drop("text")
     thin = stage(thin, "evidence")
-    known = known_labels(labels, "quality", bound)
+    known = all_labels(labels, "quality").hint("merge")
+    # Rows without an id have no label and would all meet in one task.
+    told = thin.where("doc_id is not null").join(
+        known, F.col("doc_id") == F.col("labelled_id"), "left").select("host", "path", "odds", "label")
+    told = told.unionByName(thin.where("doc_id is null").select(
+        "host", "path", "odds", F.lit(None).cast("int").alias("label")))
     own = F.coalesce(F.col("label").cast("double"), F.lit(soft) / (1 + F.exp(-F.col("odds"))))
-    paths = stage(thin.join(F.broadcast(known), thin["doc_id"] == known["labelled_id"], "left").groupBy(
-        "host", "path").agg(F.sum(own).alias("good"), F.sum(
-            F.when(F.col("label").isNotNull(), 1.0).otherwise(soft)).alias("n")), "paths")
+    paths = stage(told.groupBy("host", "path").agg(F.sum(own).alias("good"), F.sum(
+        F.when(F.col("label").isNotNull(), 1.0).otherwise(soft)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("good"), F.sum("n")).first()
     share = min(max((whole[0] or 0.0) / whole[1], 1e-6), 1 - 1e-6) if whole[1] else 0.5

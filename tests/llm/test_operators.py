@@ -479,3 +479,16 @@ def test_sparse_sites_shrink_to_what_is_above_them(spark):
     prior = {r["source"]: r["host_prior"] for r in out}
     assert prior["bad"] == pytest.approx(0.2, abs=0.02) and prior["big"] == pytest.approx(0.9, abs=0.02)
     assert prior["tiny"] > 0.1  # three bad documents do not make it zero
+
+
+def test_every_label_counts_in_its_site_however_many_there_are(spark):
+    part = F.expr("crc32(cast(cast(id as string) as binary)) % 3 <> 1")
+    ids = spark.range(330_000).where(part)  # about 220,000, a site each
+    docs = ids.select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"),
+                      F.col("id").cast("string").alias("source"))
+    known = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert known.count() > 200_000
+    none = quality.Evidence(np.zeros(quality.WIDTH), 0.0, 0.0)
+    out = quality.quality(docs, known, none, F.col("source"), F.col("lang"))
+    priors = out.groupBy((F.col("doc_id") % 2).alias("good"), "host_prior").count().collect()
+    assert sorted(r["good"] for r in priors) == [0, 1]  # no site without its label
