@@ -393,6 +393,21 @@ def test_cross_entropy_difference(odd, empty):
     assert lmscore.cross_entropy_difference(empty, lmscore.fit(empty, empty)).count() == 0
 
 
+def test_no_gram_is_dropped_among_very_many(spark):
+    # About 0.9 M different grams: in 2 ** 22 places a tenth of them would lose its place.
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(32, 127, 1000))) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    losses = lmscore.fit(docs, docs.where("doc_id < 300"))
+    background, target = brute_losses(texts, texts[:20]), brute_losses(texts[:300], texts[:20])
+    rows = lmscore.cross_entropy_difference(docs, losses).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(900))
+    for r in rows:
+        if r["doc_id"] < 20:
+            assert r["ce_background"] == pytest.approx(background[r["text"]], rel=1e-6)
+            assert r["ce_target"] == pytest.approx(target[r["text"]], rel=1e-6)
+
+
 # --- 5, 9, 10: classifiers ----------------------------------------------------------
 
 LABELS = "doc_id long, quality int, toxic int"
