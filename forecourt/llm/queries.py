@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.catalog.tables import read
+from forecourt.functions.text import let
 from forecourt.llm import (
     bpe,
     language,
     lmscore,
     mixing,
+    periodic,
     quality,
     simhash,
     sketches,
@@ -122,3 +124,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, labels, evidence, F.col("source"), F.col("lang")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence",
         "host_prior", "path_prior")
+
+
+def _with_repeats(doc_id: Column, text: Column) -> Column:
+    """The text, but in a tenth of the documents its words from some place on repeat in a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic_from(words: Column) -> Column:
+        n = F.size(words)
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+            words, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+        return F.when(n > 0, F.array_join(again, " ")).otherwise(text)
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, let(words, periodic_from)).otherwise(text)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", _with_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = periodic.periodic_runs(docs).withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
