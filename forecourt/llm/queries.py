@@ -20,10 +20,12 @@ from forecourt.llm import (
     simhash,
     sketches,
     token_counts,
+    token_files,
     topk,
     toxicity,
 )
 from forecourt.llm.labels import held_out
+from forecourt.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,3 +159,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, byte_bpe(), end=0)
+    return token_files.documents(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
