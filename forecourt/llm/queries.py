@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from forecourt.llm import (
     bpe,
     language,
     lmscore,
+    merkle,
     mixing,
     periodic,
     quality,
@@ -167,3 +169,75 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, byte_bpe(), end=0)
     return token_files.documents(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents").select(*columns)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = merkle.leaf(*(lowered if c == "text" else F.col(c) for c in columns))
+    path = work_dir(spark, "merkle")
+    merkle.write(docs.withColumn("tampered", F.when(changed, tampered)), path, columns, "source",
+                 carry=["tampered"])
+    folded = merkle.folded(F.coalesce("carried.tampered", "leaf"), F.col("steps"))
+    return merkle.proofs(spark, path).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings(F.col("steps")).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _levels_sql(name: str, key: str, levels: int) -> str:
+    """CTEs of a tree over ``name``_0 (key, pos, total, h), 16 nodes to one, and of every node's siblings."""
+    out = ""
+    for k in range(levels):
+        whole = f"PARTITION BY {key}, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out += f"""
+{name}_s{k} AS MATERIALIZED (SELECT {key}, pos, total, CASE WHEN total > 1 THEN coalesce(string_agg(h, '') OVER (
+    {whole} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lh, CASE WHEN total > 1 THEN coalesce(string_agg(h, '') OVER (
+    {whole} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS rh FROM {name}_{k}),
+{name}_{k + 1} AS MATERIALIZED (SELECT {key}, pos // 16 AS pos, max((total + 15) // 16) AS total,
+    CASE WHEN max(total) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h
+  FROM {name}_{k} GROUP BY {key}, pos // 16),"""
+    return out
+
+
+def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
+    """For at most 16 ** levels rows of a source and 16 ** tops sources."""
+    def field(x):
+        return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    def leaf(text):
+        return f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    # The usual CRC-32 with its reversed polynomial, bit by bit.
+    crc = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, length(d) + 1),
+      lambda i: CAST(ascii(d[i]) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || range(8),
+      lambda x, _: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT))"""
+    sources = [(f"s{k}", f"t_s{k} s{k} ON s{k}.source IS NOT DISTINCT FROM l.source AND s{k}.pos = l.pos // {16 ** k}")
+               for k in range(levels)]
+    roots = [(f"r{k}", f"u_s{k} r{k} ON r{k}.pos = o.pos // {16 ** k}") for k in range(tops)]
+    steps = [n for n, _ in sources + roots]
+    sibs = " || ".join(f"coalesce({n}.lh || {n}.rh, '')" for n in steps)
+    folds = ""
+    for i, n in enumerate(steps):
+        folds += f",\nf{i} AS (SELECT * EXCLUDE (x), CASE WHEN l{n} IS NULL THEN x ELSE sha256(l{n} || x || r{n}) END AS x FROM {'p' if i == 0 else f'f{i - 1}'})"
+    return f"""
+WITH d AS (SELECT *, CAST(doc_id AS VARCHAR) AS d FROM documents),
+leaves AS MATERIALIZED (SELECT doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS tampered FROM d),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS total FROM leaves),
+t_0 AS (SELECT source, pos, total, leaf AS h FROM l),{_levels_sql("t", "source", levels)}
+o AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+  FROM t_{levels}),
+u_0 AS (SELECT 0 AS one, pos, total, h FROM o),{_levels_sql("u", "one", tops)}
+p AS MATERIALIZED (SELECT l.doc_id, l.leaf, o.h AS subroot, u.h AS root, sha256({sibs}) AS proof_sha256, l.tampered AS x,
+  {", ".join(f"{n}.lh AS l{n}, {n}.rh AS r{n}" for n in steps)}
+  FROM l JOIN o ON o.source IS NOT DISTINCT FROM l.source CROSS JOIN u_{tops} u
+  {" ".join("JOIN " + on for _, on in sources + roots)}){folds}
+SELECT doc_id, leaf, subroot, root, proof_sha256, x AS folded_root, x = root AS verified FROM f{len(steps) - 1}
+"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()

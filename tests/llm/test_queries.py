@@ -19,11 +19,14 @@ CONTRACT = {
     "op7": ["query_id", "rank", "vec_id", "score"],
     "op8": ["doc_id", "fingerprint", "component_id"],
     "op10": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op13": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
@@ -35,7 +38,8 @@ def test_query(spark, sf, name):
     assert df.columns[:len(columns)] == columns
     if name in ORACLE:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+        for table in ("embeddings", "documents"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
         res = con.execute(ORACLE[name])
         names = [c[0] for c in res.description]
         assert canonical(df.columns, [tuple(r) for r in rows]) == canonical(names, res.fetchall())
