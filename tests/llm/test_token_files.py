@@ -43,6 +43,14 @@ def test_codes_round_trip_and_random_access(ids, repeat):
     assert len(levels) == max(1, -(-int(ids.max(initial=0)).bit_length() // 8))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(st.text(max_size=200), st.text(" \n\t\xa0'sa1é<|>", max_size=60), st.sampled_from(
+    ["a" * 5000, " " * 3000, "\n" * 3000 + "x", "=" * 2000, "<|endoftext|>" * 3 + " <|endoftext", "漢字" * 900])))
+def test_ids_are_those_of_the_library(library, text):
+    got = token_files.tokenizer(byte_bpe()).encode_to_numpy(text, allowed_special="all").tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
+
+
 def test_the_files_hold_every_text_in_order(spark, library, tmp_path):
     rows = [(i * 7919 % 10_000 - 500, f"document {i} <|endoftext|> naïve \U0001f600 " * (i % 13)) for i in range(3000)]
     rows += [(20_000, None), (20_001, ""), (20_002, "word " * 20_000), (None, "no id")]
