@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from forecourt.llm.batches import fresh, ship, tidy
 from forecourt.llm.pretokens import SPLIT, vocabulary
 
-BLOCK = 1 << 18
+BLOCK = 1 << 13
 STEP = 512
 
 Codes = list[dict[str, bytes]]
