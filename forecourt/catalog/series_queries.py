@@ -65,50 +65,139 @@ def ts04(spark, d):
     return out.withColumn("value", F.round("value", 4))
 
 
+def _lag(x, by):
+    return f"list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN i > {by} THEN {x}[i - {by}] ELSE 0 END)"
+
+
+def _filter(x, weight, by):
+    """z with z[t] + weight * z[t - by] = x[t], written out as powers of the weight."""
+    return (f"list_transform(range(1, len({x}) + 1), lambda t: list_sum(list_transform(range(0, (t - 1) // {by} + 1), "
+            f"lambda j: pow(-{weight}, j) * {x}[t - j * {by}])))")
+
+
+def _mix(*terms):
+    """Sum of lists, each times a factor."""
+    return f"list_transform(range(1, len({terms[0][1]}) + 1), lambda i: {' + '.join(f'({f}) * {x}[i]' for f, x in terms)})"
+
+
+def _chain(source, *levels):
+    """Columns added level by level, each from those before (as aliases beside each other they would be copied)."""
+    for columns in levels:
+        source = f"(SELECT *, {', '.join(columns)} FROM {source})"
+    return source
+
+
+def _errors_sql(source, seasonal):
+    terms = [("1", "w"), ("-p1", "w1")] + ([("-p3", "wm"), ("p1 * p3", "wm1")] if seasonal else [])
+    levels = [[f"{_mix(*terms)} AS u"], [f"{_filter('u', 'p2', 1)} AS {'v' if seasonal else 'e'}"]]
+    return _chain(source, *levels, *([[f"{_filter('v', 'p4', 12)} AS e"]] if seasonal else []))
+
+
+def _slopes_sql(source, seasonal):
+    if not seasonal:
+        return _chain(source, [f"{_lag('e', 1)} AS h2"], [f"{_filter('w1', 'p2', 1)} AS j1", f"{_filter('h2', 'p2', 1)} AS j2"])
+    return _chain(
+        source,
+        [f"{_mix(('1', 'w1'), ('-p3', 'wm1'))} AS h1", f"{_lag('e', 1)} AS h2",
+         f"{_mix(('1', 'wm'), ('-p1', 'wm1'))} AS h3", f"{_lag('e', 12)} AS h4"],
+        [f"{_filter('h1', 'p2', 1)} AS k1", f"{_filter('h2', 'p2', 1)} AS j2",
+         f"{_filter('h3', 'p2', 1)} AS k3", f"{_filter('h4', 'p4', 12)} AS j4"],
+        [f"{_filter('k1', 'p4', 12)} AS j1", f"{_filter('k3', 'p4', 12)} AS j3"])
+
+
+def _solve_sql(source, k):
+    """Elimination for the unknowns x1 to xk."""
+    own, a, b = range(1, k + 1), {}, {}
+    for i in own:
+        b[i] = f"g{i}"
+        for j in own:
+            a[i, j] = f"d{i}" if i == j else f"a{min(i, j)}{max(i, j)}"
+    size = " + ".join(f"a{i}{i}" for i in own)
+    levels = [[f"a{i}{i} * (1 + damping) + ({fc.RIDGE} * ({size}) + {fc.TINY}) AS d{i}" for i in own]]
+    for i in own:
+        below = [j for j in own if j > i]
+        if below:
+            levels.append([f"{a[j, i]} / {a[i, i]} AS f{i}{j}" for j in below])
+            levels.append([f"{a[j, c]} - f{i}{j} * {a[i, c]} AS m{i}_{j}{c}" for j in below for c in below]
+                          + [f"{b[j]} - f{i}{j} * {b[i]} AS b{i}_{j}" for j in below])
+        for j in below:
+            b[j] = f"b{i}_{j}"
+            a |= {(j, c): f"m{i}_{j}{c}" for c in below}
+    for i in reversed(own):
+        rest = "".join(f" - {a[i, c]} * x{c}" for c in own if c > i)
+        levels.append([f"({b[i]}{rest}) / {a[i, i]} AS x{i}"])
+    return _chain(source, *levels)
+
+
 def _fitted_sql(seasonal=False):
-    """The two least-squares steps over a relation long(series_id, month, value)."""
-    return f"""
-, s1 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY month) AS d FROM long),
-s2 AS (SELECT *, {"d - lag(d, 12) OVER (PARTITION BY series_id ORDER BY month)" if seasonal else "d"} AS w,
-  FROM s1),
-s3 AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY month) AS w1,
-  lag(w, 2) OVER (PARTITION BY series_id ORDER BY month) AS w2 FROM s2),
-c AS (SELECT series_id, sum(w1 * w1) AS b11, sum(w1 * w2) AS b12, sum(w2 * w2) AS b22,
-  sum(w * w1) AS c1, sum(w * w2) AS c2 FROM s3 WHERE w2 IS NOT NULL GROUP BY series_id),
-c2 AS (SELECT *, CASE WHEN b11 * b22 - b12 * b12 > 1e-9 * b11 * b22 THEN b11 * b22 - b12 * b12 END AS d FROM c),
-s4 AS (SELECT s3.*, coalesce((c1 * b22 - c2 * b12) / c2.d, c1 / nullif(b11, 0), 0) AS a,
-  coalesce((c2 * b11 - c1 * b12) / c2.d, 0) AS a2 FROM s3 LEFT JOIN c2 USING (series_id)),
-s5 AS (SELECT *, w - a * w1 - a2 * w2 AS e FROM s4),
-s6 AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY month) AS e1,
-  lag(value, 12) OVER (PARTITION BY series_id ORDER BY month) AS year_ago FROM s5),
-s7 AS (SELECT series_id, count(*) AS n, count(e1) AS used, any_value(a) AS a,
-    coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w1 * w1 END), 0) AS s11, coalesce(sum(w1 * e1), 0) AS s12,
-    coalesce(sum(e1 * e1), 0) AS s22, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w * w1 END), 0) AS t1,
-    coalesce(sum(w * e1), 0) AS t2, coalesce(sum(CASE WHEN e1 IS NOT NULL THEN w * w END), 0) AS tt,
-    max(month) AS last, arg_max(value, month) AS y_n, arg_max(w, month) AS w_n, arg_max(w1, month) AS w1_n,
-    arg_max(e1, month) AS e1_n, list(value ORDER BY month) AS past FROM s6 GROUP BY series_id),
-s8 AS (SELECT *, CASE WHEN s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 THEN s11 * s22 - s12 * s12 END AS det FROM s7),
-s9 AS (SELECT *, greatest(-0.99, least(0.99, coalesce((t1 * s22 - t2 * s12) / det, a))) AS phi,
-  greatest(-0.99, least(0.99, coalesce((t2 * s11 - t1 * s12) / det, 0))) AS theta FROM s8),
-s10 AS (SELECT *, greatest(0, tt - 2 * phi * t1 - 2 * theta * t2 + phi * phi * s11 + 2 * phi * theta * s12
-  + theta * theta * s22) / greatest(used - 2, 1) AS variance,
-  phi * w_n + theta * (w_n - phi * w1_n - theta * e1_n) AS nxt FROM s9)
-"""
+    """The damped steps over a relation long(series_id, month, value); st_{ROUNDS} holds the result."""
+    k = 4 if seasonal else 2
+    ps = range(1, k + 1)
+    starts = [s + t for s in fc.STARTS for t in fc.SEASONAL_STARTS] if seasonal else fc.STARTS
+    values = ", ".join(f"({i}, {', '.join(map(str, s))})" for i, s in enumerate(starts))
+    lost = 13 if seasonal else 1
+    keep = ["series_id", "n", "last", "y", "w", "w1", *(["wm", "wm1"] if seasonal else [])]
+    sql = f"""
+, ys AS (SELECT series_id, count(*) AS n, max(month) AS last, list(CAST(value AS DOUBLE) ORDER BY month) AS y
+  FROM long GROUP BY series_id),
+ds AS (SELECT *, list_transform(range(2, len(y) + 1), lambda i: y[i] - y[i - 1]) AS d FROM ys
+  WHERE n >= 6 AND n - {lost} >= {k + 1}),
+ws AS (SELECT series_id, n, last, y, {"list_transform(range(13, len(d) + 1), lambda i: d[i] - d[i - 12])" if seasonal else "d"} AS w
+  FROM ds),
+lags AS MATERIALIZED (SELECT *, {_lag("w", 1)} AS w1{f", {_lag('w', 12)} AS wm, {_lag('w', 13)} AS wm1" if seasonal else ""} FROM ws),
+starts(i, {", ".join(f"p{j}" for j in ps)}) AS (VALUES {values}),
+tried AS MATERIALIZED (SELECT *, list_inner_product(e, e) AS total FROM {_errors_sql("(SELECT * FROM lags, starts)", seasonal)}),
+st_0 AS MATERIALIZED (SELECT {", ".join(keep)}, {", ".join(f"p{j}" for j in ps)}, total, {fc.DAMPING} AS damping FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY total, i) AS r FROM tried) WHERE r = 1)"""
+    for r in range(fc.ROUNDS):
+        products = [f"list_inner_product(j{i}, j{j}) AS a{i}{j}" for i in ps for j in ps if i <= j]
+        products += [f"-list_inner_product(j{i}, e) AS g{i}" for i in ps]
+        sql += f""",
+er_{r} AS MATERIALIZED (SELECT * FROM {_errors_sql(f"st_{r}", seasonal)}),
+pr_{r} AS MATERIALIZED (SELECT *, {", ".join(products)} FROM {_slopes_sql(f"er_{r}", seasonal)}),
+mv_{r} AS MATERIALIZED (SELECT {", ".join(keep)}, {", ".join(f"p{j} AS o{j}" for j in ps)}, total, damping,
+  {", ".join(f"greatest(-{fc.LIMIT}, least({fc.LIMIT}, p{j} - x{j})) AS p{j}" for j in ps)} FROM {_solve_sql(f"pr_{r}", k)}),
+st_{r + 1} AS MATERIALIZED (SELECT {", ".join(keep)}, {", ".join(f"CASE WHEN better THEN p{j} ELSE o{j} END AS p{j}" for j in ps)},
+  CASE WHEN better THEN after_ ELSE total END AS total, CASE WHEN better THEN damping / 10 ELSE damping * 10 END AS damping
+  FROM (SELECT *, after_ < total * (1 - {fc.GAIN}) AS better FROM (
+    SELECT *, list_inner_product(e, e) AS after_ FROM {_errors_sql(f"mv_{r}", seasonal)})))"""
+    return sql
+
+
+def _ahead_sql(seasonal, steps, source, out):
+    """Lists y, w and e go on for some steps without errors."""
+    def back(x, by):
+        return f"CASE WHEN len({x}) >= {by} THEN {x}[len({x}) - {by - 1}] ELSE 0 END"
+    sql, last = "", source
+    for h in range(steps):
+        nxt = f"p1 * {back('w', 1)} + p2 * {back('e', 1)}"
+        level = back("y", 1)
+        if seasonal:
+            nxt += (f" + p3 * {back('w', 12)} - p1 * p3 * {back('w', 13)} + p4 * {back('e', 12)}"
+                    f" + p2 * p4 * {back('e', 13)}")
+            level += f" + {back('y', 12)} - {back('y', 13)}"
+        sql += f""",
+{out}_{h + 1} AS MATERIALIZED (SELECT * EXCLUDE (y, w, e, nw, ny), list_append(w, nw) AS w, list_append(e, 0) AS e, list_append(y, ny) AS y
+  FROM {_chain(last, [f"{nxt} AS nw"], [f"nw + {level} AS ny"])})"""
+        last = f"{out}_{h + 1}"
+    return sql, last
 
 
 def _forecast_sql(steps, seasonal=False):
-    season = " + past[len(past) + step - 12] - past[len(past) - 12]" if seasonal else ""
-    return _fitted_sql(seasonal) + f"""
-, fc AS (SELECT series_id, CAST(step AS INTEGER) AS step,
-    CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS month,
-    y_n + nxt * (1 - pow(phi, step)) / (1 - phi){season} AS mean,
-    CAST({lx.INTERVAL_Z_80!r} AS DOUBLE) * sqrt(variance * (SELECT sum(pow(1 + (phi + theta) * (1 - pow(phi, j)) / (1 - phi), 2))
-      FROM unnest(range(0, step)) AS t(j))) AS half,
-    CASE WHEN n < 6 OR used < 3 THEN 'too few months' END AS reason
-  FROM (SELECT *, unnest(range(1, {steps} + 1)) AS step FROM s10)),
-out AS (SELECT series_id, step, month, CASE WHEN reason IS NULL THEN mean END AS mean,
-  CASE WHEN reason IS NULL THEN mean - half END AS lower,
-  CASE WHEN reason IS NULL THEN mean + half END AS upper, reason FROM fc)
+    k, size = (4, 14) if seasonal else (2, 2)
+    values, known = _ahead_sql(seasonal, steps, "fitted", "fo")
+    adds, once = _ahead_sql(seasonal, steps - 1, "once", "im")
+    single = f"list_concat(list_transform(range({size - 1}), lambda i: CAST(0 AS DOUBLE)), [CAST(1 AS DOUBLE)])"
+    return _fitted_sql(seasonal) + f""",
+fitted AS MATERIALIZED (SELECT * EXCLUDE (u{", v" if seasonal else ""}), total / greatest(len(w) - {k}, 1) AS variance
+  FROM {_errors_sql(f"st_{fc.ROUNDS}", seasonal)}){values},
+once AS MATERIALIZED (SELECT * EXCLUDE (y, w, e), {single} AS y, {single} AS w, {single} AS e FROM fitted){adds},
+known AS MATERIALIZED (SELECT a.series_id, a.y, b.y AS adds, a.variance FROM {known} a JOIN {once} b USING (series_id)),
+out AS (SELECT s.series_id, CAST(step AS INTEGER) AS step, CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS month,
+    CAST({lx.INTERVAL_Z_80!r} AS DOUBLE) * sqrt(variance * list_sum(list_transform(adds[{size}:{size - 1} + step], lambda v: v * v))) AS half,
+    y[n + step] AS mean, mean - half AS lower, mean + half AS upper,
+    CASE WHEN known.series_id IS NULL THEN 'too few months' END AS reason
+  FROM (SELECT series_id, n, last, unnest(range(1, {steps} + 1)) AS step FROM ys) s LEFT JOIN known USING (series_id))
 """
 
 

@@ -1,14 +1,19 @@
-"""Topic model: vocabulary, fit, labels and tables."""
+"""Topic model: vocabulary, variational fit, labels and tables."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from forecourt import lexicon as lx
 from forecourt.functions.rules import topic_label
@@ -16,51 +21,167 @@ from forecourt.functions.text import let
 from forecourt.operators.textmining import phrase_terms, term_stats, vocabulary
 from forecourt.session import stage
 
+SHIFT = 6  # below it digamma and log gamma go by their recurrence
+
 
 @dataclass
 class TopicModel:
-    model: LDAModel
+    """A fit: its terms, the topics' parameters (topics x terms), the documents' and the bounds."""
+
     terms: list[str]
-    vectors: DataFrame
+    topics: np.ndarray
+    documents: DataFrame
+    bounds: list[float]
     key: str
 
 
-def term_vectors(
+def digamma(x: np.ndarray) -> np.ndarray:
+    below = sum(1.0 / (x + i) for i in range(SHIFT))
+    y = x + SHIFT
+    z = 1.0 / (y * y)
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - below
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    below = sum(np.log(x + i) for i in range(SHIFT))
+    y = x + SHIFT
+    z = 1.0 / (y * y)
+    tail = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + tail - below
+
+
+def dirichlet_bound(parameters: np.ndarray, expected_log: np.ndarray, prior: float) -> float:
+    """What rows of Dirichlet parameters add to the bound: expected log prior minus log density."""
+    n, k = parameters.shape
+    own = log_gamma(parameters).sum() - log_gamma(parameters.sum(axis=1)).sum()
+    constant = float(log_gamma(np.array([k * prior]))[0] - k * log_gamma(np.array([prior]))[0])
+    return float(((prior - parameters) * expected_log).sum() + own + n * constant)
+
+
+def start(terms: list[str], frequency: np.ndarray, n_topics: int) -> np.ndarray:
+    """The fixed start: each term's frequency dealt over the topics, uneven by a hash of both."""
+    def share(k: int, term: str) -> float:
+        return 0.5 + int(hashlib.md5(f"{k}:{term}".encode()).hexdigest()[:8], 16) / 2**32
+    shares = np.array([[share(k, t) for t in terms] for k in range(n_topics)])
+    return frequency / n_topics * shares
+
+
+class Step:
+    """One round of documents: their parameters move, and what each gives to its topics adds up.
+
+    With the topics fixed, a document's term shares and its own parameters take turns ``turns``
+    times; each turn raises the bound.  The last shares are what the topics get.
+    """
+
+    def __init__(self, topics: np.ndarray, prior: float, turns: int):
+        self.expected = (digamma(topics) - digamma(topics.sum(axis=1))[:, None]).T  # terms x topics
+        self.prior, self.turns = prior, turns
+        self.given = np.zeros_like(self.expected)
+        self.bound = 0.0
+
+    def of(self, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """New parameters of documents whose terms lie one after another."""
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        beta = np.exp(self.expected)[terms]
+        for turn in range(self.turns):
+            expected = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
+            theta = np.exp(expected)
+            total = np.einsum("ij,ij->i", theta[doc], beta)
+            if turn == 0:
+                self.bound += float(counts @ np.log(total)) + dirichlet_bound(gamma, expected, self.prior)
+            share = beta * (counts / total)[:, None]
+            taken = np.stack([np.bincount(doc, share[:, k], len(sizes)) for k in range(gamma.shape[1])], 1)
+            gamma = self.prior + theta * taken
+        share *= theta[doc]
+        for k in range(gamma.shape[1]):
+            self.given[:, k] += np.bincount(terms, share[:, k], len(self.expected))
+        return gamma
+
+
+def term_counts(
     df: DataFrame, key: str, max_features: int, text: str = "text", max_df: float = 0.95,
     stop_words: list[str] | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Term counts of every document over the most frequent terms, and these terms."""
+) -> tuple[DataFrame, list[str], np.ndarray]:
+    """(key, terms, counts) of every document over the most frequent terms; these; their frequencies.
+
+    ``max_features`` is stated by the caller; that many terms reach the driver.  The rows are
+    written once, so no round of a fit reads a text.
+    """
     docs = df.select(
         key, phrase_terms(F.col(text), lx.EMPTY_TOPIC_DOCUMENT, stop_words).alias("terms")
     )
     bound = df.agg((F.count("*") * max_df).alias("b")).scalar()
     vocab = vocabulary(term_stats(docs, F.col("terms")), max_features, 2, bound)
-    names = [r["term"] for r in vocab.select("term").collect()]  # at most max_features rows
-    if not names:
+    found = vocab.select("term", "tf").collect()
+    if not found:
         raise ValueError("no term occurs in two documents")
-    counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="features")
-    return stage(counts.transform(docs).select(key, "features"), "topic-vectors"), names
+    names = [r["term"] for r in found]
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="features").transform(docs)
+
+    def present(x: Column) -> Column:
+        return F.filter(F.transform(x, lambda n, i: F.struct(i.alias("i"), n.cast("int").alias("n"))),
+                        lambda s: s["n"] > 0)
+    rows = counted.select(key, let(vector_to_array("features"), present).alias("found")).select(
+        key, F.col("found.i").alias("terms"), F.col("found.n").alias("counts"))
+    return stage(rows, "topic-counts"), names, np.array([r["tf"] for r in found], float)
 
 
 def fit_topics(
     df: DataFrame, key: str, max_features: int, text: str = "text", n_topics: int = 8,
-    passes: int = 20, seed: int = 42, max_df: float = 0.95,
-    stop_words: list[str] | None = None,
+    passes: int = 20, turns: int = 3, max_df: float = 0.95, stop_words: list[str] | None = None,
 ) -> TopicModel:
-    """Online variational LDA over 1- and 2-grams.
+    """Variational LDA over 1- and 2-grams by coordinate ascent.
 
-    Every pass reads every document.  ``max_features`` is the size of the model's
-    vocabulary, stated by the caller; that many terms reach the driver.  The document
-    vectors are written once, so a pass reads short sparse vectors and not the text, and
-    a lost executor costs no re-tokenising.
+    Every pass reads every document's term counts and writes them with the document's new
+    parameters; beside them each task writes the sums that its documents give to the topics, which
+    then add up to ``n_topics`` x ``max_features`` numbers, the only ones on the driver.  A lost
+    executor costs a task of one pass.  The start is fixed, so a fit can be repeated, and
+    no pass lowers the bound.  ``bounds`` holds it before each pass.
     """
-    vectors, names = term_vectors(df, key, max_features, text, max_df, stop_words)
-    lda = LDA(
-        k=n_topics, maxIter=passes, seed=seed, optimizer="online", learningOffset=10.0,
-        learningDecay=0.7, subsamplingRate=1.0, optimizeDocConcentration=False,
-        docConcentration=[1.0 / n_topics], topicConcentration=1.0 / n_topics,
-    )
-    return TopicModel(lda.fit(vectors), names, vectors, key)
+    prior = 1.0 / n_topics
+    rows, names, frequency = term_counts(df, key, max_features, text, max_df, stop_words)
+    topics = start(names, frequency, n_topics)
+    occurrences = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    state = rows.withColumns({
+        "gamma": F.array_repeat(prior + occurrences / n_topics, n_topics),
+        "given": F.lit(None).cast("array<double>")})
+    schema = T.StructType([
+        T.StructField(key, rows.schema[key].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())),
+        T.StructField("counts", T.ArrayType(T.IntegerType())),
+        T.StructField("gamma", T.ArrayType(T.DoubleType())), T.StructField("given", T.ArrayType(T.DoubleType()))])
+    bounds: list[float] = []
+    for _ in range(passes):
+        moved = state.where("given is null").select(schema.fieldNames()).mapInArrow(
+            _pass(topics, prior, turns, schema), schema)
+        state = stage(moved, "topic-pass")
+        sums = state.where("given is not null").select(F.posexplode("given")).groupBy("pos").agg(F.sum("col")).collect()
+        given = np.zeros(topics.size + 1)
+        for pos, value in sums:
+            given[pos] = value
+        expected = digamma(topics) - digamma(topics.sum(axis=1))[:, None]
+        bounds.append(float(given[-1]) + dirichlet_bound(topics, expected, prior))
+        topics = prior + given[:-1].reshape(len(names), n_topics).T
+    return TopicModel(names, topics, state.where("given is null").select(key, "gamma"), bounds, key)
+
+
+def _pass(topics: np.ndarray, prior: float, turns: int, schema: T.StructType):
+    arrow, width = to_arrow_schema(schema), len(topics)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = Step(topics, prior, turns)
+        for batch in batches:
+            terms, counts, gamma = (batch.column(i) for i in (1, 2, 3))
+            sizes = np.diff(terms.offsets.to_numpy())
+            moved = step.of(terms.flatten().to_numpy(), counts.flatten().to_numpy().astype(float), sizes,
+                            gamma.flatten().to_numpy().reshape(len(batch), width))
+            new = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), moved.ravel())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), terms, counts, new.cast(arrow.field(3).type),
+                 pa.nulls(len(batch), arrow.field(4).type)], schema=arrow)
+        own = [*step.given.ravel().tolist(), step.bound]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, f.type) for f in list(arrow)[:4]] + [pa.array([own], arrow.field(4).type)], schema=arrow)
+    return run
 
 
 def distributions(fitted: TopicModel) -> DataFrame:
@@ -68,29 +189,36 @@ def distributions(fitted: TopicModel) -> DataFrame:
 
     A document without a term of the vocabulary has equal weights.
     """
-    k = fitted.model.getK()
-    weights = let(vector_to_array("topicDistribution"), lambda p: F.when(
-        F.array_max(p) > 0, p).otherwise(F.array_repeat(F.lit(1.0 / k), k)))
-    return fitted.model.transform(fitted.vectors).select(fitted.key, weights.alias("weights"))
+    total = F.aggregate("gamma", F.lit(0.0), lambda a, x: a + x)
+    return fitted.documents.select(fitted.key, let(total, lambda s: F.transform(
+        "gamma", lambda g: g / s)).alias("weights"))
 
 
 def topic_words(fitted: TopicModel, top_n: int = 10) -> DataFrame:
-    """Topic and its top terms in order."""
-    terms = F.array(*map(F.lit, fitted.terms))
-    named = F.transform("termIndices", lambda i: F.element_at(terms, i + 1))
-    return fitted.model.describeTopics(top_n).select("topic", named.alias("words"))
+    """Topic and its top terms by their share of the topic (six digits), equal ones by name."""
+    spark = fitted.documents.sparkSession
+    share = np.round(fitted.topics / fitted.topics.sum(axis=1)[:, None], 6)
+    rows = [(k, [t for _, t in sorted(zip(-s, fitted.terms, strict=True))[:top_n]]) for k, s in enumerate(share)]
+    return spark.createDataFrame(rows, "topic int, words array<string>")
 
 
-def labelled_topics(words: DataFrame, table=None) -> DataFrame:
-    """Topic, its terms and the name from the label table that shares most of them."""
-    return words.withColumn("label", topic_label(F.col("words"), table))
+def labelled_topics(words: DataFrame, table=None, by_words: bool = False) -> DataFrame:
+    """Topic, its terms and the name from the label table that shares most of them.
 
-
-def dominant_topics(weights: DataFrame, key: str, words: DataFrame, table=None) -> DataFrame:
-    """Document key, its strongest topic (of equal ones the first) and the topic's label."""
-    best = weights.select(
-        key, (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("topic"))
-    labels = labelled_topics(words, table).select("topic", "label")  # one row per topic
+    A topic that shares none has the table's default, or with ``by_words`` its first three terms.
+    """
+    name = topic_label(F.col("words"), table)
+    if by_words:
+        none = topic_label(F.col("words"), table, default="")
+        name = F.when(none != "", none).otherwise(F.array_join(F.slice("words", 1, 3), " / "))
+    return words.withColumn("label", name)
+
+
+def dominant_topics(weights: DataFrame, key: str, words: DataFrame, table=None, by_words: bool = False) -> DataFrame:
+    """Document key, its strongest topic (weights to six digits; of equal ones the first) and label."""
+    rounded = F.transform("weights", lambda w: F.round(w, 6))
+    best = weights.select(key, let(rounded, lambda w: F.array_position(w, F.array_max(w)) - 1).cast("int").alias("topic"))
+    labels = labelled_topics(words, table, by_words).select("topic", "label")  # one row per topic
     return best.join(F.broadcast(labels), "topic")
 
 
@@ -98,14 +226,14 @@ def topic_frequency(topics: DataFrame) -> DataFrame:
     return topics.groupBy("label").agg(F.count("*").alias("reviews"))
 
 
-def topic_table(words: DataFrame, width: int = 8, table=None) -> DataFrame:
+def topic_table(words: DataFrame, width: int = 8, table=None, by_words: bool = False) -> DataFrame:
     """Display terms per topic; topics with equal labels stay apart by id."""
     shown = F.slice(
         F.transform(
             F.filter("words", lambda w: (F.length(w) > 3) & ~w.isin(lx.TOPIC_NOISE_WORDS)),
             F.initcap,
         ), 1, width)
-    words = labelled_topics(words, table).select("topic", "label", shown.alias("shown"))
+    words = labelled_topics(words, table, by_words).select("topic", "label", shown.alias("shown"))
     padded = F.concat("shown", F.array_repeat(F.lit(""), F.lit(width) - F.size("shown")))
     rows = words.select("topic", "label", F.posexplode(padded).alias("i", "term"))
     return rows.select("topic", "label", (F.col("i") + 1).alias("place"), "term")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,98 @@ def test_zone_summary(docs):
     assert {r["top_pain_points"] for r in none} == {"—"}
 
 
+def dense_digamma(x):
+    """By the recurrence far out, where the series needs one term."""
+    below = sum(1 / (x + i) for i in range(2000))
+    return np.log(x + 2000) - 0.5 / (x + 2000) - 1 / (12 * (x + 2000) ** 2) - below
+
+
+dense_log_gamma = np.vectorize(math.lgamma)
+
+
+def dense_fit(counts, terms, n_topics, passes, turns):
+    """The same ascent with every share written out: (topics, gamma, bounds)."""
+    prior = 1 / n_topics
+    of_terms = topics.start(terms, counts.sum(axis=0), n_topics)
+    gamma = prior + np.repeat(counts.sum(axis=1)[:, None] / n_topics, n_topics, axis=1)
+    bounds = []
+
+    def logs(x):
+        return dense_digamma(x) - dense_digamma(x.sum(axis=1, keepdims=True))
+
+    def dirichlet(x, e):
+        k = x.shape[1]
+        prior_part = len(x) * (math.lgamma(k * prior) - k * math.lgamma(prior)) + ((prior - 1) * e).sum()
+        own = dense_log_gamma(x.sum(axis=1)).sum() - dense_log_gamma(x).sum() + ((x - 1) * e).sum()
+        return prior_part - own
+    for _ in range(passes):
+        beta = logs(of_terms)
+        for turn in range(turns):
+            theta = logs(gamma)
+            joint = np.exp(theta[:, None, :] + beta.T[None, :, :])  # document, term, topic
+            share = joint / joint.sum(axis=2, keepdims=True)
+            if turn == 0:
+                inside = counts[:, :, None] * share * (theta[:, None, :] + beta.T[None, :, :] - np.log(share))
+                bounds.append(inside.sum() + dirichlet(gamma, theta) + dirichlet(of_terms, beta))
+            gamma = prior + (counts[:, :, None] * share).sum(axis=1)
+        of_terms = prior + (counts[:, :, None] * share).sum(axis=0).T
+    return of_terms, gamma, bounds
+
+
+TOPIC_WORDS = [["rude", "staff", "attendant", "polite", "attitude"], ["upi", "card", "gpay", "cash", "terminal"],
+               ["tyre", "nozzle", "puncture"]]
+
+
+def topic_docs(spark, n=60):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(TOPIC_WORDS[i % 3]) if rng.random() < 0.8 else rng.choice(TOPIC_WORDS[(i + 1) % 3])
+                         for _ in range(rng.randint(0, 25)))) for i in range(n)]
+    rows += [(None, "staff card tyre"), (7, "staff card tyre"), (7, None), (99, "zebra")]
+    return spark.createDataFrame(rows, "id int, text string")
+
+
+@pytest.mark.parametrize("passes, turns, n_topics", [(1, 1, 2), (1, 3, 3), (4, 2, 3), (9, 3, 2)])
+def test_topic_passes_equal_a_dense_fit(spark, passes, turns, n_topics):
+    df = topic_docs(spark).repartition(5)
+    fitted = topics.fit_topics(df, "id", n_topics=n_topics, max_features=30, passes=passes, turns=turns)
+    rows = topics.term_counts(df, "id", 30)[0].collect()
+    counts = np.zeros((len(rows), len(fitted.terms)))
+    for d, r in enumerate(rows):
+        counts[d, r["terms"]] = r["counts"]
+    want, gamma, bounds = dense_fit(counts, fitted.terms, n_topics, passes, turns)
+    assert fitted.topics == pytest.approx(want, rel=1e-9)
+    assert fitted.bounds == pytest.approx(bounds, rel=1e-9)
+    got = sorted([str(r["id"]), *np.round(r["gamma"], 7)] for r in fitted.documents.collect())
+    assert got == sorted([str(r["id"]), *np.round(g, 7)] for r, g in zip(rows, gamma, strict=True))
+
+
+def test_no_pass_lowers_the_bound_and_weights_are_complete(spark):
+    fitted = topics.fit_topics(topic_docs(spark), "id", n_topics=3, max_features=30, passes=25)
+    assert all(b >= a - 1e-9 for a, b in zip(fitted.bounds, fitted.bounds[1:]))
+    assert fitted.bounds[-1] > fitted.bounds[0] + 10
+    rows = topics.distributions(fitted).collect()
+    assert len(rows) == 64 and all(sum(r["weights"]) == pytest.approx(1) for r in rows)
+    # A text without a term of the vocabulary leans to no topic and goes to the first.
+    lone = [r["weights"] for r in rows if r["id"] == 99][0]
+    assert lone == pytest.approx([1 / 3] * 3)
+    words = topics.topic_words(fitted, 3)
+    assert {r["id"]: r["topic"] for r in topics.dominant_topics(topics.distributions(fitted), "id", words).collect()}[99] == 0
+
+
+def test_topic_names_by_words(spark):
+    words = spark.createDataFrame([(0, ["alpha", "beta", "gamma"]), (1, ["staff", "rude"])], "topic int, words array<string>")
+    assert [r["label"] for r in topics.labelled_topics(words).orderBy("topic").collect()] == [
+        "General Experience", "Staff Conduct"]
+    assert [r["label"] for r in topics.labelled_topics(words, by_words=True).orderBy("topic").collect()] == [
+        "alpha / beta / gamma", "Staff Conduct"]
+
+
+def test_digamma_and_log_gamma():
+    x = np.array([1e-3, 0.125, 0.5, 1.0, 3.7, 50.0, 1e6])
+    assert topics.digamma(x) == pytest.approx(dense_digamma(x), rel=1e-9, abs=1e-9)
+    assert topics.log_gamma(x) == pytest.approx(dense_log_gamma(x), rel=1e-9, abs=1e-9)
+
+
 def test_topics_separate_disjoint_vocabularies(spark):
     rng = random.Random(1)
     groups = [["rude", "staff", "attendant", "polite", "attitude"],
