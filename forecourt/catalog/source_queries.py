@@ -212,35 +212,35 @@ def s13(spark, d):
     return out[0].unionByName(out[1])
 
 
-ARTICLE_RULES = pages.PageRules(
-    blocks=(pages.block_from("div", pages.has_attribute("data-review-id")),
-            r"(?s)<p>.*?</p>"),
-    author=(r'(?s)<span class="byline">(.*?)</span>', r"(?s)<b>(.*?)<br>"),
-    stars=(r'(?s)aria-label="([^"]*)"',),
-    text=(r"(?s)<p>(.*?)</p>",),
-    date=(r"(?s)<time>(.*?)</time>",),
+# A paragraph is a block; its text is what is in it, and its author what is in its bold part.
+PARAGRAPHS = pages.PageRules(
+    blocks=(pages.Select("div", attribute="data-review-id"), pages.Select("p")),
+    author=(pages.Select("span", cls="byline"), pages.Select("b")),
+    stars=(pages.Select(attribute="aria-label"),),
+    text=(pages.Select("p", itself=True),),
+    date=(pages.Select("time"),),
 )
 
 
 def _inner_sql(e):
-    e = f"regexp_replace({e}, '(?s)<[^>]*>', '', 'g')"
+    e = f"regexp_replace(regexp_replace(replace({e}, '<br>', chr(10)), '(?s)<[^>]*>', '', 'g'), '(?s)<[a-zA-Z/][^>]*$', '')"
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
-                 ("&amp;", "&")):
+                 ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         e = f"replace({e}, '{a}', '{b}')"
     return f"trim(regexp_replace({e}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
 
 
 @query("s14_page_records", f"""
 SELECT page_id, pos, author_name, text, date_relative, rating FROM (
-  SELECT page_id, i - 1 AS pos, {_inner_sql("regexp_extract(b, '(?s)<b>(.*?)<br>', 1)")} AS author_name,
-    {_inner_sql("regexp_extract(b, '(?s)<p>(.*?)</p>', 1)")} AS text, '' AS date_relative,
-    CAST(NULL AS DOUBLE) AS rating
-  FROM (SELECT page_id, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM (
-    SELECT page_id, regexp_extract_all(regexp_replace(html,
-      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)<p>.*?</p>') AS bs FROM pages)))
+  SELECT page_id, i - 1 AS pos, CASE WHEN contains(p, '<b>') THEN {_inner_sql("regexp_extract(p, '(?s)<b>(.*)', 1)")} ELSE '' END AS author_name,
+    {_inner_sql("p")} AS text, '' AS date_relative, CAST(NULL AS DOUBLE) AS rating
+  FROM (SELECT page_id, i, regexp_extract(bs[i + 1], '(?s)^(.*?)(</p>|</article>|\\z)', 1) AS p FROM (
+    SELECT page_id, bs, unnest(range(1, len(bs))) AS i FROM (
+      SELECT page_id, string_split(regexp_replace(html,
+        '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '<p>') AS bs FROM pages))))
 WHERE author_name <> '' OR text <> ''""")
 def s14(spark, d):
-    return pages.extract_records(read(spark, d, "pages"), "html", ["page_id"], ARTICLE_RULES)
+    return pages.extract_records(read(spark, d, "pages"), "html", ["page_id"], PARAGRAPHS)
 
 
 def _marked_up(spark, d):
@@ -277,6 +277,34 @@ def s14b(spark, d):
     return pages.extract_records(_marked_up(spark, d), "html", ["conv_id", "turn"])
 
 
+def _nested(spark, d):
+    """Each turn as a page with elements in elements, a reply in a review, and attributes without double quotes."""
+    t = read(spark, d, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " ").alias("text"))
+    html = F.concat(
+        F.lit("<div class=reviews-list><div class='a review' DATA-REVIEW-ID=r1><div class='x d4r55'><p>"), "role",
+        F.lit("<p>again</div><img src=p.png alt='</div> 9 stars'><span class=kvMYJc aria-label='Rated "),
+        (F.col("turn") % 5 + 1).cast("string"), F.lit(" stars'><i></i></span><span class = \"q wiI7pd\">"), "text",
+        F.lit(" <span>very <b>deep</span> in</b><br/>line<input disabled> &eacute;</i></span>"
+              "<ul><li>one<li><span class='rsqaWe'>"), (F.col("turn") + 2).cast("string"),
+        F.lit(" months <span>ago</span></span></ul><div data-review-id><span class='wiI7pd'><span>reply to "), "role",
+        F.lit("</span></span><script>document.write('</div><span class=rsqaWe>now</span>')</script></div></div>"
+              "<div data-review-id=''><span><span></span></span><span title='a>b' class='the-author'>last"))
+    return t.select("conv_id", "turn", html.alias("html"))
+
+
+@query("s14_nested_pages", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role,
+  regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g') AS text FROM conversations)
+SELECT conv_id, turn, 0 AS pos, {_TRIM.format("role || 'again'")} AS author_name, CAST(turn % 5 + 1 AS DOUBLE) AS rating,
+  {_TRIM.format("text || ' very deep in' || chr(10) || 'line é'")} AS text, CAST(turn + 2 AS VARCHAR) || ' months ago' AS date_relative FROM t
+UNION ALL SELECT conv_id, turn, 1, '', NULL, {_TRIM.format("'reply to ' || role")}, '' FROM t
+UNION ALL SELECT conv_id, turn, 2, 'last', NULL, '', '' FROM t""")
+def s14c(spark, d):
+    return pages.extract_records(_nested(spark, d), "html", ["conv_id", "turn"])
+
+
 @query("s15_clean_address", r"""
 SELECT s_suppkey, n_name || ' ' || s_name AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def s15(spark, d):

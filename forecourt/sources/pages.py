@@ -1,135 +1,120 @@
 """Record extraction from saved pages.
 
-Rules are data: an ordered list of block patterns and, per field, an ordered
-list of patterns whose first non-empty value counts.  All matching runs as
-Spark regular expressions, one pass over the page column and no shuffle.
+Rules are data: an ordered list of selectors for the blocks and, per field, an ordered list whose
+first non-empty value counts.  A page becomes its elements once (``sources.markup``); selecting
+runs on them as Spark expressions, in one pass over the page column and without a shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forecourt import lexicon as lx
 from forecourt.functions.rules import star_from_label
-from forecourt.functions.text import let, strip
+from forecourt.functions.text import SPACE, let, strip
 from forecourt.session import posexplode_once
+from forecourt.sources.markup import with_elements
 
 
 @dataclass(frozen=True)
-class PageRules:
-    """Regular expressions; each field pattern has one group, the value."""
-
-    blocks: tuple[str, ...]
-    author: tuple[str, ...]
-    stars: tuple[str, ...]
-    text: tuple[str, ...]
-    date: tuple[str, ...]
-
-
-def element(tag: str, condition: str = "") -> str:
-    """Pattern for the content of an element; ``condition`` limits its tag."""
-    return rf"(?s)<{tag}\b{condition}[^>]*>(.*?)</{tag}>"
-
-
-def has_class(name: str, part: bool = False) -> str:
-    """Tag condition: the class list holds the name (or a word containing it)."""
-    any_chars = r'[^"]*' if part else ""
-    edge = "" if part else r'(?=[\s"])'
-    before = r'[^"]*' if part else r'(?:[^"]*\s)?'
-    return rf'(?=[^>]*\bclass="{before}{name}{any_chars}{edge})'
+class Select:
+    """An element by its tag, a class, an attribute it has (that contains ``part``) and what it is in.
 
+    ``itself`` stands for the block in place of the elements in it.
+    """
 
-def has_attribute(name: str) -> str:
-    return rf"(?=[^>]*\b{name}\b)"
+    tag: str = ""
+    cls: str = ""
+    attribute: str = ""
+    part: str = ""
+    inside: Select | None = None
+    itself: bool = False
+
+    def own(self, e: Column) -> Column:
+        attributes, tests = e["attributes"], []
+        if self.tag:
+            tests.append(e["tag"] == self.tag)
+        if self.cls:
+            tests.append(F.array_contains(F.split(attributes["class"], f"[{SPACE}]+"), self.cls))
+        if self.attribute:
+            tests.append(attributes[self.attribute].contains(self.part) if self.part
+                         else F.map_contains_key(attributes, self.attribute))
+        return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
+
+    def of(self, elements: Column, page: Column) -> Column:
+        """Those of the elements that match; ``page`` has all elements of the page."""
+        found = F.filter(elements, self.own)
+        if self.inside is None:
+            return found
+        return let(self.inside.of(page, page), lambda outer: F.filter(found, lambda e: F.exists(
+            outer, lambda o: (o["first"] < e["first"]) & (e["first"] < o["last"]))))
+
+    def attributes(self) -> set[str]:
+        own = {"class"} if self.cls else set()
+        own |= {self.attribute} if self.attribute else set()
+        return own | (self.inside.attributes() if self.inside else set())
 
 
-def label_of(tag: str, condition: str = "") -> str:
-    """Pattern for the aria-label of an element."""
-    return rf'(?s)<{tag}\b{condition}[^>]*\baria-label="([^"]*)"'
+@dataclass(frozen=True)
+class PageRules:
+    """Selectors, in order of trial."""
 
+    blocks: tuple[Select, ...]
+    author: tuple[Select, ...] = ()
+    stars: tuple[Select, ...] = ()
+    text: tuple[Select, ...] = ()
+    date: tuple[Select, ...] = ()
 
-def block_from(tag: str, condition: str) -> str:
-    """A block runs from its opening tag to the next one of its kind."""
-    start = rf"<{tag}\b{condition}"
-    return rf"(?s){start}.*?(?={start}|\z)"
+    def wanted(self) -> frozenset[str]:
+        """The attributes that the selectors ask for."""
+        return frozenset({LABEL}).union(*(s.attributes() for f in fields(self) for s in getattr(self, f.name)))
 
 
 # FIXED VALUES: the markers of saved review pages, in order of trial.
+LABEL = "aria-label"
 REVIEW_PAGE = PageRules(
     blocks=(
-        block_from("div", has_attribute("data-review-id")),
-        block_from("div", has_class("jftiEf")),
-        block_from("div", has_class("review-block")),
-        block_from("div", has_class("review", part=True)),
+        Select("div", attribute="data-review-id"),
+        Select("div", cls="jftiEf"),
+        Select("div", cls="review-block"),
+        Select("div", attribute="class", part="review"),
     ),
     author=(
-        element("button", has_attribute("data-review-id")),
-        element("[a-z]+", has_class("d4r55")),
-        element("span", has_class("author", part=True)),
-        element("[a-z]+", has_class("section-review-owner-name")),
-        element("button", has_class("al6Kxe")),
+        Select("button", attribute="data-review-id"),
+        Select(cls="d4r55"),
+        Select("span", attribute="class", part="author"),
+        Select(cls="section-review-owner-name"),
+        Select("button", cls="al6Kxe"),
     ),
     stars=(
-        label_of("span", r'(?=[^>]*aria-label="[^"]*star)'),
-        label_of("[a-z]+", has_class("kvMYJc")),
-        label_of("span", has_class("star", part=True)),
+        Select("span", attribute=LABEL, part="star"),
+        Select(cls="kvMYJc"),
+        Select("span", attribute="class", part="star"),
     ),
     text=(
-        element("span", has_class("wiI7pd")),
-        element("[a-z]+", has_class("review-full-text")),
-        element("span", has_class("review", part=True)),
-        element("[a-z]+", has_class("section-review-text")),
-        element("span"),
+        Select("span", cls="wiI7pd"),
+        Select(cls="review-full-text"),
+        Select("span", attribute="class", part="review"),
+        Select(cls="section-review-text"),
+        Select("span", inside=Select("div", attribute="data-review-id")),
     ),
     date=(
-        element("span", has_class("rsqaWe")),
-        element("[a-z]+", has_class("section-review-publish-date")),
-        element("span", has_class("date", part=True)),
+        Select("span", cls="rsqaWe"),
+        Select(cls="section-review-publish-date"),
+        Select("span", attribute="class", part="date"),
     ),
 )
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def inner_text(html: Column) -> Column:
-    """Markup removed, basic entities decoded, ends stripped."""
-    out = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(out)
-
-
-def first_value(block: Column, patterns: tuple[str, ...]) -> Column:
-    tries = [
-        F.nullif(inner_text(F.regexp_extract(block, p, 1)), F.lit("")) for p in patterns
-    ]
-    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
-
-
-def first_stars(block: Column, patterns: tuple[str, ...]) -> Column:
-    if not patterns:
-        return F.lit(None).cast("double")
-    return F.coalesce(*[star_from_label(F.regexp_extract(block, p, 1)) for p in patterns])
-
-
-def without_hidden(html: Column) -> Column:
-    """The page without scripts, styles and comments, whose text may look like markup."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-
-
-def page_blocks(html: Column, patterns: tuple[str, ...]) -> Column:
-    """Blocks of the first pattern found; later patterns run only if needed."""
-    if not patterns:
-        return F.array().cast("array<string>")
-    rest = page_blocks(html, patterns[1:])
-
-    def found_or_rest(found: Column) -> Column:
-        return F.when(F.size(found) > 0, found).otherwise(rest)
 
-    return let(F.regexp_extract_all(html, F.lit(patterns[0]), F.lit(0)), found_or_rest)
+def page_blocks(elements: Column, selectors: tuple[Select, ...]) -> Column:
+    """The elements of the first selector that finds any; later selectors run only if needed."""
+    if not selectors:
+        return F.filter(elements, lambda e: F.lit(False))
+    rest = page_blocks(elements, selectors[1:])
+    return let(selectors[0].of(elements, elements), lambda found: F.when(F.size(found) > 0, found).otherwise(rest))
 
 
 def extract_records(
@@ -141,21 +126,30 @@ def extract_records(
 ) -> DataFrame:
     """One row per block of each page, in page order.
 
-    The first block pattern found on a page decides.  ``cap`` is a
-    limit per page for callers that state one.  Blocks with neither author nor
-    text are dropped.
+    The first block selector that finds an element decides; a block within a block is a row of
+    its own.  A field is the text, without white space at its ends, of the first element
+    that its selector finds in the block, if that is not empty; else the next selector's.  ``cap`` is a limit per page for callers
+    that state one.  Blocks with neither author nor text are dropped.
     """
-    blocks = let(without_hidden(F.col(html)), lambda page: page_blocks(page, page_rules.blocks))
+    blocks = page_blocks(F.col("elements"), page_rules.blocks)
     if cap is not None:
         blocks = F.slice(blocks, 1, cap)
-    rows = posexplode_once(pages, keys, blocks, "block")
-    b = F.col("block")
-    fields = rows.select(
-        *keys,
-        "pos",
-        F.coalesce(first_value(b, page_rules.author), F.lit("")).alias("author_name"),
-        first_stars(b, page_rules.stars).alias("rating"),
-        F.coalesce(first_value(b, page_rules.text), F.lit("")).alias("text"),
-        F.coalesce(first_value(b, page_rules.date), F.lit("")).alias("date_relative"),
-    )
-    return fields.where((F.col("author_name") != "") | (F.col("text") != ""))
+    read = with_elements(pages, html, keys, page_rules.wanted())
+    rows = posexplode_once(read, [*keys, "visible", "elements"], blocks, "block")
+    inner = F.slice("elements", F.col("block.first") + 2, F.greatest(F.col("block.last") - F.col("block.first") - 1, F.lit(0)))
+    rows = rows.withColumn("inner", inner)
+
+    def first(selector: Select) -> Column:
+        found = F.array("block") if selector.itself else F.col("inner")
+        return F.get(selector.of(found, F.col("elements")), F.lit(0))
+
+    def text(selectors: tuple[Select, ...]) -> Column:
+        tries = [F.nullif(let(first(s), lambda e: strip(F.substring(
+            F.col("visible"), e["start"] + 1, e["end"] - e["start"]))), F.lit("")) for s in selectors]
+        return F.coalesce(*tries, F.lit(""))
+    stars = [star_from_label(first(s)["attributes"][LABEL]) for s in page_rules.stars]
+    found = rows.select(
+        *keys, "pos", text(page_rules.author).alias("author_name"),
+        F.coalesce(*stars, F.lit(None).cast("double")).alias("rating"),
+        text(page_rules.text).alias("text"), text(page_rules.date).alias("date_relative"))
+    return found.where((F.col("author_name") != "") | (F.col("text") != ""))

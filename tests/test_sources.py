@@ -80,8 +80,8 @@ def test_record_ids_of_the_shipped_layout(spark):
 
 
 def test_a_page_of_301_blocks(spark):
-    html = "".join(f"<p>text {i}</p>" for i in range(301))
-    page_rules = pages.PageRules((r"(?s)<p>.*?</p>",), (), (), (r"(?s)<p>(.*?)</p>",), ())
+    html = "".join(f"<article><p>text {i}</p></article>" for i in range(301))
+    page_rules = pages.PageRules((pages.Select("article"),), text=(pages.Select("p"),))
     df = spark.createDataFrame([(1, html)], "id int, html string")
     assert pages.extract_records(df, "html", ["id"], page_rules).count() == 301
 
