@@ -66,3 +66,33 @@ GROUP BY day, event_type""")
 def x04(spark, d):
     events = table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return ingest.run_available(ingest.windowed_counts(events, "ts", "event_type"), "x04")
+
+
+_BATCHES = 3
+
+
+@query("x04_late_rows", """
+WITH span AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+e AS (SELECT event_type, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 10 = 0 THEN 2
+  ELSE least(2, 3 * (epoch_us(ts) - a) // (b - a + 1)) END AS batch FROM events, span),
+marks AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  - INTERVAL 1 DAY AS mark FROM e GROUP BY batch),
+told AS (SELECT event_type, date_trunc('day', ts) AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late
+  FROM e JOIN marks USING (batch))
+SELECT 'late' AS kind, NULL AS window_start, event_type, count(*) AS n FROM told WHERE late GROUP BY event_type
+UNION ALL SELECT 'closed', CAST(day AS TIMESTAMP), event_type, count(*) FROM told
+WHERE NOT late AND day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY day, event_type""")
+def x04_late(spark, d):
+    """Events in three batches by time, a tenth of them held back to the last: late rows have a table of their own."""
+    events = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    a, b = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.least(F.lit(2), F.floor((F.unix_micros("ts") - a) * _BATCHES / (b - a + 1)))
+    events = events.withColumn("batch", F.when(F.col("event_id") % 10 == 0, 2).otherwise(third))
+    path, out, checkpoint = (work_dir(spark, f"x04-{n}") for n in ("in", "out", "checkpoint"))
+    for k in range(_BATCHES):
+        events.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(path)
+        stream = ingest.read_table_stream(spark, path, events.drop("batch").schema)
+        closed, late = ingest.windowed_counts_and_late(stream, "ts", "event_type", "x04", output=out, checkpoint=checkpoint)
+    lost = late.groupBy("event_type").agg(F.count("*").alias("n")).select(
+        F.lit("late").alias("kind"), F.lit(None).cast("timestamp").alias("window_start"), "event_type", "n")
+    return lost.unionByName(closed.select(F.lit("closed").alias("kind"), "window_start", "event_type", "n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +13,9 @@ from forecourt.plans.enrich import enrich
 from forecourt.session import work_dir
 from forecourt.sources.reviews import (
     REVIEW_SCHEMA,
-    keep_first,
     nan_columns_to_null,
     parsed,
     review_reader,
-    unseen,
 )
 
 
@@ -56,28 +57,28 @@ def dedupe_stream(
     return few.dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
-def dedupe_into(stream: DataFrame, keys: list[str], name: str, output: str | None = None,
-                checkpoint: str | None = None) -> DataFrame:
-    """Append every key of the stream once to a table, however late its copies come.
+def fewer_copies(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without those whose key came before in the same Arrow batch of the same task.
 
-    Each batch is cut to one row per key (a hot key costs one row per task) and joined
-    against the table's keys, so nothing is kept in stream state, and a batch that runs
-    again after a failure adds nothing twice.
+    A key that holds a third of all rows so costs a row per batch in the shuffle, not one per copy.
     """
-    spark = stream.sparkSession
-    output = output or work_dir(spark, f"{name}-table")
-    checkpoint = checkpoint or work_dir(spark, f"{name}-checkpoint")
-    schema = stream.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(output)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            again = batch.select(keys).to_pandas().duplicated().to_numpy()
+            yield batch.filter(pa.array(~again)) if again.any() else batch
+    return df.mapInArrow(run, df.schema)
 
-    def add(batch: DataFrame, _) -> None:
-        known = spark.read.schema(schema).parquet(output)
-        once = keep_first(batch, keys, [F.xxhash64(*batch.columns)])
-        unseen(once, known, keys).select(*schema.fieldNames()).write.mode("append").parquet(output)
 
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(output)
+def dedupe_into(stream: DataFrame, keys: list[str], name: str, output: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """Append the first arrival of every key to a table, however late its copies come; null is a key.
+
+    The keys seen are state without a time limit, dealt by key over the partitions of a RocksDB
+    store, of which a batch reads only its own keys and writes only the new ones: its cost does not
+    grow with the table.  Of copies in one batch any may stay.  State and output commit together, so a
+    batch that runs again after a failure adds nothing twice.
+    """
+    return run_available(fewer_copies(stream, keys).dropDuplicates(keys), name, output, checkpoint)
 
 
 def enrich_stream(df: DataFrame, **options) -> DataFrame:
@@ -97,6 +98,59 @@ def windowed_counts(
     )
 
 
+def windowed_counts_and_late(
+    stream: DataFrame, ts: str, by: str, name: str, size: str = "1 day", delay: str = "1 day",
+    output: str | None = None, checkpoint: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(counts of closed windows, late rows with the ``watermark`` that they missed).
+
+    The watermark of a batch is the latest time of all batches before it less ``delay``.  A row whose
+    window ends by then is late and goes to a table of its own; every other row counts in its window,
+    so the rows of the late table and those counted are all rows.  A row without a time counts as
+    late.  Each batch adds its own counts and the latest time so far to a table, in folders by
+    batch number that a batch which runs again replaces; a batch reads no folder but the one before.
+    """
+    spark = stream.sparkSession
+    output = output or work_dir(spark, f"{name}-windows")
+    checkpoint = checkpoint or work_dir(spark, f"{name}-checkpoint")
+    late_schema = T.StructType([*stream.schema.fields, T.StructField("watermark", T.TimestampType())])
+    count_schema = T.StructType([
+        T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()),
+        T.StructField(by, stream.schema[by].dataType), T.StructField("n", T.LongType()),
+        T.StructField("latest", T.TimestampType())])
+
+    def latest(number: int):
+        """The latest time of the batches up to one."""
+        if number < 0:
+            return None
+        return spark.read.schema(count_schema).parquet(f"{output}/counts/id={number}").agg(F.max("latest")).scalar()
+
+    def counts() -> DataFrame:
+        return spark.read.schema(count_schema.add("id", T.LongType())).parquet(f"{output}/counts")
+
+    def add(batch: DataFrame, number: int) -> None:
+        before = latest(number - 1)
+        before = F.lit(None).cast("timestamp") if before is None else before
+        window = F.window(ts, size)
+        mark = before - F.expr(f"INTERVAL {delay}")
+        rows = batch.withColumn("_late", F.coalesce(window["end"] <= mark, F.lit(False)))  # without rows that have no time
+        late = rows.where("_late").drop("_late").unionByName(batch.where(F.col(ts).isNull()))
+        late.withColumn("watermark", mark).write.mode("overwrite").parquet(f"{output}/late/id={number}")
+        timely = rows.where("not _late").groupBy(window.alias("w"), by).agg(F.count("*").alias("n"), F.max(ts).alias("latest"))
+        # One row without a window carries the latest time on, also past an empty batch.
+        carried = spark.range(1).select(
+            F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast("timestamp").alias("window_end"),
+            F.lit(None).cast(count_schema[by].dataType).alias(by), F.lit(0).cast("long").alias("n"), before.alias("latest"))
+        timely.select("w.start", "w.end", by, "n", "latest").toDF(*count_schema.names[:5]).unionByName(
+            carried).write.mode("overwrite").parquet(f"{output}/counts/id={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    mark = counts().agg(F.max("latest") - F.expr(f"INTERVAL {delay}")).scalar()
+    closed = counts().where(F.col("window_end") <= mark).groupBy("window_start", "window_end", by).agg(F.sum("n").alias("n"))
+    return closed, spark.read.schema(late_schema.add("id", T.LongType())).parquet(f"{output}/late")
+
+
 def run_available(stream: DataFrame, name: str, output: str | None = None,
                   checkpoint: str | None = None) -> DataFrame:
     """Process everything that is there now and return the written table.
