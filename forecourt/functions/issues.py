@@ -10,42 +10,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
+from forecourt.functions.keywords import found_keywords
 from forecourt.functions.text import let, split_words
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def hits(low: Column, keywords: Column) -> Column:
-    """How many of the keywords occur in an already lower-case text."""
-    return F.size(F.filter(keywords, lambda k: F.contains(low, k)))
+def _among(found: Column, start: int, keywords: list[str]) -> Column:
+    """How many of the found keywords are among those that start at a place of the list."""
+    return F.size(F.filter(found, lambda i: i.between(start, start + len(keywords) - 1)))
+
+
+def issue_words(table: dict[str, list[str]] | None = None) -> list[str]:
+    return [k for kws in (lx.ISSUE_KEYWORDS if table is None else table).values() for k in kws]
+
+
+def keywords_of(text: Column, words: list[str]) -> Column:
+    """The places of the keywords that occur in a text, whatever their case."""
+    return found_keywords(_lower(text), words)
 
 
-def issue_scores(text: Column, table: dict[str, list[str]] | None = None) -> Column:
+def issue_scores(
+    text: Column, table: dict[str, list[str]] | None = None, found: Column | None = None
+) -> Column:
     """array<struct<n, o, name>> of the categories hit, best first.
 
     One array serves both the single label and the tags, so the text is read
-    once.  Equal scores keep table order.
+    once.  Equal scores keep table order.  ``found`` may hold the text's places of
+    keywords, if those of the table come first among them.
     """
     table = lx.ISSUE_KEYWORDS if table is None else table
-    rows = F.array(*[
-        F.struct(F.lit(-i).alias("o"), F.lit(name).alias("name"), _strings(kws).alias("kws"))
-        for i, (name, kws) in enumerate(table.items())
-    ])
-
-    def score(low: Column) -> Column:
-        return F.transform(
-            rows,
-            lambda r: F.struct(hits(low, r["kws"]).alias("n"), r["o"].alias("o"),
-                               r["name"].alias("name")),
-        )
 
-    hit = F.filter(let(_lower(text), score), lambda s: s["n"] > 0)
+    def score(found: Column) -> Column:
+        rows, start = [], 0
+        for i, (name, kws) in enumerate(table.items()):
+            rows.append(F.struct(_among(found, start, kws).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")))
+            start += len(kws)
+        return F.array(*rows)
+
+    found = keywords_of(text, issue_words(table)) if found is None else found
+    hit = F.filter(let(found, score), lambda s: s["n"] > 0)
     return F.sort_array(hit, asc=False)
 
 
@@ -73,43 +79,41 @@ def aspect_sentiment(
     aspects = lx.ASPECT_KEYWORDS if aspects is None else aspects
     positive = lx.POSITIVE_SIGNALS if positive is None else positive
     negative = lx.NEGATIVE_SIGNALS if negative is None else negative
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("name"), _strings(kws).alias("kws"))
-        for name, kws in aspects.items()
-    ])
-
-    def found(low: Column) -> Column:
-        named = F.transform(
-            F.filter(rows, lambda r: F.exists(r["kws"], lambda k: F.contains(low, k))),
-            lambda r: r["name"],
-        )
-        pos, neg = hits(low, _strings(positive)), hits(low, _strings(negative))
+    lists = [*aspects.values(), positive, negative]
+    starts = [sum(map(len, lists[:i])) for i in range(len(lists))]
+
+    def told(found: Column) -> Column:
+        *counts, pos, neg = (_among(found, at, kws) for at, kws in zip(starts, lists, strict=True))
         polarity = (
             F.when(pos > neg, lx.POSITIVE).when(neg > pos, lx.NEGATIVE).otherwise(lx.NEUTRAL)
         )
+        named = F.filter(F.array(*[F.when(n > 0, F.lit(name)) for name, n in zip(aspects, counts, strict=True)]),
+                         lambda a: a.isNotNull())
         return let(
             polarity,
             lambda p: F.map_from_entries(F.transform(named, lambda a: F.struct(a, p))),
         )
 
-    return let(_lower(text), found)
+    return let(keywords_of(text, [k for kws in lists for k in kws]), told)
 
 
-def quality_score(text: Column, specific=None) -> Column:
-    """0-100 from length, share of distinct words and specific keywords."""
+def quality_score(text: Column, specific=None, hits: Column | None = None) -> Column:
+    """0-100 from length, share of distinct words and ``hits``, the number of specific keywords."""
     specific = lx.SPECIFIC_KEYWORDS if specific is None else specific
-    bonus = let(_lower(text), lambda low: hits(low, _strings(specific)))
+    bonus = F.size(keywords_of(text, specific)) if hits is None else hits
 
-    def score(ws: Column) -> Column:
+    def score(both: Column) -> Column:
+        ws = both["words"]
         n = F.size(ws)
         distinct = F.size(F.array_distinct(ws))
         points = (
             F.least(F.lit(40), n * 2)
             + F.floor(distinct.cast("double") / n * 30).cast("int")
-            + F.least(F.lit(30), bonus * 10)
+            + F.least(F.lit(30), both["bonus"] * 10)
         )
         return (
             F.when(n == 0, F.lit(0)).when(n < 3, F.lit(5)).otherwise(F.least(F.lit(100), points))
         )
 
-    return let(split_words(F.coalesce(text, F.lit(""))), score)
+    words = split_words(F.coalesce(text, F.lit("")))
+    return let(F.struct(words.alias("words"), bonus.alias("bonus")), score)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from forecourt import lexicon as lx
 from forecourt.functions import sentiment as st
-from forecourt.functions.issues import hits
+from forecourt.functions.keywords import found_keywords
 from forecourt.functions.text import let, model_text, word_tokens
 
 CLASSES = 5
@@ -36,9 +36,9 @@ class LexiconScorer:
     negative: list[str] = field(default_factory=lambda: list(lx.NEGATIVE_SIGNALS))
 
     def probabilities(self, text: Column) -> Column:
-        def centre(low: Column) -> Column:
-            pos = hits(low, F.array(*map(F.lit, self.positive)))
-            neg = hits(low, F.array(*map(F.lit, self.negative)))
+        def centre(found: Column) -> Column:
+            pos = F.size(F.filter(found, lambda i: i < len(self.positive)))
+            neg = F.size(found) - pos
             return let(
                 F.struct(pos.alias("p"), neg.alias("n")),
                 lambda s: F.lit(3.0) + (s["p"] - s["n"]) * 2.0 / (s["p"] + s["n"] + 1),
@@ -48,7 +48,8 @@ class LexiconScorer:
             return F.array(*[-(F.lit(float(k)) - c) * (F.lit(float(k)) - c)
                              for k in range(1, CLASSES + 1)])
 
-        return st.softmax(let(let(F.lower(text), centre), logits))
+        found = found_keywords(F.lower(text), [*self.positive, *self.negative])
+        return st.softmax(let(let(found, centre), logits))
 
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, self.probabilities(F.col(text)))

@@ -41,17 +41,20 @@ def enrich(
     """Score and classify every review with a text.
 
     All steps work on one row, so this runs unchanged on a stream, needs no
-    shuffle, and the label and the tags share one keyword count.
+    shuffle, and label, tags and quality share one search for keywords.
     """
     scored = predict(with_text(df, text), text, scorer, lexicon.overrides, max_chars)
-    counted = scored.withColumn("_scores", issues.issue_scores(F.col(text), lexicon.issues))
+    words, specific = issues.issue_words(lexicon.issues), lexicon.specific if quality else []
+    found = scored.withColumn("_found", issues.keywords_of(F.col(text), [*words, *specific]))
+    counted = found.withColumn("_scores", issues.issue_scores(F.col(text), lexicon.issues, F.col("_found")))
     columns = {
         "issue_category": issues.primary_issue(F.col("_scores")),
         "issue_tags": issues.issue_tags(F.col("_scores"), top_n),
     }
     if quality:
-        columns["quality_score"] = issues.quality_score(F.col(text), lexicon.specific)
-    return protect_author(counted.withColumns(columns).drop("_scores"), author, secret=secret)
+        hits = F.size(F.filter("_found", lambda i: i >= len(words)))
+        columns["quality_score"] = issues.quality_score(F.col(text), specific, hits)
+    return protect_author(counted.withColumns(columns).drop("_found", "_scores"), author, secret=secret)
 
 
 def export_tags(df: DataFrame, column: str = "issue_tags") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from forecourt import lexicon as lx
 from forecourt.functions import issues, rules
+from forecourt.functions import keywords as found
 from forecourt.functions import sentiment as st
 from forecourt.functions import text as tx
 
@@ -215,3 +216,16 @@ def test_ngrams_and_fill(values):
         ["a b", "b c"], [], []]
     assert values(lambda F: tx.fill_empty(F.col("x"), "general service"), arrays, "x array<string>")[2] == [
         "general", "service"]
+
+
+KEYWORDS = ["pump", "pum", "ump", "staff", "rude staff", "é", "pump", "a", " ", "漢字", "x.y", "(", ""]
+
+
+@pytest.mark.parametrize("library", [True, False])
+@pytest.mark.parametrize("keywords", [KEYWORDS, ["only"], [""], []])
+def test_found_keywords_are_those_that_the_text_contains(values, monkeypatch, keywords, library):
+    if not library:
+        monkeypatch.setattr(found.importlib.util, "find_spec", lambda name: None)
+    texts = ["pumps and rude staff", "", None, "PUMP", "uump", "caf\u00e9 漢字(x.y", "a" * 10_000 + "pu", "xzy"]
+    got = values(lambda F: found.found_keywords(F.col("x"), keywords), texts)
+    assert got == [[i for i, k in enumerate(keywords) if k in (t or "")] for t in texts]
