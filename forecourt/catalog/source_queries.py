@@ -9,6 +9,7 @@ from forecourt.catalog import query
 from forecourt.catalog.rule_queries import ENRICHED_SQL, ISSUES, rounded_scores
 from forecourt.catalog.tables import TF, documents, read, station_sheet, text_fact
 from forecourt.functions import rules
+from forecourt.plans import snapshot
 from forecourt.plans.enrich import append_new, enrich, export_tags, refresh
 from forecourt.session import work_dir
 from forecourt.sources import pages, reviews, tabular
@@ -124,6 +125,32 @@ def s07c(spark, d):
     return spark.read.parquet(path).select("doc_id", F.col("zone").cast("string").alias("zone"))
 
 
+@query("s07_fresh_files", """
+SELECT doc_id, md5(text) AS text_md5, 1 AS version FROM documents WHERE doc_id % 4 IN (0, 3)
+UNION ALL SELECT doc_id, md5(text || '!'), 2 FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, md5(text), 3 FROM documents WHERE doc_id % 8 = 2""")
+def s07_fresh(spark, d):
+    """A table derived from files of which some change, some lose their rows and some are new."""
+    source, table = work_dir(spark, "s07-source"), work_dir(spark, "s07-table")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+
+    def put(part, rows):
+        rows.write.mode("overwrite").parquet(f"{source}/part-{part}")
+
+    def derive(rows):
+        return rows.select("doc_id", F.md5("text").alias("text_md5"), snapshot.SOURCE)
+    for part in range(4):
+        put(part, docs.where(F.col("doc_id") % 4 == part))
+    snapshot.refresh(spark, source, table, derive)
+    put(1, docs.where(F.col("doc_id") % 4 == 1).withColumn("text", F.concat("text", F.lit("!"))))
+    put(2, docs.limit(0))
+    snapshot.refresh(spark, source, table, derive)
+    put(4, docs.where(F.col("doc_id") % 8 == 2))
+    snapshot.refresh(spark, source, table, derive)
+    snapshot.refresh(spark, source, table, derive)  # nothing has changed
+    return snapshot.read_table(spark, table).drop(snapshot.SOURCE)
+
+
 @query("s07_enriched", ENRICHED_SQL)
 def s07b(spark, d):
     out = export_tags(enrich(documents(spark, d), lexicon=lx.Lexicon(issues=ISSUES)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,17 +48,21 @@ def override_pattern(patterns: list[str] | None = None) -> str:
     """
     patterns = lx.NEGATIVE_OVERRIDES if patterns is None else patterns
     edge = r"\b"
-    out = []
+    after_edge, anywhere = [], []
     for p in patterns:
         before, after = p.startswith(edge), p.endswith(edge)
         core = p.removeprefix(edge).removesuffix(edge)
         if edge in core:
             raise ValueError(f"word edge inside a pattern: {p}")
-        out.append(
-            (f"(?<![{WORD}])" if before else "")
-            + core.replace(r"\s", f"[{SPACE}]")
-            + (f"(?![{WORD}])" if after else "")
-        )
+        (after_edge if before else anywhere).append(
+            core.replace(r"\s", f"[{SPACE}]") + (f"(?![{WORD}])" if after else ""))
+    out = list(anywhere)
+    if after_edge:
+        # One look back for all, and only where one of them can start.
+        plain = all(re.match(r"[A-Za-z](?![?*{])[^|]*$", c) for c in after_edge)
+        letters = {c[0] for c in after_edge} if plain else set()
+        first = f"(?=[{''.join(sorted(letters))}])" if letters else ""
+        out.append(f"{first}(?<![{WORD}])(?:{'|'.join(after_edge)})")
     return "(?iu)" + "|".join(out)
 
 

@@ -229,3 +229,10 @@ def test_found_keywords_are_those_that_the_text_contains(values, monkeypatch, ke
     texts = ["pumps and rude staff", "", None, "PUMP", "uump", "caf\u00e9 漢字(x.y", "a" * 10_000 + "pu", "xzy"]
     got = values(lambda F: found.found_keywords(F.col("x"), keywords), texts)
     assert got == [[i for i, k in enumerate(keywords) if k in (t or "")] for t in texts]
+
+
+def test_override_patterns_that_start_with_a_choice(values):
+    patterns = [r"\bx?cheat\b", r"\bscam|fraud\b", r"over\s+charge", r"\bNO\s+CNG\b"]
+    texts = ["cheat", "xcheat!", "a fraud", "scams", "moreover charge", "no  Cng.", "uno cng", "cheater"]
+    got = values(lambda F: st.hard_negative(F.col("x"), patterns), texts)
+    assert got == [True, True, True, True, True, True, False, False]
