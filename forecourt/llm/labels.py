@@ -49,4 +49,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, *column
     """
     known = known_labels(labels, label, bound)
     return docs.join(F.broadcast(known), docs["doc_id"] == known["labelled_id"]).select(
-        *(docs[c] for c in columns), "label", third(docs["doc_id"]).cast("int").alias("part"))
+        *(docs[c] for c in columns), known["label"], third(docs["doc_id"]).cast("int").alias("part"))

@@ -192,9 +192,10 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
 
 
 def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return docs.withColumns({
-        "_source": F.col(source), "_id": F.col(doc_id),
-        "_order": F.xxhash64(F.coalesce(text, F.lit(""))), "_size": word_count(F.col(text))})
+    """What ``plan`` needs of each row, and the row itself in one column, so that no names meet."""
+    return docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(source).alias("_source"), F.col(doc_id).alias("_id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_order"), word_count(F.col(text)).alias("_size"))
 
 
 def takings(docs: DataFrame, shards: int = 16, seed: int = 0, doc_id: str = "doc_id",
@@ -221,14 +222,14 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 0, doc_id: str = "doc_id"
         text: str = "text", source: str = "source", shard: str | None = None) -> DataFrame:
     """The mix itself: a row for each time that a document is taken, texts cut where a target ends.
 
-    Has the columns of ``docs``, and the shard number where a name for it is given.  Rows
-    with nothing taken are not in it, nor are texts without words of sources that are not
+    Has the columns of ``docs``, whatever their names, and the shard number where a name for
+    it is given.  Rows with nothing taken are not in it, nor are texts without words of sources that are not
     taken whole.
     """
     drawn = plan(_sized(docs, doc_id, text, source), shards, seed).withColumn("_copy", F.explode("copies"))
-    cut = F.when(F.col("_copy.words") < F.col("_size"), first_words(F.col(text), F.col("_copy.words"))
-                 ).otherwise(F.col(text))
-    kept = [cut.alias(c) if c == text else F.col(c) for c in docs.columns]
+    whole = F.col("_row")[text]
+    cut = F.when(F.col("_copy.words") < F.col("_size"), first_words(whole, F.col("_copy.words"))).otherwise(whole)
+    kept = [(cut if c == text else F.col("_row")[c]).alias(c) for c in docs.columns]
     return drawn.select(*kept, *([F.col("_copy.shard").alias(shard)] if shard else []))
 
 

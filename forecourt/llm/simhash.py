@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A component is what links of at most two differing bits reach; its id is the smallest
     document id in it.  Null and blank texts have fingerprint zero and link like others.
     Rows without an id take part; the component is null where no row has an id.  Repeated
-    rows stay, an empty frame gives no rows.  Texts are read once: the fingerprints are a
-    written table.
+    rows stay, an empty frame gives no rows, a taken column name gets an underscore.  Texts
+    are read once, however long: the fingerprints are a written table.
     """
     keep = [doc_id] if keep is None else keep
     own = stage(fingerprints(docs.select(*keep, F.col(text).alias("_text")), "_text", "_print")
@@ -162,19 +162,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = distinct.join(tree.withColumnRenamed("node", "_print"), "_print", "left").select(
         "_print", "_least", F.coalesce("root", "_print").alias("_root"))
     roots = stage(roots, "roots")
-    least = roots.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    names = stage(roots.join(least, "_root").select("_print", "component_id"), "components")
+    least = roots.groupBy("_root").agg(F.min("_least").alias("_component"))
+    names = stage(roots.join(least, "_root").select("_print", "_component"), "components")
     return own.join(names, "_print").select(
-        *keep, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
+        *keep, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias(fresh(own, "fingerprint")),
+        F.col("_component").alias(fresh(own, "component_id")))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The row with the smallest id of every component, one where rows repeat.
 
-    Rows without an id stay only where their whole component has none, one of them.
+    Rows without an id stay only where their whole component has none, one of them.  The
+    columns are those of ``docs``, whatever their names.
     """
-    found = near_duplicates(docs, text, doc_id, docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    found = near_duplicates(packed, "text", "id", ["row", "id"])
     first = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col(
-        "fingerprint"))).orderBy(*(F.col(c).asc_nulls_last() for c in [doc_id, text]))
-    return found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).withColumn(
-        "_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+        "fingerprint"))).orderBy(F.col("id").asc_nulls_last(), F.col("row")[text].asc_nulls_last())
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn(
+        "place", F.row_number().over(first)).where("place = 1")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

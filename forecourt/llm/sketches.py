@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forecourt.functions.text import let
 
@@ -90,11 +91,13 @@ def _part(doc_id: Column, cuts: list[int], step: int = 64) -> Column:
 def with_next(docs: DataFrame, doc_id: str, text: str, *carried: str) -> DataFrame:
     """Add ``next_`` and each carried column of the next row by descending id.
 
-    Rows with equal ids follow each other by text, rows without an id come last, and
+    Ids are whole numbers.  Rows with equal ids follow each other by text, rows without an id come last, and
     after the last row comes the first.  Ids are cut into ranges of about equal size; each
     range gets one more row, the first one of the range below, so that one shuffle by
     range is enough and no task sorts all rows.  The driver sees one row per range.
     """
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"{doc_id}: the next document is found by whole numbers")
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 10_000)
