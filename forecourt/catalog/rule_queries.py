@@ -469,6 +469,23 @@ def c17b(spark, d):
     return scoring.predict(documents(spark, d), scorer=model).drop("text")
 
 
+@query("c17_fitted_optimum", """
+WITH stars AS (SELECT CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 5 ELSE 3 END AS star
+  FROM documents JOIN labels USING (doc_id))
+SELECT CAST(s.star AS INTEGER) AS star, count(stars.star) AS documents, true AS fitted
+FROM (SELECT unnest([1, 2, 3, 4, 5]) AS star) s LEFT JOIN stars ON stars.star = s.star GROUP BY s.star""")
+def c17_optimum(spark, d):
+    """The trained scorer at its optimum: per class its documents, and that no gradient is above 0.0005."""
+    rows = star_labels(spark, d)
+    model = scoring.ModelScorer.train(rows, "text", "star", 1 << 13, max_iter=200, tol=1e-10)
+    found = model.gradient(rows, "text", "star").groupBy("star").agg(
+        F.max(F.abs("gradient")).alias("most"))
+    counts = rows.groupBy("star").agg(F.count("*").alias("documents"))
+    classes = spark.range(1, 6).select(F.col("id").cast("int").alias("star"))
+    return classes.join(found, "star", "left").join(counts, "star", "left").select(
+        "star", F.coalesce("documents", F.lit(0)).alias("documents"), (F.col("most") < 5e-4).alias("fitted"))
+
+
 @query("c17_batch_scores", SCORES_SQL)
 def c17c(spark, d):
     import numpy as np

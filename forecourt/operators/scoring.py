@@ -60,24 +60,63 @@ class ModelScorer:
     """A fitted Spark ML pipeline with a ``probability`` column."""
 
     model: PipelineModel
-    stop_words: tuple[str, ...] = ()
+    reg: float = 0.01
+
+    @staticmethod
+    def rows(df: DataFrame, text: str, star: str) -> DataFrame:
+        """What a fit reads: the tokens and the class of every row with a star."""
+        return df.where(F.col(star).between(1, CLASSES)).select(
+            word_tokens(F.col(text), []).alias("_tokens"),
+            (F.col(star) - 1).cast("double").alias("_label"),
+        )
 
     @classmethod
     def train(
         cls, df: DataFrame, text: str, star: str, features: int = 1 << 16, max_iter: int = 20,
-        reg: float = 0.01,
+        reg: float = 0.01, tol: float = 1e-6,
     ) -> "ModelScorer":
-        """Multinomial logistic regression on hashed words and star ratings 1-5."""
-        rows = df.where(F.col(star).between(1, CLASSES)).select(
-            word_tokens(F.col(text), []).alias("_tokens"),
-            (F.col(star) - 1).cast("double").alias("_label"),
-        )
+        """Multinomial logistic regression on hashed words and star ratings 1-5.
+
+        ``features`` is the size of the model, stated by the caller: words that meet in one
+        place share a weight.  ``gradient`` tells how far a fit is from the optimum.
+        """
         hashing = HashingTF(numFeatures=features, inputCol="_tokens", outputCol="_features")
         lr = LogisticRegression(
             featuresCol="_features", labelCol="_label", probabilityCol="_probability",
-            family="multinomial", maxIter=max_iter, regParam=reg,
+            family="multinomial", maxIter=max_iter, regParam=reg, tol=tol,
         )
-        return cls(Pipeline(stages=[hashing, lr]).fit(rows))
+        return cls(Pipeline(stages=[hashing, lr]).fit(cls.rows(df, text, star)), reg)
+
+    def gradient(self, df: DataFrame, text: str, star: str) -> DataFrame:
+        """(feature, star, gradient) of the regularised loss at the fitted weights, a certificate of the fit.
+
+        The loss is convex, so weights whose gradients are all near zero are near the only optimum.
+        Feature -1 is the intercept; features that no row has have neither weight nor gradient.  One
+        grouped aggregation over (feature, sums): its size is the model's.
+        """
+        fitted = self.model.stages[-1]
+        classes = range(fitted.numClasses)
+        told = self.model.transform(self.rows(df, text, star)).select(
+            vector_to_array("_features").alias("x"),
+            F.zip_with(vector_to_array("_probability"), F.sequence(F.lit(0), F.lit(fitted.numClasses - 1)),
+                       lambda p, k: p - F.when(k == F.col("_label"), 1.0).otherwise(0.0)).alias("off"))
+        present = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("feature"), v.alias("v"))), lambda s: s["v"] > 0)
+        every = F.concat(F.array(F.struct(F.lit(-1).alias("feature"), F.lit(1.0).alias("v"))), present)
+        long = told.select("off", F.explode(every).alias("s")).select("off", "s.*")
+        n = told.agg(F.count("*")).scalar()
+        sums = long.groupBy("feature").agg(
+            F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"),
+            *(F.sum(F.col("v") * F.col("off")[k]).alias(f"g{k}") for k in classes))
+        weights = fitted.coefficientMatrix.toArray()
+        known = pd.DataFrame({"feature": range(-1, weights.shape[1]), **{
+            f"w{k}": [0.0, *weights[k].tolist()] for k in classes}})
+        known = df.sparkSession.createDataFrame(known).withColumn("feature", F.col("feature").cast("int"))
+        # The penalty is on weights of features scaled to unit deviation.
+        variance = (F.col("squares") - F.col("total") * F.col("total") / n) / (n - 1)
+        both = sums.join(known, "feature").withColumn("gradients", F.array(*(F.struct(
+            F.lit(k + 1).alias("star"), (F.col(f"g{k}") / n + self.reg * variance * F.col(f"w{k}")).alias("gradient"))
+            for k in classes)))
+        return both.select("feature", F.explode("gradients").alias("s")).select("feature", "s.*")
 
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         tokens = df.withColumn("_tokens", word_tokens(F.col(text), []))

@@ -8,6 +8,10 @@ vocabulary, pre-aggregated per task.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from forecourt.functions.text import let
 from forecourt.operators.ranking import top_per_group
 from forecourt.session import explode_once, stage
 
+SLOT_BITS = 24
+
 
 def top_keywords(
     df: DataFrame, k: int = 12, text: str = "text", by: str = "sentiment",
@@ -73,29 +79,78 @@ def phrase_terms(text: Column, stand_in: str, stop_words: list[str] | None = Non
     return let(tokens, lambda ts: F.concat(ts, tx.ngrams(ts, 2)))
 
 
+def phrase_counts(tokens: Column, stop_words: list[str] | None = None) -> Column:
+    """array<struct<term, n>>: how often each unigram and bigram of an array of tokens occurs."""
+    stop = frozenset(stop_words or [])
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ends, terms, numbers = [0], [], []
+            for ts in batch.to_pylist():
+                found = Counter(ts or [])
+                found.update(map(" ".join, zip(ts or [], (ts or [])[1:], strict=False)))
+                for term, n in found.items():
+                    if term not in stop:
+                        terms.append(term)
+                        numbers.append(n)
+                ends.append(len(terms))
+            items = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], ["term", "n"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(count, "array<struct<term:string,n:int>>")(tokens)
+
+
+def repeated_slots(terms: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """(word, ones): a table of 2^bits slots, of which those are set that two rows' terms fall in.
+
+    Of distinct terms per document these are the terms that may occur in two documents: none
+    that does is missing, and one that does not is among them only where it shares a slot.
+    A word holds 32 slots, so the table has at most 2^(bits - 5) rows, whatever the corpus.
+    """
+    slots = terms.groupBy(_slot("term", bits).alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
+    return slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(31)).cast("int"))).alias("ones"))
+
+
+def _slot(term: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(1 << bits))
+
+
+def maybe_repeated(terms: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """The rows whose term may be in two of them; the rest, each alone, need not be shuffled."""
+    slots = F.broadcast(repeated_slots(terms, bits))  # at most 2^(bits - 5) rows of 16 bytes
+    marked = terms.withColumn("_slot", _slot("term", bits))
+    hit = F.expr("shiftrightunsigned(ones, cast(_slot & 31 as int)) & 1") == 1
+    return marked.join(slots, F.shiftright("_slot", 5) == F.col("word")).where(hit).drop("_slot", "word", "ones")
+
+
 def keyphrases(
     df: DataFrame, key: str, top_k: int = 20, text: str = "text", max_features: int | None = None,
     min_df: int = 2, stop_words: list[str] | None = None,
 ) -> DataFrame:
-    """Terms by mean TF-IDF weight over all documents, each a unit vector.
+    """Terms by mean TF-IDF weight over all documents, each row a document and a unit vector.
 
-    The vocabulary has no bound unless one is stated, so it never reaches the driver: the
-    documents are a long table of (key, term, count), written once, that joins the term
+    Each row counts its own terms, so no shuffle gathers a document, and the counts are written
+    once.  Terms of one document only, which are most of them, leave before anything is
+    shuffled; the others are counted exactly.  The vocabulary has no bound unless one is
+    stated and never reaches the driver: the long table of (document, term, count) joins the term
     statistics.  A term in a third of all documents is a skewed join key, which Spark
     splits at run time; the norms add up per document.
     """
     stop = lx.DEFAULT.mining_stop_words if stop_words is None else stop_words
-    terms = phrase_terms(F.col(text), lx.EMPTY_PHRASE_DOCUMENT, stop)
     # The stop words apply again to the stand-in document, so it vanishes.
-    terms = F.filter(terms, lambda t: ~t.isin(stop)) if stop else terms
-    n_docs = df.agg(F.count("*").alias("n_docs")).scalar()
-    counts = stage(explode_once(df, [key], terms, "term").groupBy(key, "term").agg(
-        F.count("*").alias("n")), "phrase-counts")
-    stats = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    tokens = tx.fill_empty(tx.tokenize(F.col(text), stop), lx.EMPTY_PHRASE_DOCUMENT)
+    counted = stage(df.select(F.monotonically_increasing_id().alias("doc"), phrase_counts(tokens, stop).alias("found")),
+                    "phrase-counts")
+    n_docs = counted.agg(F.count("*").alias("n_docs")).scalar()
+    rows = explode_once(counted, ["doc"], F.col("found"), "m").select("doc", "m.term", "m.n")
+    if min_df > 1:
+        rows = maybe_repeated(rows)
+    stats = rows.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     vocab = vocabulary(stats, max_features, min_df).select("term", idf.alias("idf"))
-    weights = counts.join(vocab, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    weights = rows.join(vocab, "term").select("doc", "term", (F.col("n") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     scores = weights.withColumn("w", F.col("w") / norm).groupBy("term").agg(
         (F.sum("w") / n_docs).alias("score"))
     return scores.orderBy(F.desc("score"), "term").limit(top_k)

@@ -209,3 +209,54 @@ def test_scorer_reads_whole_texts(spark):
     df = spark.createDataFrame([("plain " * 400 + "rude worst terrible",)], "text string")
     assert scoring.predict(df).first()["sentiment"] == "Negative"
     assert scoring.predict(df, max_chars=512).first()["sentiment"] == "Neutral"
+
+
+def test_gradients_of_a_trained_scorer(spark):
+    """Against the loss itself, one weight moved at a time; near zero once the fit has converged."""
+    rng = random.Random(5)
+    words = ["rude", "clean", "slow", "good", "pump", "queue"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(1, 8))), rng.choice([1, 3, 5])) for _ in range(80)]
+    df = spark.createDataFrame([*rows, ("no star", None), ("star out of range", 9)], "text string, star int")
+    early = scoring.ModelScorer.train(df, "text", "star", features=32, max_iter=2, reg=0.05)
+    late = scoring.ModelScorer.train(df, "text", "star", features=32, max_iter=300, reg=0.05, tol=1e-12)
+    told = early.model.transform(scoring.ModelScorer.rows(df, "text", "star")).select("_features", "_label").collect()
+    x = np.array([r["_features"].toArray() for r in told])
+    label = np.array([int(r["_label"]) for r in told])
+    assert len(x) == 80
+    fitted = early.model.stages[-1]
+    weights, intercept = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+
+    def loss(w, b):
+        z = x @ w.T + b
+        z = z - z.max(axis=1, keepdims=True)
+        fit = -(z[np.arange(len(x)), label] - np.log(np.exp(z).sum(axis=1))).mean()
+        return fit + 0.05 / 2 * (w**2 * x.var(axis=0, ddof=1)).sum()
+    got = {(r["feature"], r["star"]): r["gradient"] for r in early.gradient(df, "text", "star").collect()}
+    assert {f for f, _ in got} == {-1, *np.flatnonzero(x.any(axis=0)).tolist()} and {k for _, k in got} == {1, 2, 3, 4, 5}
+    for (f, star), value in got.items():
+        up, down, b_up, b_down = weights.copy(), weights.copy(), intercept.copy(), intercept.copy()
+        (b_up if f < 0 else up[:, f])[star - 1] += 1e-5
+        (b_down if f < 0 else down[:, f])[star - 1] -= 1e-5
+        assert value == pytest.approx((loss(up, b_up) - loss(down, b_down)) / 2e-5, abs=1e-6)
+    assert max(map(abs, got.values())) > 1e-3
+    assert max(abs(r["gradient"]) for r in late.gradient(df, "text", "star").collect()) < 1e-5
+
+
+@pytest.mark.parametrize("bits", [4, 14, 24])
+def test_terms_of_two_rows_are_never_left_out(spark, bits):
+    """Whatever the size of the slot table; a small one lets more terms of one row through."""
+    rng = random.Random(bits)
+    rows = [(d, f"t{t}") for d in range(200) for t in set(rng.choices(range(2000), k=12))]
+    df = spark.createDataFrame(rows, "doc int, term string")
+    times = Counter(t for _, t in rows)
+    kept = Counter(r["term"] for r in tm.maybe_repeated(df, bits).collect())
+    assert {t: n for t, n in times.items() if n > 1} == {t: n for t, n in kept.items() if n > 1}
+    once = sum(n == 1 for n in times.values())
+    left = sum(n == 1 for n in kept.values())
+    assert left == once if bits == 4 else left < once / 2 if bits == 14 else left == 0
+
+
+def test_phrase_counts(values):
+    got = values(lambda F: tm.phrase_counts(F.split("x", " "), ["b", "a b"]), ["a b a b", "c", "", None])
+    assert [sorted((r["term"], r["n"]) for r in rows) for rows in got] == [
+        [("a", 2), ("b a", 1)], [("c", 1)], [("", 1)], []]
