@@ -167,8 +167,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-files")
     token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, byte_bpe(), end=0)
-    return token_files.documents(spark, path).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.checksums(spark, path).withColumnRenamed("crc32", "ids_crc32")
 
 
 @query

@@ -16,7 +16,8 @@ documents of about ``BLOCK`` ids, in ascending order of part and block:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -169,18 +170,14 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.withColumn("start", F.col("before") + F.col("first"))
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document of a token folder.
-
-    ``start`` counts the ids of all documents before it, ``n_tokens`` its own with the end
-    id; ``ids`` are these as little-endian 32-bit numbers in one binary value.
-    """
+def _read_documents(spark: SparkSession, path: str, name: str, kind: T.DataType, value: Callable) -> DataFrame:
+    """(doc_id, start, n_tokens) and a value made of each document's ids as little-endian 32-bit numbers."""
     ship(spark)
     blocks = _blocks(spark, path).select("start", "doc_ids", "sizes", "levels")
     key = blocks.schema["doc_ids"].dataType.elementType
     schema = T.StructType([
         T.StructField("doc_id", key), T.StructField("start", T.LongType()),
-        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+        T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -190,13 +187,27 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 sizes = np.asarray(sizes.values)
                 raw = memoryview(unpack(levels.as_py()).astype("<u4").tobytes())
                 ends = sizes.cumsum()
-                values = [keys.values, start.as_py() + ends - sizes, sizes,
-                          [raw[4 * a:4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]]
+                values = [keys.values, start.as_py() + ends - sizes, sizes, [
+                    value(raw[4 * a:4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
     return blocks.mapInArrow(tidy(run), schema)
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document of a token folder.
+
+    ``start`` counts the ids of all documents before it, ``n_tokens`` its own with the end
+    id; ``ids`` are these as little-endian 32-bit numbers in one binary value.
+    """
+    return _read_documents(spark, path, "ids", T.BinaryType(), lambda raw: raw)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, crc32) of every document: as ``documents``, the ids as their checksum."""
+    return _read_documents(spark, path, "crc32", T.LongType(), zlib.crc32)
+
+
 def tokens_at(positions: DataFrame, path: str, position: str = "position") -> DataFrame:
     """Add ``id``, the token at each position among all ids of a token folder.
 

@@ -60,6 +60,8 @@ def test_the_files_hold_every_text_in_order(spark, library, tmp_path):
     got = sorted((tuple(r) for r in token_files.documents(spark, path).collect()), key=lambda r: r[1])
     want = brute(library, rows)
     assert [(a, b, c, bytes(d)) for a, b, c, d in got] == want
+    sums = {tuple(r) for r in token_files.checksums(spark, path).collect()}
+    assert sums == {(a, b, c, zlib.crc32(d)) for a, b, c, d in want}
     blocks = spark.read.parquet(f"{path}/blocks")
     assert blocks.count() > 10 and blocks.agg(F.sum("n_ids")).first()[0] == sum(r[2] for r in want)
 
