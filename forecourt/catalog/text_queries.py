@@ -50,6 +50,12 @@ def t02b(spark, d):
     return tm.top_ngrams(df, n=2, top_k=12)
 
 
+@query("t02_heavy_bigrams", _grams_sql(2, 15))
+def t02_heavy(spark, d):
+    """The same bigrams from summaries of each task and an exact count of the likely ones."""
+    return tm.heavy_ngrams(text_fact(spark, d), n=2, top_k=15)
+
+
 @query("t02_unigram_vocabulary", _grams_sql(1, 200))
 def t02c(spark, d):
     return tm.top_ngrams(text_fact(spark, d), n=1, top_k=200)

@@ -73,6 +73,61 @@ def top_ngrams(
     return vocabulary(term_stats(df, grams), top_k, min_df).select("term", F.col("tf").alias("n"))
 
 
+def _summaries(docs: DataFrame, tokens: Column, n: int, size: int) -> DataFrame:
+    """(term, low, lost): per task the counts of its most frequent n-grams and how much any count may lack.
+
+    A task keeps twice ``size`` counters at most.  When there are more, the largest one that has to go is
+    taken off all of them, so ``lost`` is at most the task's n-grams / ``size``; it stands on a row
+    without a term.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        lost = 0
+        for batch in batches:
+            for ts in batch.column(0).to_pylist():
+                ts = ts or []
+                counts.update(map(" ".join, zip(*(ts[i:] for i in range(n)), strict=False)) if n > 1 else ts)
+                if len(counts) > 2 * size:
+                    off = sorted(counts.values(), reverse=True)[size]
+                    counts = Counter({t: c - off for t, c in counts.items() if c > off})
+                    lost += off
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*counts, None], pa.string()), pa.array([*counts.values(), 0], pa.int64()),
+             pa.array([0] * len(counts) + [lost], pa.int64())], ["term", "low", "lost"])
+    return docs.select(tokens.alias("ts")).mapInArrow(run, "term string, low long, lost long")
+
+
+def heavy_ngrams(
+    df: DataFrame, n: int = 2, top_k: int = 15, text: str = "text",
+    stop_words: list[str] | None = None, min_df: int = 2, size: int = 50_000,
+) -> DataFrame:
+    """``top_ngrams`` without a shuffle of the vocabulary, where the vocabulary is skewed enough.
+
+    The tasks' summaries add up to a lower bound of each count, which no count exceeds by more than
+    the sum of what they lost.  N-grams whose upper bound reaches the k-th lower bound are counted
+    exactly in a second pass.  If the k-th of these counts is above what any other n-gram can
+    have, they are the answer, else (a flat vocabulary) everything is counted as ``top_ngrams`` does.
+    """
+    tokens = tx.word_tokens(F.col(text), stop_words)
+    found = stage(_summaries(df, tokens, n, size), "summaries")  # at most 2 * size rows a task
+    lost = found.agg(F.coalesce(F.sum("lost"), F.lit(0))).first()[0]
+    lows = found.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("low").alias("low"))
+    # Some of the first may fall to the document frequency, so the bound is taken further down.
+    first = lows.orderBy(F.desc("low")).limit(2 * top_k).agg(F.min("low"), F.count("*")).first()
+    bound = 0 if lost == 0 and first[1] < 2 * top_k else first[0] or 0
+    if lost == 0 or bound > lost:
+        likely = lows.where(F.col("low") + lost >= bound).select("term")
+        grams = explode_once(df.select(F.monotonically_increasing_id().alias("doc"), tx.ngrams(tokens, n).alias("ts")),
+                             ["doc"], F.col("ts"), "term")
+        counted = grams.join(likely, "term").groupBy("term", "doc").agg(F.count("*").alias("m")).groupBy("term").agg(
+            F.sum("m").alias("n"), F.count("*").alias("df")).where(F.col("df") >= min_df)
+        top = stage(counted.orderBy(F.desc("n"), "term").limit(top_k).select("term", "n"), "heavy")
+        least, rows = top.agg(F.min("n"), F.count("*")).first()
+        if bound == 0 or (rows == top_k and least > max(lost, bound - 1)):
+            return top.orderBy(F.desc("n"), "term")
+    return top_ngrams(df, n, top_k, text, stop_words, min_df)
+
+
 def phrase_terms(text: Column, stand_in: str, stop_words: list[str] | None = None) -> Column:
     """Unigrams and bigrams of the mining tokens."""
     tokens = tx.fill_empty(tx.tokenize(text, stop_words), stand_in)

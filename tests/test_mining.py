@@ -260,3 +260,41 @@ def test_phrase_counts(values):
     got = values(lambda F: tm.phrase_counts(F.split("x", " "), ["b", "a b"]), ["a b a b", "c", "", None])
     assert [sorted((r["term"], r["n"]) for r in rows) for rows in got] == [
         [("a", 2), ("b a", 1)], [("c", 1)], [("", 1)], []]
+
+
+@pytest.mark.parametrize("size", [5, 40, 400, 100_000])
+@pytest.mark.parametrize("words", ["skewed", "flat", "few"])
+def test_heavy_terms_are_the_top_terms(spark, monkeypatch, size, words):
+    """Whatever the summaries can hold: a flat vocabulary, or too small ones, is counted in full."""
+    rng = random.Random(size)
+    pick = {"skewed": lambda: f"w{int(rng.paretovariate(0.8)) % 3000}x", "flat": lambda: f"w{rng.randrange(600)}x",
+            "few": lambda: rng.choice(["one", "two", "three"])}[words]
+    rows = [(i, " ".join(pick() for _ in range(40))) for i in range(150)] + [(900, None), (901, ""), (902, "lone lone " * 300)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    full = []
+    plain = tm.top_ngrams
+    for n in (1, 2):
+        want = [tuple(r) for r in plain(df, n=n, top_k=8, stop_words=[]).collect()]
+        monkeypatch.setattr(tm, "top_ngrams", lambda *a: full.append(n) or plain(*a))
+        assert [tuple(r) for r in tm.heavy_ngrams(df, n=n, top_k=8, stop_words=[], size=size).collect()] == want
+    assert "lone" not in dict(want)
+    if words == "skewed" and size >= 400 or size == 100_000:
+        assert full == []  # no shuffle of the vocabulary
+    if words == "flat" and size == 5:
+        assert full == [1, 2]
+    empty = tm.heavy_ngrams(df.limit(0), n=2)
+    assert empty.collect() == [] and empty.columns == ["term", "n"]
+
+
+def test_summaries_bound_every_count(spark):
+    rng = random.Random(9)
+    rows = [(" ".join(f"w{int(rng.paretovariate(0.7)) % 500}x" for _ in range(60)),) for _ in range(100)]
+    df = spark.createDataFrame(rows, "text string").coalesce(2)
+    found = tm._summaries(df, F.split("text", " "), 1, 20).collect()
+    lost = sum(r["lost"] for r in found)
+    low = Counter()
+    for r in found:
+        if r["term"] is not None:
+            low[r["term"]] += r["low"]
+    true = Counter(t for (text,) in rows for t in text.split())
+    assert 0 < lost <= 6000 / 20 and all(low[t] <= n <= low[t] + lost for t, n in true.items()) and set(low) <= set(true)
