@@ -20,7 +20,10 @@ from forecourt.session import work_dir
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity detector does not reject."""
+    """Documents that the toxicity detector does not reject.
+
+    Null and empty texts have a score too; repeated rows share their fate; an empty table stays empty.
+    """
     detector = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     found = toxicity.toxicity(docs, detector)
     rejected = found.columns[-1]
@@ -28,7 +31,11 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near enough to one of the learned languages."""
+    """Documents that are near enough to one of the learned languages.
+
+    Null texts and those without a letter go; of equally near languages the first counts; repeated
+    rows share their fate.
+    """
     model = language.fit(docs.where(~held_out(F.col("doc_id"))))
     found = language.languages(docs, model)
     rejected = found.columns[-1]
@@ -36,17 +43,25 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates: two differing bits of a SimHash of three-word shingles.
+
+    The smallest id stays, one row where rows repeat; null and blank texts are one group; rows without an
+    id stay only where their whole group has none, one of them.
+    """
     return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the source mix takes a document."""
+    """A row for each time that the source mix takes a document.
+
+    A null source is a source of its own; texts without words weigh nothing and come with sources that are
+    taken whole; repeated rows count each.
+    """
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; a null or empty text has none, repeated rows have theirs each."""
     return bpe.encode(docs, byte_bpe()).drop("text")
 
 
