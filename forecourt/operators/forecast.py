@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import lexicon as lx
+from forecourt.session import send_code
 
 TOO_SHORT, MISSING = "too few months", "missing value"
 STARTS = ((0.1, 0.1), (0.6, -0.3), (-0.5, 0.3), (0.3, -0.8), (-0.3, 0.8))
@@ -166,6 +167,7 @@ def fit(series: DataFrame, seasonal: bool = False, m: int = 12, steps: int = 0,
     ``minimum`` months, with fewer differences than weights and one, or with a missing value has the
     reason and no weights.
     """
+    send_code(series.sparkSession)
     value = F.when(~F.isnan("value"), F.col("value")).cast("double")
     past = F.transform(F.array_sort(F.collect_list(F.struct("month", value.alias("y")))), lambda s: s["y"])
     rows = series.groupBy("series_id").agg(

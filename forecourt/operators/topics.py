@@ -19,7 +19,7 @@ from forecourt import lexicon as lx
 from forecourt.functions.rules import topic_label
 from forecourt.functions.text import let
 from forecourt.operators.textmining import phrase_terms, term_stats, vocabulary
-from forecourt.session import stage
+from forecourt.session import send_code, stage
 
 SHIFT = 6  # below it digamma and log gamma go by their recurrence
 
@@ -138,6 +138,7 @@ def fit_topics(
     executor costs a task of one pass.  The start is fixed, so a fit can be repeated, and
     no pass lowers the bound.  ``bounds`` holds it before each pass.
     """
+    send_code(df.sparkSession)
     prior = 1.0 / n_topics
     rows, names, frequency = term_counts(df, key, max_features, text, max_df, stop_words)
     topics = start(names, frequency, n_topics)

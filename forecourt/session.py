@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,24 @@ def _local_base(application_id: str) -> str:
     return path
 
 
+@lru_cache(maxsize=8)
+def _send_code(application_id: str, add_file: Callable) -> None:
+    package = Path(__file__).resolve().parent
+    archive = Path(_local_base(f"code-{application_id}")) / "forecourt-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    add_file(str(archive))
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, wherever the driver found it.
+
+    The driver's file server hands the archive out, so no folder has to be shared.
+    """
+    _send_code(spark.sparkContext.applicationId, spark.sparkContext.addPyFile)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path for staged tables and stream checkpoints.
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from forecourt.session import send_code
+
 # FIXED VALUES: elements without content, with raw text, and whose start or end closes others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -120,6 +122,7 @@ def with_elements(pages: DataFrame, column: str, keys: list[str], wanted: frozen
 
     Works page by page without a shuffle, a few pages at a time.
     """
+    send_code(pages.sparkSession)
     rows = pages.select(*keys, column)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("visible", T.StringType()),
                            T.StructField("elements", T.ArrayType(ELEMENT))])
