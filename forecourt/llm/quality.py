@@ -106,13 +106,13 @@ def _weights(counts: np.ndarray) -> np.ndarray:
     return np.log(share[1] / share[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int = 200_000) -> Evidence:
-    """Learn the document evidence from up to ``bound`` labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Evidence:
+    """Learn the document evidence from all labelled rows that are not held out.
 
     Weights of part 0 are laid against the labels of part 2 for the line; the final
     weights come from both.  Where a part lacks a class there is no evidence: log-odds 0.
     """
-    rows = labelled(docs, labels, "quality", bound, text)
+    rows = labelled(docs, labels, "quality", text)
     seen = {(r["part"], r["label"]) for r in rows.groupBy("part", "label").count().collect()}
     if len(seen) < 4:
         return Evidence(np.zeros(WIDTH), 0.0, 0.0)
