@@ -298,3 +298,69 @@ def test_summaries_bound_every_count(spark):
             low[r["term"]] += r["low"]
     true = Counter(t for (text,) in rows for t in text.split())
     assert 0 < lost <= 6000 / 20 and all(low[t] <= n <= low[t] + lost for t, n in true.items()) and set(low) <= set(true)
+
+
+@pytest.mark.parametrize("features", [1, 7, 40, 500])
+@pytest.mark.parametrize("most_words", [0, 20_000])
+def test_frequent_phrases_are_the_first_of_all_terms(spark, features, most_words):
+    rng = random.Random(features)
+    made = [[rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(6))] for _ in range(80)]
+    made += [["x", "y"]] * 30 + [["x"], ["once", "alone"], [], None]
+    tf, df = Counter(), Counter()
+    for ts in made:
+        terms = (ts or []) + [" ".join(p) for p in zip(ts or [], (ts or [])[1:])]
+        tf.update(terms)
+        df.update(set(terms))
+    expected = sorted((t for t in tf if 2 <= df[t] <= 40), key=lambda t: (-tf[t], t))[:features]
+    docs = spark.createDataFrame([(i, ts) for i, ts in enumerate(made)], "id int, tokens array<string>").repartition(3)
+    got = tm.frequent_phrases(docs, features, 2, 40, most_words=most_words)
+    assert got == (expected, [tf[t] for t in expected])
+
+
+def test_topic_vocabulary_does_not_count_every_bigram(spark, docs, texts, monkeypatch):
+    """The rows of a large table are never exploded to all their bigrams."""
+    monkeypatch.setattr(tm, "term_stats", None)
+    monkeypatch.setattr(topics, "term_stats", None, raising=False)
+    rows, names, frequency = topics.term_counts(docs, "id", 4)
+    per = []
+    for t in texts:
+        ts = [w for w in t.split() if w not in ("the", "good", "pump")] or ["general", "service"]
+        per.append(Counter(ts + [" ".join(p) for p in zip(ts, ts[1:])]))
+    assert frequency.tolist() == [sum(c[t] for c in per) for t in names]
+    for r in rows.collect():
+        own = [(i, per[r["id"]][t]) for i, t in enumerate(names) if per[r["id"]][t]]
+        assert list(zip(r["terms"], r["counts"])) == own
+
+
+def test_word_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["a", "b"], None, ["c"], ["d"] * 5])], ["k", "t"])
+    got = [(rows.column(0).to_pylist(), row.tolist(), ts.to_pylist()) for rows, row, ts in tm._pieces(batch.slice(0, 4), 3)]
+    assert got == [([1, 2, 3], [0, 0, 2], ["a", "b", "c"]), ([4], [0] * 5, ["d"] * 5)]
+    got = [rows.column(0).to_pylist() for rows, _, _ in tm._pieces(batch.slice(1, 3), 1)]
+    assert got == [[2, 3], [4]]
+
+
+def test_blocks_of_a_pass_equal_single_terms(monkeypatch):
+    rng = np.random.default_rng(1)
+    sizes = np.array([3, 0, 1, 5, 0])
+    terms = np.concatenate([np.sort(rng.choice(9, n, replace=False)) for n in sizes])
+    counts, gamma = rng.integers(1, 5, len(terms)).astype(float), rng.random((5, 2)) + 0.5
+    steps = [topics.Step(rng.random((2, 9)) + 1, 0.5, 3)]
+    steps.append(topics.Step(np.ones((2, 9)), 0.5, 3))
+    steps[1].expected = steps[0].expected
+    out = []
+    for step, most, block in zip(steps, (0, 1000), (1 << 18, 18)):
+        monkeypatch.setattr(topics, "MOST_EMPTY", most)
+        monkeypatch.setattr(topics, "BLOCK", block)
+        out.append(step.of(terms, counts, sizes, gamma))
+    assert np.allclose(*out, rtol=1e-12) and np.allclose(steps[0].given, steps[1].given, rtol=1e-12)
+    assert steps[0].bound == pytest.approx(steps[1].bound, rel=1e-12)
+
+
+def test_mining_tokens_are_the_words_of_the_mining_text(values):
+    from forecourt.functions import text as tx
+    odd = ["İa İİ ΣΑΣ-ΑΣ. ΑΣ'Σ", "see http://x.y/z?q tail", "a_b ___ ٣٤٥ x yyy\u0085zzz", None, "", "é́é ÀB́CD ﬁﬁﬁ ǅǅǅ"]
+    both = values(lambda F: F.struct(tx.tokenize(F.col("x"), ["tail"]).alias("a"),
+                                     tx._keep(tx.split_words(tx.mining_text(F.col("x"))), ["tail"], 3).alias("b")), odd)
+    assert [r["a"] for r in both] == [r["b"] for r in both] and any(r["a"] for r in both)
