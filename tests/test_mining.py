@@ -364,3 +364,21 @@ def test_mining_tokens_are_the_words_of_the_mining_text(values):
     both = values(lambda F: F.struct(tx.tokenize(F.col("x"), ["tail"]).alias("a"),
                                      tx._keep(tx.split_words(tx.mining_text(F.col("x"))), ["tail"], 3).alias("b")), odd)
     assert [r["a"] for r in both] == [r["b"] for r in both] and any(r["a"] for r in both)
+
+
+@pytest.mark.parametrize("first_words,most_words", [(1, 0), (2, 100), (1000, 20_000)])
+@pytest.mark.parametrize("top_k", [1, 5, 1000])
+def test_likely_bigrams_hold_the_first_ones(spark, first_words, most_words, top_k):
+    rng = random.Random(top_k)
+    made = [" ".join(rng.choices("abcdefgh", range(1, 9), k=rng.randrange(8))) for _ in range(60)]
+    # The most frequent words are in no bigram.
+    made += ["z"] * 500 + ["p q"] * 40 + ["r s r s"]
+    docs = spark.createDataFrame([(t.split(),) for t in made], "tokens array<string>").repartition(3)
+    found = tm.likely_bigrams(docs, top_k, 2, first_words, most_words)
+    got = [(r["term"], r["tf"]) for r in tm.vocabulary(found, top_k, 2).collect()]
+    assert got == brute_grams(made, 2, ())[:top_k]
+
+
+def test_bigrams_of_a_table_are_not_all_counted(docs, texts, monkeypatch):
+    monkeypatch.setattr(tm, "term_stats", None)
+    assert [tuple(r) for r in tm.top_ngrams(docs, n=2, top_k=15).collect()] == brute_grams(texts, 2)[:15]
