@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PIECE_ROWS = 64  # rows of a batch that are Python strings at a time
+
 
 def found_keywords(low: Column, keywords: list[str]) -> Column:
     """array<int>: ascending places of the keywords that occur anywhere in a text, inside words too.
@@ -36,7 +38,7 @@ def found_keywords(low: Column, keywords: list[str]) -> Column:
         automaton.make_automaton()
         for batch in texts:
             ends, flat = [0], []
-            for t in batch.to_pylist():
+            for t in (t for i in range(0, len(batch), PIECE_ROWS) for t in batch.slice(i, PIECE_ROWS).to_pylist()):
                 here = {id(own): own for _, own in automaton.iter(t)}
                 flat += sorted([*always, *(i for own in here.values() for i in own)])
                 ends.append(len(flat))

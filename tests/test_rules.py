@@ -236,3 +236,11 @@ def test_override_patterns_that_start_with_a_choice(values):
     texts = ["cheat", "xcheat!", "a fraud", "scams", "moreover charge", "no  Cng.", "uno cng", "cheater"]
     got = values(lambda F: st.hard_negative(F.col("x"), patterns), texts)
     assert got == [True, True, True, True, True, True, False, False]
+
+
+def test_keywords_of_more_rows_than_a_piece(values, monkeypatch):
+    from forecourt.functions import keywords as found
+    monkeypatch.setattr(found, "PIECE_ROWS", 2)
+    texts = ["queue", "", None, "pump queue", "none", "pump", "queue"]
+    assert values(lambda F: found.found_keywords(F.col("x"), ["pump", "queue"]), texts) == [
+        [1], [], [], [0, 1], [], [0], [1]]
