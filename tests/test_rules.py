@@ -168,6 +168,21 @@ def test_record_id(values):
     assert got[1] != got[0]
 
 
+def test_record_id_reads_plain_numbers_once(values):
+    """Searches for an exponent run only where a number's text has one."""
+    import hashlib
+    import math
+
+    from pyspark.sql import functions as F
+    rid = rules.record_id(F.col("n"), F.col("a"), F.col("b"), F.col("u"), F.col("t"))
+    assert str(rid).count("CASE WHEN contains(") == 2
+    numbers = [1e-05, -2.5e-07, 0.0005, 1e16, 123456789.25, -1e300, math.inf, math.nan, None]
+    got = values(lambda F: rid, [("S", x, 72.5, "me", "hi") for x in numbers],
+                 "n string, a double, b double, u string, t string")
+    shown = ["1e-05", "-2.5e-07", "0.0005", "1e+16", "123456789.25", "-1e+300", "Infinity", "NaN", "None"]
+    assert got == [hashlib.md5(f"S|{x}|72.5|me|hi".encode()).hexdigest() for x in shown]
+
+
 def test_address(values):
     assert values(lambda F: rules.clean_address(F.col("x")), ["   A road\nB  ", None]) == [
         "A road B", None]
