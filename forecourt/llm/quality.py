@@ -121,8 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Evidence:
     other = rows.where("part = 2").select(text, F.col("label").cast("double").alias("label"))
     name = fresh(other, "mean")
     scored = append(other, text, lambda o, r: [half.mean(o, r)], [T.StructField(name, T.DoubleType())])
+    # Two numbers a row: written once, so the fit does not join the texts again.
+    scored = stage(scored.select(name, "label"), "quality-means")
     line = LogisticRegression(regParam=0.0005, maxIter=60).fit(VectorAssembler(
-        inputCols=[name], outputCol="features").transform(scored.select(name, "label")))
+        inputCols=[name], outputCol="features").transform(scored))
     return Evidence(_weights(counts[0] + counts[1]), float(line.coefficients[0]), float(line.intercept))
 
 

@@ -28,3 +28,13 @@ def test_repeated_and_null_ids_and_ids_of_another_type(spark):
     want = sorted((f"t{i}", int(i % 2 or i == 2), crc32(str(i).encode()) % 3) for i in [*range(30), 2, 2] if trains(i))
     for known in (labels, labels.withColumn("doc_id", F.col("doc_id").cast("long"))):
         assert sorted(map(tuple, labelled(docs, known, "toxic", "text").collect())) == want
+
+
+def test_few_labels_meet_the_texts_as_many_do(spark):
+    """The join is the same at any size, so what it writes grows with the input."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    rows = labelled(docs, labels, "toxic", "text")
+    want = sorted((f"t{i}", i % 2, crc32(str(i).encode()) % 3) for i in range(30) if trains(i))
+    assert sorted(map(tuple, rows.collect())) == want
+    assert rows._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") > 0
