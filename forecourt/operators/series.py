@@ -80,11 +80,12 @@ def issue_series(
     With ``by`` there is one series per combination of those columns instead,
     e.g. station and issue, for every combination that has negatives.
     """
-    # One count holds both the negatives and, in its groups, the observed months, so Spark
-    # can use one shuffle of the reviews for both.
+    # One count holds both the negatives and, in its groups, the observed months.  Both sides
+    # read "n" (always true for the months), else the optimizer would drop it from one of them and
+    # Spark could not use one shuffle of the reviews for both.
     key = F.concat_ws("|", *by).alias("series_id") if by else F.col(issue)
     everything = df.groupBy(key, "month").agg(F.count_if(is_negative()).alias("n"))
-    months = observed_months(everything)
+    months = observed_months(everything.where("n >= 0"))
     counts = everything.where("n > 0")
     if by:
         filled = fill_spine(counts, months, "series_id")

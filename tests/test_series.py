@@ -96,6 +96,14 @@ def test_network_series(dated):
     assert got[("negative_rate", dt.date(1900, 4, 1))] == 50.0
 
 
+def test_issue_series_reads_the_reviews_once(dated):
+    """The months come from the shuffle of the counts, not from the reviews again."""
+    got = ts.issue_series(dated, by=["issue_category"])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "ReusedExchange" in plan.toString()
+
+
 def test_issue_series_is_zero_filled(dated):
     got = ts.issue_series(dated, k=2).collect()
     assert {r["series_id"] for r in got} == {"issue1", "issue3"} and len(got) == 16
