@@ -37,4 +37,4 @@ def test_few_labels_meet_the_texts_as_many_do(spark):
     rows = labelled(docs, labels, "toxic", "text")
     want = sorted((f"t{i}", i % 2, crc32(str(i).encode()) % 3) for i in range(30) if trains(i))
     assert sorted(map(tuple, rows.collect())) == want
-    assert rows._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") > 0
+    assert "strategy=merge" in rows._jdf.queryExecution().optimizedPlan().toString()
