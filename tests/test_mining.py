@@ -160,6 +160,32 @@ def test_no_pass_lowers_the_bound_and_weights_are_complete(spark):
     assert {r["id"]: r["topic"] for r in topics.dominant_topics(topics.distributions(fitted), "id", words).collect()}[99] == 0
 
 
+def test_passes_copy_documents_many_in_a_row(spark, monkeypatch):
+    staged, stage = [], topics.stage
+    monkeypatch.setattr(topics, "stage", lambda df, name: staged.append((name, stage(df, name))) or staged[-1][1])
+    fitted = topics.fit_topics(topic_docs(spark).coalesce(1), "id", n_topics=2, max_features=30, passes=1)
+    assert [df.where("given is null").count() for name, df in staged if name == "topic-pass"] == [1]
+    assert fitted.documents.count() == 64
+
+
+def test_packed_rows_end_where_they_are_full(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), *(T.StructField(c, T.BinaryType()) for c in (
+        "found", "sizes", "gamma")), T.StructField("given", T.ArrayType(T.DoubleType()))])
+    ints = pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["x", "a", None, "c", "d"]), pa.array([[9], [0, 1, 2], [], [1], [2]], ints),
+         pa.array([[9], [5, 1, 1], [], [2], [3]], ints)], ["k", "terms", "counts"])
+    monkeypatch.setattr(topics, "ROW_TERMS", 4)
+    made = next(topics._packed(0.5, 2, schema)(iter([batch.slice(0, 0), batch.slice(1)])))
+    assert made.column(0).to_pylist() == [["a"], [None, "c"], ["d"]]
+    found, numbers = topics._unpack(made.column(1), np.int32)
+    assert (found.tolist(), numbers.tolist()) == ([0, 5, 1, 1, 2, 1, 1, 2, 2, 3], [6, 2, 2])
+    assert [x.tolist() for x in topics._unpack(made.column(2), np.int32)] == [[3, 0, 1, 1], [1, 2, 1]]
+    assert topics._unpack(made.column(3).slice(1), np.float64)[0].tolist() == [0.5, 0.5, 1.5, 1.5, 2.0, 2.0]
+
+
 def test_topic_names_by_words(spark):
     words = spark.createDataFrame([(0, ["alpha", "beta", "gamma"]), (1, ["staff", "rude"])], "topic int, words array<string>")
     assert [r["label"] for r in topics.labelled_topics(words).orderBy("topic").collect()] == [
