@@ -74,16 +74,18 @@ def apply_override(text: Column, res: Column, patterns: list[str] | None = None)
     """Turn a Positive result Negative when the text names a hard complaint."""
     flip = (res["sentiment"] == lx.POSITIVE) & hard_negative(text, patterns)
 
-    def pick(changed: Column, name: str) -> Column:
-        return F.when(flip, changed).otherwise(res[name]).alias(name)
-
-    return F.struct(
-        pick(F.lit(lx.NEGATIVE), "sentiment"),
-        res["confidence"].alias("confidence"),
-        pick(F.lit(lx.OVERRIDE_STAR), "star"),
-        pick(F.greatest(res["prob_negative"], F.lit(lx.OVERRIDE_NEGATIVE_FLOOR)),
-             "prob_negative"),
-        res["prob_neutral"].alias("prob_neutral"),
-        pick(F.least(res["prob_positive"], F.lit(lx.OVERRIDE_POSITIVE_CEILING)),
-             "prob_positive"),
-    )
+    def record(flip: Column) -> Column:
+        def pick(changed: Column, name: str) -> Column:
+            return F.when(flip, changed).otherwise(res[name]).alias(name)
+
+        return F.struct(
+            pick(F.lit(lx.NEGATIVE), "sentiment"),
+            res["confidence"].alias("confidence"),
+            pick(F.lit(lx.OVERRIDE_STAR), "star"),
+            pick(F.greatest(res["prob_negative"], F.lit(lx.OVERRIDE_NEGATIVE_FLOOR)),
+                 "prob_negative"),
+            res["prob_neutral"].alias("prob_neutral"),
+            pick(F.least(res["prob_positive"], F.lit(lx.OVERRIDE_POSITIVE_CEILING)),
+                 "prob_positive"),
+        )
+    return let(flip, record)  # the text is searched once, not for every field

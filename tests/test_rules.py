@@ -92,6 +92,15 @@ def test_override(spark, text, sentiment, flips):
         assert tuple(r) == (sentiment, 0.5, 4, 0.1, 0.1, 0.8)
 
 
+def test_override_searches_a_text_once(spark):
+    from pyspark.sql import functions as F
+    row = spark.createDataFrame([("rude staff", 5)], "t string, star int").withColumn("p", F.array(*[F.col("star") * 0.04] * 5))
+    rows = row.select(tx.let(st.result(F.col("p")), lambda r: st.apply_override(F.col("t"), r)).alias("r"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("(?iu)") == 1
+    assert rows.selectExpr("r.*").columns == [
+        "sentiment", "confidence", "star", "prob_negative", "prob_neutral", "prob_positive"]
+
+
 def test_override_rejects_inner_edges():
     with pytest.raises(ValueError):
         st.override_pattern([r"a\bb"])
