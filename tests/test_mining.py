@@ -288,6 +288,18 @@ def test_phrase_counts(values):
         [("a", 2), ("b a", 1)], [("c", 1)], [("", 1)], []]
 
 
+def test_phrase_counts_count_no_text_by_itself(values, monkeypatch):
+    monkeypatch.setattr(tm, "Counter", None)
+    rng = random.Random(4)
+    made = [" ".join(rng.choices(["a", "b", "c", "dd", "é"], k=rng.randint(1, 12))) for _ in range(200)]
+    got = values(lambda F: tm.phrase_counts(F.split("x", " "), ["b", "a b", "c a"]), [*made, None])
+    for text, rows in zip(made, got):
+        ts = text.split()
+        want = Counter(ts + [" ".join(p) for p in zip(ts, ts[1:])])
+        assert sorted((r["term"], r["n"]) for r in rows) == sorted((t, n) for t, n in want.items() if t not in ("b", "a b", "c a"))
+    assert got[-1] == []
+
+
 @pytest.mark.parametrize("size", [5, 40, 400, 100_000])
 @pytest.mark.parametrize("words", ["skewed", "flat", "few"])
 def test_heavy_terms_are_the_top_terms(spark, monkeypatch, size, words):
