@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from forecourt.llm import toxicity
 
 
@@ -109,3 +110,24 @@ def test_shards_and_partial_sums_change_nothing(made, monkeypatch):
     whole = {r["gram"]: tuple(r) for r in counts(docs.join(labels, "doc_id")).collect()}
     monkeypatch.setattr(toxicity, "TASK_GRAMS", 50)
     assert {r["gram"]: tuple(r) for r in counts(docs.join(labels, "doc_id")).collect()} == whole
+
+
+def test_the_pipeline_rejects_by_words_seen_once(spark, tmp_path):
+    """Each toxic text has a word of its own and shares no other; its copy without a label has nothing else to go by."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(30)]
+    rows, told = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = ["".join(rng.choices("stuvwxyz", k=7)) for _ in range(4)] if toxic else rng.choices(plain, k=8)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words))]
+        told.append((i, 1, toxic))
+    spark.createDataFrame(told, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).model
+    text = next(x for i, x in rows if i % 2 and i < 240 and not bool(docs.select(
+        F.crc32(F.lit(str(i)).cast("binary")) % 3 == 1).first()[0]))
+    own = np.array([key((*c, x)) for c, x in grams(text.split()[0])], np.uint64)
+    assert not np.isnan(model.ratio(own)).any()
+    kept = {r["doc_id"] for r in corpus_pipeline.ordinary(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0}
